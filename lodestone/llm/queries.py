@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodestone.llm.kit import read
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, copy_of, class_id, n_links of every document: five-word shingles, similarity 0.8."""
@@ -16,7 +19,35 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(read(spark, sf_dir, "documents"))
 
 
-_ALL = [op1_ngram_jaccard_join]
+def op2_bitpacked_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids written to bit-packed files and read back."""
+    from lodestone.llm.token_files import token_output
+
+    return token_output(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select("doc_id", "start", "n_tokens", "ids_crc32", "file")
+
+
+def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards under the law ``rows``."""
+    from lodestone.llm.sharding import shard_rows
+
+    return shard_rows(read(spark, sf_dir, "documents"), 24)
+
+
+def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page: rules first, else trust over the host graph."""
+    from lodestone.llm.url_graph import judge_pages
+
+    return judge_pages(read(spark, sf_dir, "pages"))
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' pieces in sequences of 4096 tokens."""
+    from lodestone.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("ids")
+
+
+_ALL = [op1_ngram_jaccard_join, op2_bitpacked_tokens, op3_feistel_sharding, op5_url_link_graph, op7_best_fit_packing]
 _SQL: dict[str, str] = {}
 
 
