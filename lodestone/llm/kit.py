@@ -8,6 +8,7 @@ afterwards survives the loss of any executor.
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -57,6 +58,11 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished steps now, not when the driver next collects garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Remove the given tables, or everything."""
         for path in [t._scratch_path for t in tables] or [self.root]:
