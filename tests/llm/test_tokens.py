@@ -21,13 +21,20 @@ def plain():
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\x0b\x1c 'sΣİ<|>!1")), max_size=60), max_size=4))
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t\x0b\x1c 'sΣİ<|>!1ÀéÞ×÷ßA")), max_size=60), max_size=4))
 def test_encoder_equals_the_library(texts):
     want = [x.ids + [1] for x in Tokenizer.from_file(PATH).encode_batch(texts, add_special_tokens=False)] if texts else []
     ids, counts = ENCODER.encode(pa.array(texts, pa.string()))
     assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])][: len(texts)] == want
 
 
+def test_encoder_over_the_tables(spark, plain):
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    ids, counts = Encoder(PATH).encode(pa.array([*texts, "it's <|endoftext|> 12 Ñandú", None]))
+    want = [plain.encode(t, add_special_tokens=False).ids + [1] for t in [*texts, "it's <|endoftext|> 12 Ñandú", ""]]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
 ENCODER = Encoder(PATH)
 
 
