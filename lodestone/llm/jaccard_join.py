@@ -336,7 +336,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
     member = near.select(F.col("node").alias("doc_id"), F.col("root").alias("component")).join(reps.select("doc_id", *sig), "doc_id").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *sig])
     total = member.groupBy("component").agg(F.sum(F.col("n").cast("long")).alias("s"), F.count("*").alias("m"))
     member = scratch.table(member.join(total, "component").select("doc_id", "sig1", "component", "copies", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_SETS)).cast("int").alias("blocks")), "member")
-    whole = rows.join(member, "doc_id").mapInArrow(_whole_sets(k), "doc_id long, component long, copies long, blocks int, n int, shingles binary").dropDuplicates(["doc_id"])
+    # Sort-merge at every size: what would be broadcast grows with the corpus.
+    whole = rows.join(member.hint("merge"), "doc_id").mapInArrow(_whole_sets(k), "doc_id long, component long, copies long, blocks int, n int, shingles binary").dropDuplicates(["doc_id"])
     whole = whole.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     whole = whole.withColumn("pair", F.least("block", "other") * F.lit(1_000_000).cast("long") + F.greatest("block", "other"))
     verified = whole.repartition("component", "pair").sortWithinPartitions("component", "pair", "doc_id").mapInArrow(_exact(threshold), "doc_id long, links long, other long")
