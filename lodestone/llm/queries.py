@@ -40,6 +40,13 @@ def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_pages(read(spark, sf_dir, "pages"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that an earlier document has too, with its source."""
+    from lodestone.llm.substring_dedup import passages
+
+    return passages(read(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' pieces in sequences of 4096 tokens."""
     from lodestone.llm.packing import pack
@@ -47,7 +54,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).drop("ids")
 
 
-_ALL = [op1_ngram_jaccard_join, op2_bitpacked_tokens, op3_feistel_sharding, op5_url_link_graph, op7_best_fit_packing]
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a benchmark item in it."""
+    from lodestone.llm.decontaminate import matches
+
+    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+_ALL = [op1_ngram_jaccard_join, op2_bitpacked_tokens, op3_feistel_sharding, op5_url_link_graph, op6_substring_dedup, op7_best_fit_packing, op8_benchmark_decontamination]
 _SQL: dict[str, str] = {}
 
 
