@@ -33,6 +33,14 @@ def op3_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(read(spark, sf_dir, "documents"), 24)
 
 
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels that are not held out."""
+    from lodestone.llm import toxicity
+
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op5_url_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict for every page: rules first, else trust over the host graph."""
     from lodestone.llm.url_graph import judge_pages
@@ -61,7 +69,25 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-_ALL = [op1_ngram_jaccard_join, op2_bitpacked_tokens, op3_feistel_sharding, op5_url_link_graph, op6_substring_dedup, op7_best_fit_packing, op8_benchmark_decontamination]
+def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from labels that are not held out."""
+    from lodestone.llm import quality
+
+    docs = read(spark, sf_dir, "documents")
+    return quality.score_documents(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
+def op10_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as a TIFF file and read back."""
+    from lodestone.llm import tiff
+
+    return tiff.digests(tiff.documents_media(read(spark, sf_dir, "documents")))
+
+
+_ALL = [
+    op1_ngram_jaccard_join, op2_bitpacked_tokens, op3_feistel_sharding, op4_toxicity_grammar, op5_url_link_graph,
+    op6_substring_dedup, op7_best_fit_packing, op8_benchmark_decontamination, op9_quality_gam, op10_tiff_pages,
+]
 _SQL: dict[str, str] = {}
 
 
