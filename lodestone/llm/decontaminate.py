@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.kit import Scratch, Words, keyed, pieces, unkeyed
+from lodestone.llm.kit import Scratch, Words, keyed, only, pieces, unkeyed
 
 SEGMENT = 16
 RANK = 128
@@ -310,3 +310,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: flo
         return spark.createDataFrame([], _MATCH)
     best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("lcs"), F.desc("cosine"), "start_word", "end_word")
     return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("doc_id", unkeyed())
+
+
+def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents, with all columns, that hold no benchmark item."""
+    return only(docs, matches(docs, benchmark).select("doc_id").distinct(), "left_anti")

@@ -25,10 +25,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.kit import NO_ID, Scratch, Words, components, keyed, lists, mix, pieces, runs, shingles, unkeyed
+from lodestone.llm.kit import NO_ID, Scratch, Words, components, keyed, lists, mix, only, pieces, runs, shingles, unkeyed
 
 BINS = 64
 #: Sets that one node may hold before it is split further.
@@ -331,6 +331,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
         if too_large.isEmpty():
             break
         parents = scratch.table(too_large, "parents")
+    scratch.free()
     near = scratch.table(components(edges, scratch), "near")
     # Exact similarity within each neighbourhood.
     member = near.select(F.col("node").alias("doc_id"), F.col("root").alias("component")).join(reps.select("doc_id", *sig), "doc_id").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *sig])
@@ -351,3 +352,15 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
     out = scratch.table(one.join(per_class, sig).select(unkeyed(), F.when(F.col("rep") != NO_ID, F.col("rep")).alias("copy_of"), F.when(F.col("class_id") != NO_ID, F.col("class_id")).alias("class_id"), F.col("n_links").cast("long")), "result")
     scratch.drop(sets, one, classes, reps, near, member, verified)
     return out
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The documents, with all columns, less all but the least id of each class; of rows that repeat an id, the least text."""
+    joined = jaccard_join(docs, threshold)
+    kept = only(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
+    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    first = Window.partitionBy("doc_id").orderBy("text")
+    once = only(kept, repeated).withColumn("_lodestone_n", F.row_number().over(first)).where("_lodestone_n = 1").drop("_lodestone_n")
+    return only(kept, repeated, "left_anti").union(once)

@@ -88,6 +88,16 @@ def unkeyed(column: str = "doc_id"):
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
+def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of docs, all columns, whose doc_id is in ids (left_semi) or not (left_anti); null is an id like others.
+
+    Sort-merge at every size: such a list of ids grows with the corpus.
+    """
+    wanted = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_lodestone_id"))
+    marked = docs.withColumn("_lodestone_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    return marked.join(wanted.hint("merge"), "_lodestone_id", how).select(*(f"`{c}`" for c in docs.columns))
+
+
 # ----------------------------------------------------------------------------- arrow
 
 
