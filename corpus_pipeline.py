@@ -1,8 +1,62 @@
-"""Placeholder of the corpus pipeline; stages follow with their operators."""
+"""From raw documents to packed training sequences, in five stages.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; all but
+the last return the columns of ``documents``.  SQL cannot express these stages; the tests
+hold them against brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from lodestone.llm import decontaminate, jaccard_join, packing, substring_dedup, toxicity
+from lodestone.llm.kit import Scratch, read
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity grammar rejects go."""
+    return toxicity.reject_toxic(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return jaccard_join.keep_one(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document has go; a document with nothing else goes."""
+    return substring_dedup.remove_passages(docs, substring_dedup.passages(docs))
+
+
+def remove_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.remove_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces in sequences of 4096."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("ngram_jaccard_join", keep_one_of_each),
+    ("substring_dedup", cut_repeated_passages),
+    ("benchmark_decontamination", remove_leaks),
+    ("best_fit_packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what each one returns is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        done = scratch.table(stage(spark, docs, sf_dir), name)
+        if hasattr(docs, "_scratch_path"):
+            scratch.drop(docs)
+        docs = done
+    return docs
