@@ -135,7 +135,7 @@ def _chains(min_words: int):
                 cuts = [0, *(np.flatnonzero((dx > GAP) | (dy > GAP) | (np.abs(dx - dy) > SHIFT)) + 1).tolist(), len(p)]
                 for a, b in zip(cuts, cuts[1:]):
                     if p[b - 1] - p[a] + K >= least:
-                        rows.append((doc, max(0, int(p[a]) - MARGIN), int(p[a]), int(p[b - 1]) + K, int(p[b - 1]) + K + MARGIN, src, max(0, int(q[a]) - MARGIN), int(q[a]), int(q[b - 1]) + K, int(q[b - 1]) + K + MARGIN, b - a))
+                        rows.append((doc, max(0, int(p[a]) - MARGIN), int(p[a]), int(p[b - 1]) + K, int(p[b - 1]) + K + MARGIN, src, max(0, int(q[a]) - MARGIN), int(q[a]), int(q[b - 1]) + K, int(q[b - 1]) + K + MARGIN, _diagonals(p[a:b], q[a:b])))
             if len(rows) > 20_000:
                 yield _rows(rows, _CHAIN)
                 rows = []
@@ -144,12 +144,19 @@ def _chains(min_words: int):
     return build
 
 
-_CHAIN = "doc_id long, x_from long, x0 long, x1 long, x_to long, src long, y_from long, y0 long, y1 long, y_to long, seeds long"
+_CHAIN = "doc_id long, x_from long, x0 long, x1 long, x_to long, src long, y_from long, y0 long, y1 long, y_to long, diagonals array<long>"
+
+
+def _diagonals(p: np.ndarray, q: np.ndarray) -> list[int]:
+    """Runs of seeds on one diagonal, flat: where each begins and ends in the text, and begins in the source."""
+    new = np.flatnonzero(np.diff(q - p)) + 1
+    first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(p) - 1]])
+    return np.column_stack([p[first], p[last] + K, q[first]]).reshape(-1).tolist()
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     names = [c.split()[0] for c in schema.split(", ")]
-    kinds = [{"long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+    kinds = [{"long": pa.int64(), "double": pa.float64(), "array<long>": pa.list_(pa.int64())}[c.split()[1]] for c in schema.split(", ")]
     columns = list(zip(*rows)) if rows else [[]] * len(names)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
@@ -169,21 +176,6 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.binary())], names=["doc_id", "a", "b", "w"])
 
 
-def _best_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
-    """Where the best local alignment (1 a match, -1 an edit) ends."""
-    gap = np.arange(len(b) + 1)
-    row, best, at = np.zeros(len(b) + 1, np.int64), 0, (0, 0)
-    for i in range(len(a)):
-        nxt = np.maximum(row - 1, 0)
-        nxt[1:] = np.maximum(nxt[1:], row[:-1] + np.where(b == a[i], 1, -1))
-        nxt = np.maximum.accumulate(nxt + gap) - gap
-        j = int(nxt.argmax())
-        if nxt[j] > best:
-            best, at = int(nxt[j]), (i + 1, j)
-        row = nxt
-    return at
-
-
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     row = np.zeros(len(b) + 1, np.int64)
     for v in a:
@@ -193,23 +185,34 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def align(a: np.ndarray, b: np.ndarray, x0: int, x1: int, y0: int, y1: int) -> tuple[int, int, int, int, float]:
-    """Extent of the passage in a and b, and its identity, from a chain's outer seeds a[x0:x1], b[y0:y1]."""
-    if x1 - x0 == y1 - y0:
-        left, right = min(x0, y0), min(len(a) - x0, len(b) - y0)
-        same = a[x0 - left : x0 + right] == b[y0 - left : y0 + right]
-        if same[left : left + x1 - x0].mean() >= 0.7:
-            gain = np.where(same, 1, -1)
-            before = np.concatenate([[0], np.cumsum(gain[:left][::-1])])
-            after = np.concatenate([[0], np.cumsum(gain[left + x1 - x0 :])])
-            lo, hi = int(before.argmax()), int(after.argmax())
-            part = same[left - lo : left + x1 - x0 + hi]
-            return x0 - lo, x1 + hi, y0 - lo, y1 + hi, float(part.mean())
-    ex, ey = _best_end(a, b)
-    sx, sy = _best_end(a[:ex][::-1], b[:ey][::-1])
-    sx, sy = ex - sx, ey - sy
-    n = max(ex - sx, ey - sy)
-    return sx, ex, sy, ey, lcs(a[sx:ex], b[sy:ey]) / n if n else 0.0
+def _reach(same: np.ndarray) -> int:
+    """How far the best run of matches (1) and edits (-1) goes from the start."""
+    total = np.cumsum(np.where(same, 1, -1))
+    return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
+
+
+def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, float]:
+    """Extent of the passage in a and b, and its identity, from a chain's diagonal runs (x0, x1, y0).
+
+    Words between seeds of a run are compared one to one, words between two runs by their
+    longest common subsequence, and the ends go on along their diagonals while that gains.
+    """
+    same, at_x, at_y = 0, runs[0][0], runs[0][2]
+    for x0, x1, y0 in runs:
+        over = max(0, at_x - x0, at_y - y0)  # seeds of neighbouring runs may overlap
+        x0, y0 = x0 + over, y0 + over
+        if x0 > at_x and y0 > at_y:
+            same += lcs(a[at_x:x0], b[at_y:y0])
+        if x1 > x0:
+            same += int((a[x0:x1] == b[y0 : y0 + x1 - x0]).sum())
+            at_x, at_y = x1, y0 + x1 - x0
+    x0, y0, n = runs[0][0], runs[0][2], min(runs[0][0], runs[0][2])
+    before = _reach((a[x0 - n : x0] == b[y0 - n : y0])[::-1])
+    n = min(len(a) - at_x, len(b) - at_y)
+    after = _reach(a[at_x : at_x + n] == b[at_y : at_y + n])
+    same += int((a[x0 - before : x0] == b[y0 - before : y0]).sum() + (a[at_x : at_x + after] == b[at_y : at_y + after]).sum())
+    x0, y0, at_x, at_y = x0 - before, y0 - before, at_x + after, at_y + after
+    return x0, at_x, y0, at_y, same / max(at_x - x0, at_y - y0)
 
 
 _PASSAGE = "doc_id long, start_word long, end_word long, source_doc_id long, source_start_word long, source_end_word long, identity double"
@@ -218,10 +221,11 @@ _PASSAGE = "doc_id long, start_word long, end_word long, source_doc_id long, sou
 def _aligned(min_words: int, identity: float):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, held = [], {}
+            out = []
             for r in batch.to_pylist():
                 a, b = np.frombuffer(r["aw"], np.uint64), np.frombuffer(r["bw"], np.uint64)
-                x0, x1, y0, y1, same = align(a, b, r["x0"] - r["x_from"], r["x1"] - r["x_from"], r["y0"] - r["y_from"], r["y1"] - r["y_from"])
+                d, u, v = r["diagonals"], r["x_from"], r["y_from"]
+                x0, x1, y0, y1, same = align(a, b, [(d[i] - u, d[i + 1] - u, d[i + 2] - v) for i in range(0, len(d), 3)])
                 if x1 - x0 >= min_words and same >= identity:
                     out.append((r["doc_id"], r["x_from"] + x0, r["x_from"] + x1, r["src"], r["y_from"] + y0, r["y_from"] + y1, round(same, 6)))
             yield _rows(out, _PASSAGE)
