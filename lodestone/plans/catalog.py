@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +26,8 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    for name in ("knowledge",):
+        import_module(f"lodestone.plans.{name}")
 
 
 def queries() -> dict[str, Query]:
