@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import HAN, contains_any, filled, strip, sub
+from lodestone.functions.text import HAN, contains_any, filled, let, strip, sub
 from lodestone.functions.tokens import relevance_tokens
 from lodestone.functions.urls import normalize_domain
 
@@ -68,6 +68,10 @@ def lookup(key: Column, table: dict, default) -> Column:
 
 
 def _first_kind(text: Column, table: dict, default: str) -> Column:
+    return let(lambda t: _kind(t, table, default), text)
+
+
+def _kind(text: Column, table: dict, default: str) -> Column:
     out = F.lit(default)
     for kind, words in reversed(table.items()):
         out = F.when(contains_any(text, words), kind).otherwise(out)
@@ -113,10 +117,13 @@ def is_short_ambiguous(question: Column) -> Column:
 
 def is_bad_query(question: Column, query: Column) -> Column:
     """A rewritten query that lost the question: no tokens, a short question gone, or no latin token in common."""
-    a, b, q = relevance_tokens(question), relevance_tokens(query), strip(filled(question))
+    return let(_is_bad, relevance_tokens(question), relevance_tokens(query), strip(filled(question)), filled(query))
+
+
+def _is_bad(a: Column, b: Column, q: Column, query: Column) -> Column:
     latin = lambda tokens: F.filter(tokens, lambda t: t.rlike("[a-zA-Z0-9]"))
     lost = (F.size(latin(a)) > 0) & ~F.arrays_overlap(latin(a), latin(b))
-    return (F.size(b) == 0) | ((F.length(q) <= 4) & ~F.contains(filled(query), q)) | lost
+    return (F.size(b) == 0) | ((F.length(q) <= 4) & ~F.contains(query, q)) | lost
 
 
 def is_noise(title: Column, content: Column, snippet: Column, url: Column) -> Column:
@@ -125,7 +132,10 @@ def is_noise(title: Column, content: Column, snippet: Column, url: Column) -> Co
 
 
 def source_type(domain: Column) -> Column:
-    d = normalize_domain(domain)
+    return let(_source_type, normalize_domain(domain))
+
+
+def _source_type(d: Column) -> Column:
     out = F.when(F.contains(d, F.lit(".wikipedia.org")), "community").otherwise("general")
     for kind, names in reversed(DOMAIN_TYPES.items()):
         out = F.when(d.isin(*names), kind).otherwise(out)
@@ -142,9 +152,8 @@ def evidence_role(title: Column, content: Column, page_text: Column, kind: Colum
 
 
 def source_mode(mode: Column, default: str = "auto") -> Column:
-    m = F.lower(strip(F.when(filled(mode) != "", mode).otherwise(default)))
-    m = F.coalesce(lookup(m, MODE_ALIASES, None), m)
-    return F.when(m.isin("auto", "local", "online", "hybrid"), m).otherwise("auto")
+    m = let(lambda m: F.coalesce(lookup(m, MODE_ALIASES, None), m), F.lower(strip(F.when(filled(mode) != "", mode).otherwise(default))))
+    return let(lambda m: F.when(m.isin("auto", "local", "online", "hybrid"), m).otherwise("auto"), m)
 
 
 def source_flags(mode: Column, enough: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lodestone.functions.classify import is_bad_query
-from lodestone.functions.text import WS, clean_one_line, contains_any, contains_han, filled, strip, sub
+from lodestone.functions.text import WS, clean_one_line, contains_any, contains_han, filled, let, strip, sub
 from lodestone.functions.tokens import ascii_entities, core_terms, empty, unique_keep_order
 
 # Phrases and their order.
@@ -63,24 +63,34 @@ def resource_query(question: Column) -> Column:
         t = F.replace(t, F.lit(word), F.lit(" "))
     t = sub(strip(sub(t, f"{WS}+", " ")), FILLERS_ENGLISH, " ")
     t = sub(sub(t, f"{WS}+", " "), r"^[ \-:：]+|[ \-:：]+$")
-    return F.when(t != "", t).otherwise(q)
+    return let(lambda t: F.when(t != "", t).otherwise(q), t)
 
 
 def resource_queries(question: Column, intent: Column) -> Column:
-    base, q = resource_query(question), strip(filled(question))
+    return let(lambda base, q: _resource_queries(base, q, intent), resource_query(question), strip(filled(question)))
+
+
+def _resource_queries(base: Column, q: Column, intent: Column) -> Column:
     out = F.array(base)
     for name, suffixes in INTENT_SUFFIXES.items():
         out = F.when(intent == name, ordered(base, *(q if s is None else strip(spaced(base, F.lit(s))) for s in suffixes))).otherwise(out)
-    return F.when(base == "", F.concat(F.array(base), F.filter(out, lambda x: x != ""))).otherwise(out)
+    return let(lambda out: F.when(base == "", F.concat(F.array(base), F.filter(out, lambda x: x != ""))).otherwise(out), out)
 
 
 def query_templates(question: Column, base_query: Column, answer_intent: Column, resource_intent: Column, limit: int = 3) -> Column:
     """Queries that look for official, versioned, failing and contrary evidence."""
     q = strip(filled(question))
-    base = strip(F.when(filled(base_query) != "", base_query).otherwise(q))
+    made = let(lambda q, base: _said(q, base), q, strip(F.when(filled(base_query) != "", base_query).otherwise(strip(filled(question)))))
+    return let(lambda m: _templates(m["q"], m["base"], m["said"], m["stem"], answer_intent, resource_intent, limit), made)
+
+
+def _said(q: Column, base: Column) -> Column:
     said = F.when(q != "", q).otherwise(base)
     terms = F.array_join(core_terms(said, 7), " ")
-    stem = F.when(terms != "", terms).otherwise(base)
+    return F.struct(q.alias("q"), base.alias("base"), said.alias("said"), let(lambda t: F.when(t != "", t).otherwise(base), terms).alias("stem"))
+
+
+def _templates(q: Column, base: Column, said: Column, stem: Column, answer_intent: Column, resource_intent: Column, limit: int) -> Column:
     low = F.lower(q)
     asks = {k: contains_any(low, v) for k, v in ASKS.items()}
     more = lambda when, *tails: [F.when(when, spaced(stem, F.lit(t))) for t in tails]
@@ -107,8 +117,7 @@ def expand_kb_query(question: Column) -> Column:
     return F.when(F.size(terms) > 0, F.array_join(terms, " "))
 
 
-def _signs(text: Column) -> dict[str, Column]:
-    c = sub(filled(text), f"{WS}+")
+def _signs(c: Column) -> dict[str, Column]:
     any_of = lambda *w: contains_any(c, w)
     return {
         "open": any_of("开源"), "project": any_of("项目", "仓库", "源码", "代码"),
@@ -123,7 +132,12 @@ def _signs(text: Column) -> dict[str, Column]:
 def preserving_query(text: Column, for_search: bool = False) -> Column:
     """English terms for a Chinese request that keep its entities and constraints; '' where too little is known."""
     t = strip(filled(text))
-    s, names = _signs(t), ascii_entities(t)
+    kept = let(lambda c, names: _preserving(c, names, for_search), sub(t, f"{WS}+"), ascii_entities(t))
+    return F.when(contains_han(t), kept).otherwise("")
+
+
+def _preserving(compact: Column, names: Column, for_search: bool) -> Column:
+    s = _signs(compact)
     one = lambda when, *words: F.when(when, F.array(*map(F.lit, words))).otherwise(empty())
     ago = F.when(s["three"], F.array(F.lit("three weeks ago"))).when(s["two"], F.array(F.lit("two weeks ago"))).when(s["month"], F.array(F.lit("one month ago"))).otherwise(empty())
     terms = unique_keep_order(F.concat(
@@ -132,6 +146,10 @@ def preserving_query(text: Column, for_search: bool = False) -> Column:
         one(s["research"], "Deep Research"), one(s["usage"], "usage"), one(s["fetch"], "fetch"), one(s["info"], "information"),
         one(s["latest"], "latest commit"), one(~s["latest"] & s["commit"], "commit"), ago,
     ))
+    return let(lambda terms: _said_in_english(terms, names, s, for_search), terms)
+
+
+def _said_in_english(terms: Column, names: Column, s: dict[str, Column], for_search: bool) -> Column:
     joined = F.array_join(terms, " ")
     if for_search:
         answer = joined
@@ -142,16 +160,21 @@ def preserving_query(text: Column, for_search: bool = False) -> Column:
             F.when(F.array_contains(names, "Codex") & s["usage"], F.lit("Codex usage")).when(s["usage"], F.lit("usage")),
         )), ", ")
         tail = F.when(s["three"], ", with its latest commit three weeks ago").when(s["two"], ", with its latest commit two weeks ago").when(s["month"], ", with its latest commit one month ago").when(s["latest"], ", with its latest commit matching the query").otherwise("")
-        sentence = F.concat(F.lit("Find an open-source project that fetches "), F.when(details != "", details).otherwise(joined), F.lit(" information"), tail)
+        what = let(lambda d: F.when(d != "", d).otherwise(joined), details)
+        sentence = F.concat(F.lit("Find an open-source project that fetches "), what, F.lit(" information"), tail)
         answer = F.when(s["find"] & s["open"] & s["project"], sentence).when(s["find"], F.concat(F.lit("Find "), joined)).otherwise(joined)
-    return F.when(contains_han(t) & (F.size(terms) >= 3), answer).otherwise("")
+    return F.when(F.size(terms) >= 3, answer).otherwise("")
 
 
 def rule_translate(text: Column, for_search: bool = False) -> Column:
     """Rule translation of a Chinese question round latin entities; '' where no rule fits."""
     t = strip(filled(text))
-    c, names = sub(t, f"{WS}+"), ascii_entities(t)
-    keep, e = preserving_query(t, for_search), F.coalesce(F.try_element_at(names, F.lit(1)), F.lit(""))
+    ruled = let(lambda c, names, keep: _ruled(c, names, keep, for_search), sub(t, f"{WS}+"), ascii_entities(t), preserving_query(t, for_search))
+    return F.when(contains_han(t), ruled).otherwise("")
+
+
+def _ruled(c: Column, names: Column, keep: Column, for_search: bool) -> Column:
+    e = F.coalesce(F.try_element_at(names, F.lit(1)), F.lit(""))
     any_of = lambda *w: contains_any(c, w)
     say = lambda search, plain: F.format_string(search if for_search else plain, e)
     long = (keep != "") & ((F.length(c) >= 28) | (F.size(names) >= 2) | any_of("开源", "最新", "用量"))
@@ -165,23 +188,27 @@ def rule_translate(text: Column, for_search: bool = False) -> Column:
         .when(any_of("项目", "仓库", "源码", "代码") & (F.length(c) <= 24), say("%s GitHub repository", "GitHub repository for %s"))
         .otherwise(keep)
     )
-    return F.when(~contains_han(t), "").when((F.size(names) == 0) | long, keep).otherwise(out)
+    return F.when((F.size(names) == 0) | long, keep).otherwise(out)
 
 
 def loses_information(original: Column, translated: Column) -> Column:
-    o, low = filled(original), F.lower(filled(translated))
-    c = sub(o, f"{WS}+")
+    return let(_loses, filled(original), filled(translated), F.lower(filled(translated)), sub(filled(original), f"{WS}+"))
+
+
+def _loses(o: Column, translated: Column, low: Column, c: Column) -> Column:
     lost = F.exists(ascii_entities(o), lambda e: ~F.contains(low, F.lower(e)))
     for said, needed in REQUIRED:
         lost = lost | (contains_any(c, said) & ~contains_any(low, needed))
-    lost = lost | ((F.length(c) >= 35) & (F.length(strip(filled(translated))) < 35))
+    lost = lost | ((F.length(c) >= 35) & (F.length(strip(translated)) < 35))
     return contains_han(o) & lost
 
 
 def looks_like_answer(original: Column, translated: Column) -> Column:
     """A translation that answers, explains, or drops what was asked."""
-    t = strip(filled(translated))
-    low = F.lower(t)
+    return let(_answers, filled(original), strip(filled(translated)), F.lower(strip(filled(translated))))
+
+
+def _answers(original: Column, t: Column, low: Column) -> Column:
     asks = low.rlike(r"^(what|how|why|when|where|which|whether)")
     states = (F.size(ascii_entities(original)) > 0) & low.rlike(rf"\bis{WS}+(a|an|the)\b") & ~F.contains(t, F.lit("?")) & ~asks
     return (t == "") | (contains_han(original) & (states | contains_any(low, EXPLAINS) | loses_information(original, t)))

@@ -100,7 +100,7 @@ def clean_one_line(text: Column, max_len: int = 240) -> Column:
     for quote in ('"', "'", "`"):
         t = sub(t, f"^{quote}+|{quote}+$")
     for label in QUERY_LABELS:
-        t = F.when(F.startswith(t, F.lit(label)), strip(F.substr(t, F.lit(len(label) + 1)))).otherwise(t)
+        t = let(lambda x, label=label: F.when(F.startswith(x, F.lit(label)), strip(F.substr(x, F.lit(len(label) + 1)))).otherwise(x), t)
     t = sub(t, f"{WS}+", " ")
     return strip(F.substring(t, 1, max_len))
 

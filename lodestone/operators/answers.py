@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.rewrite import looks_like_answer, preserving_query, rule_translate
 from lodestone.functions.classify import is_bad_query
 from lodestone.functions.score import overlap_score
-from lodestone.functions.text import WS, clean_answer_block, clean_one_line, filled, strip, sub
+from lodestone.functions.text import WS, clean_answer_block, clean_one_line, filled, let, strip, sub
 from lodestone.operators.split import options, question_blocks
 
 CORRECT = rf"(?i)正确答案{WS}*[:：]{WS}*([A-H]|对|错|正确|错误){WS}*(?:[:：]{WS}*([^;；\n]+))?"
@@ -63,25 +63,29 @@ def direct_answers(hits: DataFrame) -> DataFrame:
 
 def guarded_query(question: Column, model_output: Column) -> Column:
     """A model's search query, or the question where the query lost it."""
-    query = clean_one_line(model_output)
-    query = F.when(query != "", query).otherwise(strip(question))
-    return F.when(is_bad_query(question, query), strip(question)).otherwise(query)
+    return let(lambda query, q: _unless_bad(q, F.when(query != "", query).otherwise(q)), clean_one_line(model_output), strip(question))
+
+
+def _unless_bad(question: Column, query: Column) -> Column:
+    return let(lambda x: F.when(is_bad_query(question, x), question).otherwise(x), query)
 
 
 def guarded_english_query(question: Column, model_output: Column) -> Column:
     """A rule's English query, else a model's unless it answers or loses the question."""
-    ruled = rule_translate(question, True)
-    query = clean_one_line(model_output)
-    query = F.when(query != "", query).otherwise(strip(question))
-    kept = preserving_query(question, True)
-    query = F.when(looks_like_answer(question, query) & (kept != ""), kept).otherwise(query)
-    query = F.when(is_bad_query(question, query), strip(question)).otherwise(query)
-    return strip(F.substring(F.when(ruled != "", ruled).otherwise(query), 1, 220))
+
+    def of(q: Column, said: Column, ruled: Column, kept: Column) -> Column:
+        query = let(lambda x: F.when(looks_like_answer(q, x) & (kept != ""), kept).otherwise(x), F.when(said != "", said).otherwise(q))
+        return F.when(ruled != "", ruled).otherwise(_unless_bad(q, query))
+
+    return strip(F.substring(let(of, strip(question), clean_one_line(model_output), rule_translate(question, True), preserving_query(question, True)), 1, 220))
 
 
 def guarded_translation(text: Column, model_output: Column) -> Column:
     """A rule's translation, else a model's unless it answers; then a rule's with all constraints, else the text."""
+
+    def of(t: Column, ruled: Column, said: Column, kept: Column) -> Column:
+        fallback = F.when(kept != "", kept).otherwise(t)
+        return F.when(ruled != "", ruled).when(looks_like_answer(t, said), fallback).otherwise(said)
+
     t = strip(filled(text))
-    ruled, said, kept = rule_translate(t), clean_one_line(model_output, 500), preserving_query(t)
-    fallback = F.when(kept != "", kept).otherwise(t)
-    return F.when(ruled != "", ruled).when(looks_like_answer(t, said), fallback).otherwise(said)
+    return let(of, t, rule_translate(t), clean_one_line(model_output, 500), preserving_query(t))
