@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    for name in ("knowledge", "dialogue"):
+    for name in ("knowledge", "dialogue", "web"):
         import_module(f"lodestone.plans.{name}")
 
 
