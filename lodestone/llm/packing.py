@@ -155,7 +155,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, ke
     plan, _ = plan_packing(histogram, capacity)
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("within"))
+    # Sort-merge: there is a base for each task and length, so what would be broadcast grows with the corpus.
+    ranked = cut.join(base.hint("merge"), ["part", "length"]).withColumn("rank", F.col("base") + F.col("within"))
     placed = ranked.mapInArrow(_place(plan), "doc_id long, piece int, start long, length int, ids_crc32 long, ids binary, sequence_id long, offset long")
     return placed.withColumn("doc_id", unkeyed()).withColumn("length", F.col("length").cast("long"))
 
