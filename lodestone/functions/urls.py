@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import SENTENCE_END, clean_web, filled, strip, sub
+from lodestone.functions.text import SENTENCE_END, clean_web, filled, let, strip, sub
 
 URL = r"(?i)https?://[^" + r"\t-\r\x{1C}-\x{20}\x{85}\x{A0}\x{3000}" + r"<>'\"`]+"
 URL_TAIL = r"[.,;:!?，。；：！？）)\]}>'\"]+$"
@@ -47,13 +47,15 @@ def github_repo(url: Column) -> Column:
     return F.when((extract_domain(url) == "github.com") & (repo != ""), F.struct(owner.alias("owner"), repo.alias("repo")))
 
 
-def fragment_snippet(text: Column, entities: bool = True) -> Column:
-    """A short passage that a browser can find: the first sentence of 24 to 120 characters, else the start."""
-    t = clean_web(text, entities=entities)
-    fits = F.filter(F.transform(F.split(t, SENTENCE_END), lambda p: clean_web(p, entities=entities)), lambda p: F.length(p).between(24, 120))
-    start = strip(F.substring(t, 1, 100))
-    start = F.when(start.rlike("[A-Za-z]") & F.contains(start, F.lit(" ")), sub(start, " [^ ]*$")).otherwise(start)
-    return F.coalesce(F.try_element_at(fits, F.lit(1)), start)
+def fragment_snippet(clean: Column) -> Column:
+    """A short passage of a cleaned text that a browser can find: the first sentence of 24 to 120 characters, else the start."""
+
+    def of(t: Column) -> Column:
+        fits = F.filter(F.transform(F.split(t, SENTENCE_END), lambda p: clean_web(p, entities=False)), lambda p: F.length(p).between(24, 120))
+        whole = lambda s: F.when(s.rlike("[A-Za-z]") & F.contains(s, F.lit(" ")), sub(s, " [^ ]*$")).otherwise(s)
+        return F.coalesce(F.try_element_at(fits, F.lit(1)), let(whole, strip(F.substring(t, 1, 100))))
+
+    return let(of, clean)
 
 
 def percent_encode(text: Column) -> Column:
@@ -65,10 +67,10 @@ def percent_encode(text: Column) -> Column:
 
 
 def text_fragment_url(url: Column, quote: Column, entities: bool = True) -> Column:
-    q, base = clean_web(quote, entities=entities), sub(filled(url), "(?s)#.*$")
-    snippet = fragment_snippet(q, entities)
-    linked = F.when(F.length(snippet) < 12, base).otherwise(F.concat(base, F.lit("#:~:text="), percent_encode(snippet)))
-    return F.when(~filled(url).rlike("^https?://") | (F.length(q) < 12), filled(url)).otherwise(linked)
+    base = sub(filled(url), "(?s)#.*$")
+    linked = lambda s: F.when(F.length(s) < 12, base).otherwise(F.concat(base, F.lit("#:~:text="), percent_encode(s)))
+    of = lambda q: F.when(~filled(url).rlike("^https?://") | (F.length(q) < 12), filled(url)).otherwise(let(linked, fragment_snippet(q)))
+    return let(of, clean_web(quote, entities=entities))
 
 
 def normalize_api_base(base: str) -> str:
