@@ -301,7 +301,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: flo
         counts = {r["term"]: r["df"] for r in made.where("df is not null").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a row for each benchmark word
         n = max(1, counts.pop(-1, 0))
         df = np.array([counts.get(i, 0) for i in range(len(items.terms))])
-        idf = np.where(weighty(items, df, max_df * n), np.log1p(n / (1 + df)), 0.0)
+        # Inverse document frequency over the root of it: a term's column then has about unit
+        # energy whatever its frequency, so rare terms, which tell items apart, span the space too.
+        idf = np.where(weighty(items, df, max_df * n), np.log1p(n / (1 + df)) / np.sqrt(1 + df), 0.0)
         basis = latent_space(postings, idf, min(rank, len(items.terms)))
         part = scratch.table(postings.mapInArrow(_search(items, idf, basis, cosine, least), _MATCH), "matches")
         scratch.drop(made)
