@@ -97,3 +97,11 @@ def test_odd_rows(spark):
 def test_cut_keeps_the_rest():
     assert sd.cut("Éa, b!\nC  d.", [(1, 3)]) == "Éa,   d."
     assert sd.cut("a b c", [(0, 2), (1, 9)]) == ""
+
+
+def test_one_word_over_and_over(spark):
+    texts = ["alpha beta " + "The " * 70 + "omega", "x y z " + "The " * 130, "The " * 40, " ".join(prose(60, 5))]
+    rows = sd.passages(documents(spark, texts)).collect()
+    covered = {i for r in rows if r.doc_id == 1 for i in range(r.start_word, r.end_word)}
+    assert {r.doc_id for r in rows} == {1} and {r.source_doc_id for r in rows} == {0}
+    assert set(range(3, 120)) <= covered
