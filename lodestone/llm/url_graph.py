@@ -56,9 +56,10 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float, tolerance: float, rounds: int) -> DataFrame:
-    """(host, score): seeds' weights plus what flows over (src, dst, share), damped, to a fixed point.
+    """(host, score): seeds' weights plus what flows over (src, dst, share), damped, in so many rounds.
 
-    Ends when the total change is below ``tolerance`` of the total weight, which damping ** rounds bounds.
+    What is still missing then is at most damping ** rounds of the total weight.  Ends before
+    where a round changes no more than ``tolerance`` of it (0: nothing at all).
     """
     score = scratch.table(seeds.select("host", (F.col("weight") * (1 - damping)).alias("score")), "score")
     base, total = score, score.agg(F.sum("score")).first()[0] or 0.0
@@ -72,7 +73,7 @@ def spread(edges: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float,
     return score
 
 
-def judge_pages(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 1.0, tolerance: float = 1e-4, rounds: int = 60) -> DataFrame:
+def judge_pages(pages: DataFrame, rules=RULES, damping: float = 0.85, threshold: float = 1.0, tolerance: float = 0.0, rounds: int = 60) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust of every page.
 
     threshold: a host is blocked when distrust > threshold * trust.
