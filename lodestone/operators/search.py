@@ -64,6 +64,8 @@ class Scorer:
             self.machine.make_automaton()
 
     def found(self, text: str) -> Counter:
+        if not len(self.machine):
+            return Counter()
         return Counter(m for _, marks in self.machine.iter(text) for m in marks)
 
     def score(self, title: str, path: str, text: str, blob: str) -> np.ndarray:
