@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside the operators, so that joins keep the row.
 NO_ID = -(2**63)
+#: Bytes that an Arrow batch may hold on its way to Python.
+BATCH = "8m"
 #: Bytes of text that one numpy pass handles at a time.
 CHUNK = 1 << 20
 
@@ -80,7 +82,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """doc_id (null: NO_ID) and text only; other columns never reach an operator."""
+    """doc_id (null: NO_ID) and text only; other columns never reach an operator.
+
+    Bounds the session's Arrow batches by bytes, since 10,000 long texts would not fit a worker.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
