@@ -17,7 +17,10 @@ LEAST_CHARS = 20
 
 @dataclass
 class Index:
-    """documents (doc_id, path, rel_path, title, ext, mtime, size, content_hash), paragraphs and chunks by doc_id."""
+    """documents (doc_id, path, rel_path, title, ext, mtime, size, content_hash), paragraphs and chunks by doc_id.
+
+    Chunks repeat their document's title and rel_path, so a search scans one table and joins nothing.
+    """
 
     documents: DataFrame
     paragraphs: DataFrame
@@ -44,7 +47,7 @@ def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), entities
     rows = parsed(docs.where(F.length(filled(F.col("text"))) >= LEAST_CHARS), config, entities).where(F.size("chunks") > 0)
     documents = rows.select("doc_id", "path", "rel_path", "title", "ext", "mtime", "size", content_hash(F.col("text")).alias("content_hash"))
     paras = rows.select("doc_id", F.inline("paras"))
-    parts = rows.select("doc_id", F.inline("chunks")).withColumn("terms", terms_text(F.col("text")))
+    parts = rows.select("doc_id", "title", "rel_path", F.inline("chunks")).withColumn("terms", terms_text(F.col("text")))
     return Index(documents, paras, parts)
 
 

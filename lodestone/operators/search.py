@@ -117,12 +117,13 @@ def _local_best(rows: list[tuple], limit: int, least: float):
     return build
 
 
-def search_chunks(chunks: DataFrame, documents: DataFrame, queries: DataFrame, limit: int = 8, min_score: float = 1.0) -> DataFrame:
+def search_chunks(chunks: DataFrame, queries: DataFrame, limit: int = 8, min_score: float = 1.0) -> DataFrame:
     """(qid, rank, doc_id, chunk_index, score): the best chunks of each (qid, query), ties by document and chunk.
 
-    chunks: doc_id, chunk_index, text, terms; documents: doc_id, title, rel_path.
+    chunks: doc_id, chunk_index, title, rel_path, text, terms.  One scan; what is shuffled is each
+    task's best chunks.
     """
-    full = chunks.join(documents.select("doc_id", "title", "rel_path"), "doc_id").select(
+    full = chunks.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "title", "rel_path", "text", "terms")
     found, block = None, []
 
@@ -180,7 +181,7 @@ def paragraph_evidence(hits: DataFrame, paragraphs: DataFrame, queries: DataFram
 
 def search_documents(index, queries: DataFrame, limit: int = 8, min_score: float = 1.0) -> DataFrame:
     """Hits with title, url, content, quote and location, as a search page shows them."""
-    hits = search_chunks(index.chunks, index.documents, queries, limit, min_score)
+    hits = search_chunks(index.chunks, queries, limit, min_score)
     full = hits.join(index.chunks.select("doc_id", "chunk_index", "text", "paragraph_start", "paragraph_end", "char_start", "char_end"), ["doc_id", "chunk_index"])
     shown = paragraph_evidence(full, index.paragraphs, queries).join(index.documents.select("doc_id", "path", "rel_path", "ext", "mtime"), "doc_id")
     content = F.substring(clean_kb(F.col("text"), False), 1, 1400)

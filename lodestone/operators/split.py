@@ -203,9 +203,7 @@ def explode_paragraphs(docs: DataFrame, entities: bool = True) -> DataFrame:
     return docs.select("doc_id", F.inline(paragraphs(F.col("text"), entities)))
 
 
-def explode_chunks(docs: DataFrame, size: int = 1000, overlap: int = 160, entities: bool = True) -> DataFrame:
-    """A row for each chunk of (doc_id, text), with its terms."""
-    paras = docs.select("doc_id", paragraphs(F.col("text"), entities).alias("paras"))
-    out = paras.select("doc_id", F.inline(chunks(F.col("paras"), size, overlap)))
-
-    return out.withColumn("terms", terms_text(F.col("text")))
+def explode_chunks(docs: DataFrame, size: int = 1000, overlap: int = 160, entities: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each chunk of (doc_id, text), with its terms and the document's columns ``keep``."""
+    paras = docs.select("doc_id", *keep, paragraphs(F.col("text"), entities).alias("paras"))
+    return paras.select("doc_id", *keep, F.inline(chunks(F.col("paras"), size, overlap))).withColumn("terms", terms_text(F.col("text")))

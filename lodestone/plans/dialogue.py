@@ -9,6 +9,7 @@ from lodestone.functions import classify as C
 from lodestone.functions import rewrite as R
 from lodestone.functions import text as X
 from lodestone.functions import tokens as N
+from lodestone.functions.score import overlap_score
 from lodestone.functions.urls import direct_domains, extract_urls
 from lodestone.operators.answers import direct_answers, guarded_english_query, guarded_query, guarded_translation
 from lodestone.operators.evidence import citations
@@ -75,6 +76,18 @@ def answer_terms(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(F.array_sort(N.answer_terms(F.col("text"))), "|").alias("terms"))
 
 
+def _answer_terms(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform(regexp_extract_all({x}, {D.q('[A-Za-z][A-Za-z0-9_-]{1,}|[0-9]+|[一-鿿]{2,}')}), lambda y: lower(y)) || {D.grams(f"regexp_replace({x}, '[^一-鿿]', '', 'g')", 2)}, lambda y: y <> {D.q(N.ANSWER_STOPWORD)}))"
+
+
+@register("overlap_scores", f"""{_Q}, c AS (SELECT conv_id AS qid, turn, text FROM conversations WHERE text IS NOT NULL)
+SELECT qid, turn, text, CAST(len(list_intersect({_answer_terms('question')}, {_answer_terms('text')})) AS INTEGER) AS overlap FROM c JOIN questions USING (qid)""")
+def overlap_scores(spark, sf_dir):
+    """Terms that each turn shares with the question of its conversation."""
+    c = table(spark, sf_dir, "conversations").where("text is not null").withColumnRenamed("conv_id", "qid")
+    return c.join(questions(spark, sf_dir), "qid").select("qid", "turn", "text", overlap_score(F.col("question"), F.col("text")).alias("overlap"))
+
+
 @register("core_terms", f"{_Q} SELECT qid, array_to_string({core(_TOKENS, 8)}, '|') AS terms FROM questions")
 def core_terms(spark, sf_dir):
     return questions(spark, sf_dir).select("qid", F.array_join(N.core_terms(F.col("question")), "|").alias("terms"))

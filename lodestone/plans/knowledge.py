@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from lodestone.functions import text as X
 from lodestone.functions.tokens import kb_terms
 from lodestone.operators import index as I
-from lodestone.operators.search import search_chunks, search_documents
+from lodestone.operators.search import collect_hits, local_is_enough, search_chunks, search_documents
 from lodestone.operators.split import explode_chunks, explode_paragraphs, normalize_blocks, passages, text_blocks
 from lodestone.plans import duck as D
 from lodestone.plans.catalog import register
 from lodestone.plans.inputs import benchmark_queries, kb_documents, table
+from lodestone.sources.files import document_text
 
 # Paragraph texts by the three-step split, with spans found one after another from a cursor.
 _PARAGRAPHS = f"""
@@ -98,8 +99,39 @@ SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, CAST(chunk_index AS INTEGER)
 
 @register("kb_search_topk", _SEARCH)
 def kb_search_topk(spark, sf_dir):
-    docs = kb_documents(spark, sf_dir)
-    return search_chunks(explode_chunks(docs, entities=False), docs, benchmark_queries(spark, sf_dir))
+    chunks = explode_chunks(kb_documents(spark, sf_dir), entities=False, keep=("title", "rel_path"))
+    return search_chunks(chunks, benchmark_queries(spark, sf_dir))
+
+
+@register("kb_collected_hits", f"""{_SEARCH.split('SELECT qid, CAST(rank AS INTEGER)')[0].rstrip()},
+top AS (SELECT qid // 4 AS question, qid % 4 AS query_pos, rank, doc_id, chunk_index, score FROM ranked WHERE rank <= 8),
+once AS (SELECT *, row_number() OVER (PARTITION BY question, doc_id, chunk_index ORDER BY query_pos, rank) AS n FROM top),
+gathered AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY query_pos, rank) AS pos FROM once WHERE n = 1)
+SELECT question AS qid, CAST(pos AS INTEGER) AS pos, doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, score FROM gathered WHERE pos <= 8""")
+def kb_collected_hits(spark, sf_dir):
+    """Four benchmark queries in a row as the queries of one question: their hits one after another, each chunk once."""
+    hits = kb_search_topk(spark, sf_dir).withColumn("query_pos", F.col("qid") % 4).withColumn("qid", F.expr("qid div 4"))
+    return collect_hits(hits).select("qid", "pos", "doc_id", "chunk_index", "score")
+
+
+@register("kb_chunk_scan", f"""WITH RECURSIVE {_CHUNKS} SELECT c.doc_id, CAST(chunk_index AS INTEGER) AS chunk_index, source AS title, source || '/' || c.doc_id AS rel_path, CAST(length(c.text) AS INTEGER) AS n,
+source || '/' || c.doc_id || CASE WHEN paragraph_start = paragraph_end THEN '，第 ' || paragraph_start || ' 段' ELSE '，第 ' || paragraph_start || '–' || paragraph_end || ' 段' END AS location FROM chunks c JOIN documents d USING (doc_id)""")
+def kb_chunk_scan(spark, sf_dir):
+    """Every chunk with its document's title and path, and where it stands."""
+    c = explode_chunks(kb_documents(spark, sf_dir), entities=False, keep=("title", "rel_path"))
+    where = X.format_location(F.col("rel_path"), F.col("paragraph_start"), F.col("paragraph_end"), F.lit(None).cast("int"))
+    return c.select("doc_id", "chunk_index", "title", "rel_path", F.length("text").alias("n"), where.alias("location"))
+
+
+@register("kb_paragraph_counts", f"WITH RECURSIVE {_PARAGRAPHS} SELECT doc_id, count(*) AS n_paragraphs, CAST(max(length(text)) AS INTEGER) AS longest FROM paras GROUP BY doc_id")
+def kb_paragraph_counts(spark, sf_dir):
+    return explode_paragraphs(table(spark, sf_dir, "documents"), False).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.max(F.length("text")).alias("longest"))
+
+
+@register("kb_local_enough", f"""{_SEARCH.split('SELECT qid, CAST(rank AS INTEGER)')[0]} SELECT qid, count(*) >= 4 AND max(score) >= 8 AS enough FROM ranked WHERE rank <= 8 GROUP BY qid""")
+def kb_local_enough(spark, sf_dir):
+    """Whether the local hits of each benchmark query make a web search needless."""
+    return local_is_enough(kb_search_topk(spark, sf_dir))
 
 
 @register("kb_search_hits")
@@ -170,6 +202,34 @@ def text_passages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(passages(F.col("text"))).alias("n", "passage"))
 
 
+@register("numbered_blocks", f"""WITH one AS (SELECT doc_id, {D.one_spaced(D.filled('text'))} AS t FROM documents),
+parts AS (SELECT doc_id, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM (SELECT doc_id, {D.sentences('t')} AS s FROM one)),
+clean AS (SELECT doc_id, i, {D.clean_web('part')} AS text, CASE i % 3 WHEN 0 THEN 'p' WHEN 1 THEN 'h2' ELSE 'text' END AS tag FROM parts),
+keyed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower({D.sub('substr(text, 1, 220)', X.WS + '+', chr(39) + ' ' + chr(39))}) ORDER BY i) AS n FROM clean WHERE length(text) >= 20),
+numbered AS (SELECT doc_id, tag, text, row_number() OVER w AS b, count(*) FILTER (tag = 'p') OVER w AS p, coalesce(sum(length(text) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM keyed WHERE n = 1 WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT doc_id, 'P' || b AS block_id, CAST(b AS INTEGER) AS block_index, CASE tag WHEN 'p' THEN '网页正文第 ' || p || ' 段' WHEN 'h2' THEN '网页正文标题块 ' || b ELSE '网页正文块 ' || b END AS location, tag, text, CAST(s AS INTEGER) AS char_start, CAST(s + length(text) AS INTEGER) AS char_end FROM numbered""")
+def numbered_blocks(spark, sf_dir):
+    """Sentences as raw blocks of three kinds in turn, numbered."""
+    kind = lambda i: F.when((i + 1) % 3 == 0, "p").when((i + 1) % 3 == 1, "h2").otherwise("text")
+    raw = F.transform(F.split(X.one_spaced(X.filled(F.col("text"))), X.SENTENCE_END), lambda p, i: F.struct(kind(i).alias("tag"), p.alias("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.inline(normalize_blocks(raw))).drop("paragraph_index")
+
+
+@register("file_texts")
+def file_texts(spark, sf_dir):
+    """Documents as files of four kinds, read back by extension."""
+    d = kb_documents(spark, sf_dir)
+    kind = F.element_at(F.array(*map(F.lit, (".txt", ".json", ".csv", ".html"))), (F.abs(F.xxhash64("doc_id")) % 4 + 1).cast("int"))
+    body = F.when(kind == ".json", F.to_json(F.struct("title", "text"))).when(kind == ".html", F.concat(F.lit("<p>"), "text", F.lit("</p>"))).otherwise(F.col("text"))
+
+    def read(frames):
+        for f in frames:
+            f["text"] = [document_text(e, bytes(c)) if c is not None else "" for e, c in zip(f["ext"], f["content"])]
+            yield f[["doc_id", "ext", "text"]]
+
+    return d.select("doc_id", kind.alias("ext"), F.encode(body, "UTF-8").alias("content")).mapInPandas(read, "doc_id long, ext string, text string")
+
+
 @register("text_blocks")
 def text_blocks_query(spark, sf_dir):
     """Evidence blocks of plain text, numbered."""

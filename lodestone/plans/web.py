@@ -11,17 +11,17 @@ from lodestone.functions import text as X
 from lodestone.functions.rewrite import resource_queries
 from lodestone.functions.tokens import RELEVANCE_STOPWORDS
 from lodestone.functions.urls import extract_domain, github_repo, normalize_domain, text_fragment_url
+from lodestone.models import generate
 from lodestone.operators import evidence as E
 from lodestone.operators import render
 from lodestone.operators.ranking import parse_weights, rank_hits, site_weight
-from lodestone.operators.search import local_is_enough, search_chunks
-from lodestone.operators.split import explode_chunks, normalize_blocks
+from lodestone.operators.split import normalize_blocks
 from lodestone.plans import duck as D
 from lodestone.plans.catalog import register
 from lodestone.plans.dialogue import core, query_tokens_sql
-from lodestone.plans.inputs import benchmark_queries, kb_documents, page_hits, questions, table
+from lodestone.plans.inputs import page_hits, questions, table
 from lodestone.sources.html import described_column, index_text_column, raw_blocks_column, readable_text_column
-from lodestone.sources.web import fetched_pages, merge_hits
+from lodestone.sources.web import fetch_refusal, fetched_pages, merge_hits
 
 # Weights of the hosts that the tables have; a parent stands before its child, so the child's own never counts.
 WEIGHTS = parse_weights("""
@@ -189,7 +189,17 @@ def block_scores(spark, sf_dir):
     return r.select("qid", "rank", S.block_score(F.col("question"), F.col("content"), F.lit("p"), F.col("title"), F.col("url")).alias("score"))
 
 
-@register("relevant_passages")
+_PASSAGE_ROWS = f"""said AS (SELECT qid, pos, content, {D.relevance_tokens('question', RELEVANCE_STOPWORDS)} AS tokens FROM raw JOIN questions USING (qid)),
+sentences AS (SELECT qid, pos, tokens, unnest(s) AS part, generate_subscripts(s, 1) AS i FROM (SELECT qid, pos, tokens, list_transform({D.sentences(D.one_spaced(D.filled('content')))}, lambda p: {D.snippet('p')}) AS s FROM said)),
+cut AS (SELECT qid, pos, tokens, i, 0 AS off, part AS p FROM sentences WHERE length(part) BETWEEN 40 AND 900
+  UNION ALL SELECT qid, pos, tokens, i, off, {D.snippet('substr(part, CAST(off + 1 AS BIGINT), 620)')} FROM (SELECT *, unnest(range(0, least(length(part), 2600), 520)) AS off FROM sentences WHERE length(part) > 900)),
+listed AS (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY i, off) AS k FROM cut WHERE length(p) >= 40),
+scored AS (SELECT qid, pos, k, p, {D.total('list_slice(tokens, 1, 16)', 'CASE WHEN contains(lower(p), lower(x)) THEN CASE WHEN length(x) >= 4 THEN 4 ELSE 2 END ELSE 0 END')} + CASE WHEN regexp_matches(lower(p), {D.q(S.PASSAGE_WORDS)}) THEN 2 ELSE 0 END + CASE WHEN regexp_matches(p, {D.q(S.PASSAGE_WORDS_HAN)}) THEN 2 ELSE 0 END AS s FROM listed WHERE k <= 220),
+unlike AS (SELECT *, row_number() OVER (PARTITION BY qid, pos, substr(p, 1, 90) ORDER BY s DESC, k) AS a FROM scored WHERE s > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY qid, pos ORDER BY s DESC, k) AS n FROM unlike WHERE a = 1)"""
+
+
+@register("relevant_passages", f"WITH {_HITS}, {_PASSAGE_ROWS} SELECT qid, pos, CAST(n - 1 AS INTEGER) AS n, p AS passage FROM best WHERE n <= 4")
 def relevant_passages(spark, sf_dir):
     """The best passages of each page for its question."""
     h = page_hits(spark, sf_dir)
@@ -202,15 +212,34 @@ def noise_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", C.is_noise(X.html_title(h, False), h, F.lit(""), F.col("url")).alias("noise"))
 
 
-def _local_hits(spark, sf_dir):
-    docs = kb_documents(spark, sf_dir)
-    return search_chunks(explode_chunks(docs, entities=False), docs, benchmark_queries(spark, sf_dir))
+@register("fetch_refusals", """WITH u AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN url || '.ZIP' WHEN 2 THEN replace(url, 'http', 'ftp') ELSE ' ' || url END AS url, CASE page_id % 3 WHEN 0 THEN 'text/html' WHEN 1 THEN 'image/png' ELSE NULL END AS kind FROM pages)
+SELECT page_id, CASE WHEN NOT regexp_matches(lower(trim(coalesce(url, ''))), '^https?://') THEN 'not http' WHEN regexp_matches(lower(trim(url)), '[.](zip|tar|gz|7z|rar|exe|dmg|whl)$') THEN 'archive'
+WHEN kind = 'image/png' THEN 'content type' END AS refusal FROM u""")
+def fetch_refusals(spark, sf_dir):
+    """Why page urls in four spellings would not be fetched."""
+    i, u = F.col("page_id"), F.col("url")
+    url = F.when(i % 4 == 0, u).when(i % 4 == 1, F.concat(u, F.lit(".ZIP"))).when(i % 4 == 2, F.replace(u, F.lit("http"), F.lit("ftp"))).otherwise(F.concat(F.lit(" "), u))
+    kind = F.when(i % 3 == 0, "text/html").when(i % 3 == 1, "image/png")
+    return table(spark, sf_dir, "pages").select("page_id", fetch_refusal(url, kind).alias("refusal"))
+
+
+@register("short_reports")
+def short_reports(spark, sf_dir):
+    """Reports that only list hits, as for inputs too short to interpret."""
+    return render.short_query_report(questions(spark, sf_dir), rank_hits(page_hits(spark, sf_dir), WEIGHTS, 0))
+
+
+@register("model_contexts")
+def model_contexts(spark, sf_dir):
+    """Sources as a prompt shows them, and the stub model's answer to it."""
+    context = render.model_context(E.audited(_enriched(spark, sf_dir)))
+    answers = generate(context.select("qid", F.col("context").alias("prompt")))
+    return context.join(answers, "qid").select("qid", "context", X.clean_model_answer(F.col("answer")).alias("answer"))
 
 
-@register("local_enough")
-def local_enough(spark, sf_dir):
-    """Whether the local hits of each benchmark query make a web search needless."""
-    return local_is_enough(_local_hits(spark, sf_dir))
+@register("audit_summaries")
+def audit_summaries(spark, sf_dir):
+    return render.audit_summary(E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), questions(spark, sf_dir)))
 
 
 @register("resource_reports")

@@ -105,7 +105,7 @@ def test_search_equals_the_expression(spark):
 
     table = spark.createDataFrame(chunks, "doc_id long, chunk_index int, text string").withColumn("terms", terms_text(F.col("text")))
     queries = spark.createDataFrame([(1, "劳动过程 tool"), (2, "anan THE of"), (3, "？"), (4, None)], "qid long, query string")
-    got = [tuple(r) for r in search.search_chunks(table, docs, queries, 5).orderBy("qid", "rank").collect()]
+    got = [tuple(r) for r in search.search_chunks(table.join(docs, "doc_id"), queries, 5).orderBy("qid", "rank").collect()]
     q = search.query_rows(queries)
     s = table.join(docs, "doc_id").join(F.broadcast(q), F.lit(True)).select("qid", "doc_id", "chunk_index", chunk_score(q["terms"], F.col("phrase"), F.lower("title"), F.lower("rel_path"), F.lower("text"), F.lower(table["terms"])).alias("score"))
     want, rows = [], [tuple(r) for r in s.collect()]
@@ -113,7 +113,7 @@ def test_search_equals_the_expression(spark):
         best = sorted((r for r in rows if r[0] == qid and r[3] >= 1), key=lambda r: (-r[3], r[1], r[2]))[:5]
         want += [(qid, i + 1, d, c, x) for i, (_, d, c, x) in enumerate(best)]
     assert got == want
-    assert search.search_chunks(table, docs, queries.where("qid > 2")).count() == 0
+    assert search.search_chunks(table.join(docs, "doc_id"), queries.where("qid > 2")).count() == 0
 
 
 def test_hits_and_paragraph_evidence(spark):
