@@ -27,6 +27,7 @@ class Index:
     chunks: DataFrame
 
     def write(self, folder: str) -> Index:
+        """Three jobs, each of which parses the texts; only what a table needs is computed for it."""
         for name in ("documents", "paragraphs", "chunks"):
             getattr(self, name).write.mode("overwrite").option("mergeSchema", True).parquet(f"{folder}/{name}")
         return Index.read(self.documents.sparkSession, folder)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.classify import detect_resource_intent
 from lodestone.functions.text import clean_snippet, html_title, sub
+from lodestone.operators.index import Index, build_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +27,25 @@ def kb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_chars").cast("double").alias("mtime"), F.col("n_chars").alias("size"), "text")
 
 
+def stored_index(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of all documents, written to the folder that the cluster shares and dropped at exit.
+
+    Read back, no text is parsed again for each use of a table.
+    """
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
+    folder = f"{shared.rstrip('/')}/lodestone-index-{uuid.uuid4().hex[:12]}"
+    atexit.register(_drop, spark, folder)
+    return build_index(kb_documents(spark, sf_dir), entities=False).write(folder)
+
+
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  at exit the JVM may be gone already
+        pass
+
+
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
 

@@ -11,7 +11,7 @@ from lodestone.operators.search import collect_hits, local_is_enough, search_chu
 from lodestone.operators.split import explode_chunks, explode_paragraphs, normalize_blocks, passages, text_blocks
 from lodestone.plans import duck as D
 from lodestone.plans.catalog import register
-from lodestone.plans.inputs import benchmark_queries, kb_documents, table
+from lodestone.plans.inputs import benchmark_queries, kb_documents, stored_index, table
 from lodestone.sources.files import document_text
 
 # Paragraph texts by the three-step split, with spans found one after another from a cursor.
@@ -137,7 +137,7 @@ def kb_local_enough(spark, sf_dir):
 @register("kb_search_hits")
 def kb_search_hits(spark, sf_dir):
     """Hits as a page shows them, with the best paragraphs of each."""
-    return search_documents(I.build_index(kb_documents(spark, sf_dir), entities=False), benchmark_queries(spark, sf_dir))
+    return search_documents(stored_index(spark, sf_dir), benchmark_queries(spark, sf_dir))
 
 
 @register("content_hashes", "SELECT doc_id, sha256(coalesce(text, '')) AS content_hash FROM documents")
@@ -181,8 +181,7 @@ kept AS (SELECT doc_id, n_chars FROM documents WHERE length(coalesce(text, ''))
 SELECT (SELECT count(*) FROM documents) AS file_count, (SELECT count(*) FROM kept) AS indexed_documents, (SELECT count(*) FROM documents) - (SELECT count(*) FROM kept) AS new_or_changed_files, 0::BIGINT AS removed_files,
 (SELECT count(*) FROM chunks SEMI JOIN kept USING (doc_id)) AS indexed_chunks, (SELECT count(*) FROM paras SEMI JOIN kept USING (doc_id)) AS indexed_paragraphs, (SELECT count(*) FROM documents) > (SELECT count(*) FROM kept) AS is_stale""")
 def kb_status(spark, sf_dir):
-    docs = kb_documents(spark, sf_dir)
-    return I.index_status(docs, I.build_index(docs, entities=False))
+    return I.index_status(kb_documents(spark, sf_dir), stored_index(spark, sf_dir))
 
 
 @register("text_cleaners", f"""SELECT doc_id, md5({D.clean_kb('text')}) AS kb, md5({D.clean_web('text')}) AS web, md5({D.cut(D.clean_web('text'), 520, '…')}) AS web_cut, md5({D.snippet('text')}) AS snippet,
