@@ -27,7 +27,6 @@ class Index:
     chunks: DataFrame
 
     def write(self, folder: str) -> Index:
-        """Three jobs, each of which parses the texts; only what a table needs is computed for it."""
         for name in ("documents", "paragraphs", "chunks"):
             getattr(self, name).write.mode("overwrite").option("mergeSchema", True).parquet(f"{folder}/{name}")
         return Index.read(self.documents.sparkSession, folder)
@@ -45,13 +44,28 @@ def parsed(docs: DataFrame, config: EngineConfig = EngineConfig(), entities: boo
 
 def build_index(docs: DataFrame, config: EngineConfig = EngineConfig(), entities: bool = True) -> Index:
     """Index of (doc_id, path, rel_path, title, ext, mtime, size, text); texts under 20 characters or without a chunk are left out."""
+    return _tables(_kept(docs, config, entities))
+
+
+def _kept(docs: DataFrame, config: EngineConfig, entities: bool) -> DataFrame:
     rows = parsed(docs.where(F.length(filled(F.col("text"))) >= LEAST_CHARS), config, entities).where(F.size("chunks") > 0)
-    documents = rows.select("doc_id", "path", "rel_path", "title", "ext", "mtime", "size", content_hash(F.col("text")).alias("content_hash"))
+    return rows.withColumn("content_hash", content_hash(F.col("text")))
+
+
+def _tables(rows: DataFrame) -> Index:
+    documents = rows.select("doc_id", "path", "rel_path", "title", "ext", "mtime", "size", "content_hash")
     paras = rows.select("doc_id", F.inline("paras"))
     parts = rows.select("doc_id", "title", "rel_path", F.inline("chunks")).withColumn("terms", terms_text(F.col("text")))
     return Index(documents, paras, parts)
 
 
+def write_index(docs: DataFrame, folder: str, config: EngineConfig = EngineConfig(), entities: bool = True) -> Index:
+    """build_index() written below ``folder``; texts are parsed once, into a table that the three others are made from."""
+    rows = _kept(docs, config, entities).drop("text")
+    rows.write.mode("overwrite").parquet(f"{folder}/parsed")
+    return _tables(docs.sparkSession.read.parquet(f"{folder}/parsed")).write(folder)
+
+
 def index_stats(docs: DataFrame, config: EngineConfig = EngineConfig(), entities: bool = True) -> DataFrame:
     """One row: doc_count, paragraph_count, chunk_count, skipped_count."""
     rows = parsed(docs, config, entities).select(

@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.classify import detect_resource_intent
 from lodestone.functions.text import clean_snippet, html_title, sub
-from lodestone.operators.index import Index, build_index
+from lodestone.operators.index import Index, write_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table; one in fewer pieces than there are cores is dealt out, as parsing its texts is the work."""
+    t = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return t.repartition(cores) if name in ("documents", "pages") and t.rdd.getNumPartitions() < cores else t
 
 
 def kb_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +38,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> Index:
     shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lodestone-")
     folder = f"{shared.rstrip('/')}/lodestone-index-{uuid.uuid4().hex[:12]}"
     atexit.register(_drop, spark, folder)
-    return build_index(kb_documents(spark, sf_dir), entities=False).write(folder)
+    return write_index(kb_documents(spark, sf_dir), folder, entities=False)
 
 
 def _drop(spark: SparkSession, folder: str) -> None:
