@@ -11,6 +11,11 @@ from lodestone.functions.score import overlap_score
 from lodestone.functions.text import WS, clean_answer_block, clean_one_line, filled, let, strip, sub
 from lodestone.operators.split import options, question_blocks
 
+# Patterns and sentences of a direct answer.
+CORRECT_IS = "根据本地知识库，正确答案是："
+CORRECT_KEY = "根据本地知识库，正确答案是 "
+OTHERS_ARE = "该题题干问的是“不包括”，因此除正确选项外，其余选项可作为题干所指的基本要素："
+EXPLAINED = "这是从本地知识库中的结构化“正确答案”字段直接抽取的结果，未调用模型生成长回答。"
 CORRECT = rf"(?i)正确答案{WS}*[:：]{WS}*([A-H]|对|错|正确|错误){WS}*(?:[:：]{WS}*([^;；\n]+))?"
 STEM_END = rf"(?i)(?:\n|{WS}|·){WS}*A{WS}*[.．、:：]|我的答案|正确答案"
 
@@ -44,19 +49,19 @@ def direct_answers(hits: DataFrame) -> DataFrame:
     b = b.withColumn("text", F.when(stated != "", stated).otherwise(F.coalesce(F.try_element_at("options", F.col("key")), F.lit(""))))
     truth = F.when(F.col("key").isin("对", "正确"), "对").otherwise("错")
     verdict = (
-        F.when(F.col("key").isin("对", "错", "正确", "错误"), F.concat(F.lit("根据本地知识库，正确答案是："), truth, F.lit("。")))
-        .when(F.col("text") != "", F.concat(F.lit("根据本地知识库，正确答案是 "), F.col("key"), F.lit("："), F.col("text"), F.lit("。")))
-        .otherwise(F.concat(F.lit("根据本地知识库，正确答案是 "), F.col("key"), F.lit("。")))
+        F.when(F.col("key").isin("对", "错", "正确", "错误"), F.concat(F.lit(CORRECT_IS), truth, F.lit("。")))
+        .when(F.col("text") != "", F.concat(F.lit(CORRECT_KEY), F.col("key"), F.lit("："), F.col("text"), F.lit("。")))
+        .otherwise(F.concat(F.lit(CORRECT_KEY), F.col("key"), F.lit("。")))
     )
     entries = F.map_entries("options")
     rest = F.slice(F.transform(F.filter(entries, lambda e: e["key"] != F.col("key")), lambda e: F.concat(F.lit("- "), e["value"])), 1, 6)
     asks_rest = F.col("question").rlike("三个|三.*要素|哪些|哪三") & F.contains("block", F.lit("不包括")) & F.map_contains_key("options", F.col("key")) & (F.size(rest) > 0)
-    included = F.when(asks_rest, F.concat(F.lit("\n\n该题题干问的是“不包括”，因此除正确选项外，其余选项可作为题干所指的基本要素：\n"), F.array_join(rest, "\n"))).otherwise("")
+    included = F.when(asks_rest, F.concat(F.lit(f"\n\n{OTHERS_ARE}\n"), F.array_join(rest, "\n"))).otherwise("")
     head, listed = stem(F.col("block")), F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit(". "), e["value"])), "；")
     source = F.concat(F.lit("来源："), filled(F.col("title")), F.when(filled(F.col("url")) != "", F.concat(F.lit("（"), F.col("url"), F.lit("）"))).otherwise(""))
     lines = F.array_compact(F.array(
         F.lit("【依据】"), F.when(head != "", F.concat(F.lit("命中的题目："), head)), F.when(F.size("options") > 0, F.concat(F.lit("选项："), listed)), source,
-        F.lit(""), F.lit("【说明】"), F.lit("这是从本地知识库中的结构化“正确答案”字段直接抽取的结果，未调用模型生成长回答。")))
+        F.lit(""), F.lit("【说明】"), F.lit(EXPLAINED)))
     answer = F.concat(F.lit("【直接答案】\n"), verdict, included, F.lit("\n\n"), F.array_join(lines, "\n"))
     return b.select("qid", answer.alias("answer"), F.col("title").alias("source_title"), F.col("url").alias("source_url"), F.col("score").cast("int").alias("score"))
 

@@ -13,6 +13,13 @@ from lodestone.functions.urls import text_fragment_url
 from lodestone.operators.split import normalize_blocks, passages, text_blocks
 
 MOST_BLOCKS, MOST_PASSAGES = 260, 220
+# Warnings of the audit.
+NO_SOURCE = "没有进入最终回答的来源。"
+NO_PRIMARY = "缺少官方文档、论文、官方仓库或高权威技术来源。"
+NO_DATE = "问题具有时效性/版本性，但未检测到明确发布日期或版本页。"
+NO_PAGE = "没有成功抓取正文，只能依赖搜索摘要，结论必须保守。"
+CAUTION = "检索到可能的限制、反例、报错或不支持信息，需要在结论中保留条件。"
+ONE_DOMAIN = "来源域名过于集中，独立性不足。"
 
 
 def relevant_passages(question: Column, text: Column, most: int = 4) -> Column:
@@ -134,12 +141,12 @@ def audit(ranked: DataFrame, questions: DataFrame) -> DataFrame:
         .when(((c("strong_count") >= 1) | (c("medium_count") >= 2)) & (c("primary_count") >= 1), "中").when(c("cards") > 0, "低").otherwise("不足")
     )
     warnings = F.array_compact(F.array(
-        F.when(c("cards") == 0, F.lit("没有进入最终回答的来源。")),
-        F.when(c("primary_count") == 0, F.lit("缺少官方文档、论文、官方仓库或高权威技术来源。")),
-        F.when(c("_timely") & (c("dated_count") == 0), F.lit("问题具有时效性/版本性，但未检测到明确发布日期或版本页。")),
-        F.when((c("fetched_count") == 0) & (c("cards") > 0), F.lit("没有成功抓取正文，只能依赖搜索摘要，结论必须保守。")),
-        F.when(c("caution_count") > 0, F.lit("检索到可能的限制、反例、报错或不支持信息，需要在结论中保留条件。")),
-        F.when((c("unique_domains") <= 1) & (c("cards") >= 3), F.lit("来源域名过于集中，独立性不足。")),
+        F.when(c("cards") == 0, F.lit(NO_SOURCE)),
+        F.when(c("primary_count") == 0, F.lit(NO_PRIMARY)),
+        F.when(c("_timely") & (c("dated_count") == 0), F.lit(NO_DATE)),
+        F.when((c("fetched_count") == 0) & (c("cards") > 0), F.lit(NO_PAGE)),
+        F.when(c("caution_count") > 0, F.lit(CAUTION)),
+        F.when((c("unique_domains") <= 1) & (c("cards") >= 3), F.lit(ONE_DOMAIN)),
     ))
     q = q.withColumn("strength", strength).withColumn("warnings", warnings)
     hold = (c("strength").isin("低", "不足") & c("_timely")) | ((c("primary_count") == 0) & (c("cards") <= 2))

@@ -73,7 +73,7 @@ def test_tokenizers(spark):
     assert values(spark, MIXED[2:3], N.query_tokens) == [["ChatGPT", "服务降级风险等级", "用量", "degradation", "degraded", "服务降级", "risk", "risk level", "风险等级", "usage", "quota", "limit"]]
     assert values(spark, ["的", "劳动过程x", None], lambda t: F.array_sort(N.answer_terms(t))) == [[], sorted(["劳动", "劳动过程", "动过", "过程"]), []]
     assert values(spark, ["python3 error on cuda at x1"], N.core_terms) == [["python3", "error", "cuda", "x1", "on", "at"]]
-    assert values(spark, ["用 GitHub 查 ST-research, (ST-research) 和 Codex."], N.ascii_entities) == [["ST-research", "Codex"]]
+    assert values(spark, ["用 GitHub 查 Foo-kit, (Foo-kit) 和 Codex."], N.ascii_entities) == [["Foo-kit", "Codex"]]
     df = spark.createDataFrame([([" A", "a", "b ", "", "B", "c"],)], "t array<string>")
     assert df.select(N.unique_keep_order(F.col("t"))).first()[0] == ["A", "b", "c"]
 
@@ -107,12 +107,12 @@ def test_classifiers(spark):
 def test_rewrites(spark):
     assert values(spark, ["帮我找论文 transformer 资料", "find articles about rag", "论文"], R.resource_query) == ["transformer", "rag", "论文"]
     assert values(spark, ["marx labor process tool", "x"], R.expand_kb_query) == ["马克思 劳动过程 劳动 工具", None]
-    asked = ["ST-research 是一个什么样的工具", "vLLM 怎么安装", "找一个开源项目，获取 ChatGPT 服务降级风险等级和 Codex 用量，最新一次提交在三周之前", "plain english", "深度研究"]
+    asked = ["Foo-kit 是一个什么样的工具", "vLLM 怎么安装", "找一个开源项目，获取 ChatGPT 服务降级风险等级和 Codex 用量，最新一次提交在三周之前", "plain english", "深度研究"]
     assert values(spark, asked, R.rule_translate) == [
-        "what kind of tool is ST-research", "how to install and set up vLLM",
+        "what kind of tool is Foo-kit", "how to install and set up vLLM",
         "Find an open-source project that fetches ChatGPT service degradation risk level, Codex usage information, with its latest commit three weeks ago", "", ""]
-    assert values(spark, asked[:2], lambda t: R.rule_translate(t, True)) == ["ST-research tool", "vLLM install setup"]
-    said = ["ST-research is a tool", "How to install vLLM?", "GitHub project", "x", "deep research"]
+    assert values(spark, asked[:2], lambda t: R.rule_translate(t, True)) == ["Foo-kit tool", "vLLM install setup"]
+    said = ["Foo-kit is a tool", "How to install vLLM?", "GitHub project", "x", "deep research"]
     assert values(spark, asked, R.looks_like_answer, said) == [True, False, True, False, False]
     queries = values(spark, ["pytorch 报错"], lambda q: R.resource_queries(q, F.lit("troubleshooting")))[0]
     assert queries == ["pytorch 报错", "pytorch 报错 error fix", "pytorch 报错 报错"]
