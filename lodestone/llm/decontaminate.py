@@ -8,7 +8,7 @@ a QR of terms x rank) gives the latent space.  A passage near an item there (cos
 candidate; the word bags, the longest common subsequence of the words and the item's answer
 then decide.  All documents take part in the statistics, in the SVD and in the search.
 
-What is sent to tasks is the benchmark, its terms and terms x rank numbers; MAX_TERMS bounds
+What is sent to tasks is the benchmark, its terms and terms x rank numbers; MAX_TERMS (words) bounds
 it, and a larger benchmark is searched block by block.
 
 Defined results: null, empty and short texts are compared as they are; a null doc_id is one id
@@ -36,7 +36,7 @@ MAX_DF = 0.01
 #: Rarest terms of an item that carry weight however often they occur.
 RAREST = 8
 #: Distinct benchmark words that one block of items may have.
-MAX_TERMS = 200_000
+MAX_TERMS = 20_000
 STRIP = 32  # terms a row when shares of A'A G are summed
 
 
