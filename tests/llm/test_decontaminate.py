@@ -64,6 +64,14 @@ def test_matches_equal_brute_force(spark):
             assert r.lcs == 1 and (words == items[r.item_id].rstrip(".").split() or len(words) > len(items[r.item_id].split()))
 
 
+def test_blocks_of_items_give_the_same(spark, monkeypatch):
+    texts, items, leaks = corpus()
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    monkeypatch.setattr(dc, "MAX_TERMS", 400)
+    assert len(list(dc.blocks_of(bench))) > 1
+    assert leaks <= {(r.doc_id, r.item_id) for r in dc.matches(documents(spark, texts), bench).collect()}
+
+
 def test_odd_rows(spark):
     item = " ".join(prose(30, 9))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
