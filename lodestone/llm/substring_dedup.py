@@ -32,8 +32,8 @@ from pyspark.sql import types as T
 from lodestone.llm.kit import NO_ID, Scratch, Words, keyed, mix, pieces, runs, unkeyed
 
 K, WINDOW = 5, 16
-#: Places after which a run of one word is matched anew.
-RUN = 64
+#: Words between repeats of a seed that count as a run, and places after which a run is matched anew.
+PERIOD, RUN = 64, 64
 #: What a seed gains, and what each skipped word costs on either side.
 GAIN, SKIP = 5.0, 0.1
 #: Words between neighbouring seeds, and change of diagonal, at which a chain is cut.
@@ -79,21 +79,26 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
     return x
 
 
-def numbered_runs(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Seed keys in which neighbours that are alike differ: one word over and over gives the same seed at
-    every place, so each is keyed by its place in the run (modulo RUN) and runs match place by place."""
+def numbered_runs(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of each seed: repeats of a seed at most PERIOD words apart are a run, as in a line over
+    and over, and each is keyed by its place in the run (modulo RUN), so that runs match place by place."""
+    order = np.lexsort((pos, h, d))
+    ho, do, po = h[order], d[order], pos[order]
     same = np.zeros(len(h), bool)
-    same[1:] = (h[1:] == h[:-1]) & (d[1:] == d[:-1]) & (pos[1:] == pos[:-1] + 1)
+    same[1:] = (ho[1:] == ho[:-1]) & (do[1:] == do[:-1]) & (po[1:] <= po[:-1] + PERIOD)
     at = np.arange(len(h))
-    place = at - np.maximum.accumulate(np.where(same, 0, at))
+    place = np.zeros(len(h), np.int64)
+    place[order] = at - np.maximum.accumulate(np.where(same, 0, at))
     with np.errstate(over="ignore"):
-        return np.where(place > 0, mix(h + (place % RUN).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), h)
+        return place, np.where(place > 0, mix(h + (place % RUN).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), h)
 
 
 def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
         h, d, pos = minimisers(Words(batch["text"].to_pylist()))
-        h = numbered_runs(h, d, pos)
+        place, key = numbered_runs(h, d, pos)
+        again = place > 0  # also under its plain key, for a source that has it once
+        h, d, pos = np.concatenate([key, h[again]]), np.concatenate([d, d[again]]), np.concatenate([pos, pos[again]])
         ids = np.asarray(batch["doc_id"])
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[d]), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "pos"])
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from common import documents, prose
@@ -105,3 +106,12 @@ def test_one_word_over_and_over(spark):
     covered = {i for r in rows if r.doc_id == 1 for i in range(r.start_word, r.end_word)}
     assert {r.doc_id for r in rows} == {1} and {r.source_doc_id for r in rows} == {0}
     assert set(range(3, 120)) <= covered
+
+
+@pytest.mark.parametrize("width", [2, 6, 12, 30])
+def test_a_line_over_and_over(spark, width):
+    line = prose(width, 40 + width) * (120 // width)
+    texts = [" ".join(prose(40, 2 * i) + line + prose(40, 2 * i + 1)) for i in range(2)]
+    rows = sd.passages(documents(spark, texts)).collect()
+    covered = {i for r in rows for i in range(r.start_word, r.end_word)}
+    assert {(r.doc_id, r.source_doc_id) for r in rows} == {(1, 0)} and set(range(40, 160)) <= covered
