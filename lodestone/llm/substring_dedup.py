@@ -1,6 +1,7 @@
 """Fuzzy passages that repeat across documents, by collinear chaining.
 
-Seeds are five-word windows, thinned to the minimisers of WINDOW neighbours, so that any run of
+Seeds are five-word windows: those of the least 1 / SAMPLE of all hashes, whose choice does not depend on
+the words around, and the minimisers of WINDOW neighbours (few more), so that any run of
 WINDOW + 4 equal words shares a seed.  A seed that several documents have is matched to its
 first occurrence (least doc_id, then position), a star and not a clique: matches grow with
 the occurrences.  The matches of a document with one source are chained in order on both
@@ -21,6 +22,7 @@ passages() and kept by remove_passages().
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,9 @@ from pyspark.sql import types as T
 
 from lodestone.llm.kit import NO_ID, Scratch, Words, keyed, mix, pieces, runs, unkeyed
 
-K, WINDOW = 5, 16
+K, WINDOW, SAMPLE = 5, 16, 4
+#: Parts, by hash, in which seeds are matched one after the other, so that less is on disk at a time.
+PARTS = 2
 #: Words between repeats of a seed that count as a run, and places after which a run is matched anew.
 PERIOD, RUN = 64, 64
 #: What a seed gains, and what each skipped word costs on either side.
@@ -64,7 +68,7 @@ def minimisers(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     line[place] = g
     low = _sliding(line, window, np.minimum)  # low[i]: least of line[i : i + window]
     held = _sliding(np.where(low == top, np.uint64(0), low), window, np.maximum)  # held[i]: greatest of low[i : i + window]
-    chosen = held[place - window + 1] == g
+    chosen = (held[place - window + 1] == g) | (g < np.uint64(2**64 // SAMPLE))
     pos = at[chosen] - words.first[d[chosen]]
     return g[chosen], d[chosen], pos
 
@@ -139,7 +143,7 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
 
 
 def _chains(min_words: int):
-    least = min_words - 2 * (WINDOW + K)
+    least = min(min_words, K + 1)  # two seeds
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -260,13 +264,20 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> Dat
     scratch = Scratch(docs.sparkSession, "passages")
     rows = keyed(docs)
     seeds = scratch.table(rows.mapInArrow(_seeds, "h long, doc_id long, pos int"), "seeds")
-    shared = seeds.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
-    shared = scratch.table(shared, "shared")
-    scratch.free()
-    matches = seeds.join(shared.hint("merge"), "h").where("doc_id > src").select("doc_id", "src", "pos", "src_pos")
+    parts = []
+    for part in range(PARTS):
+        mine = seeds.where(F.pmod("h", F.lit(PARTS)) == part)
+        shared = mine.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
+        shared = scratch.table(shared, "shared")
+        scratch.free()
+        parts.append(scratch.table(mine.join(shared.hint("merge"), "h").where("doc_id > src").select("doc_id", "src", "pos", "src_pos"), "matches"))
+        scratch.drop(shared)
+        scratch.free()
+    scratch.drop(seeds)
+    matches = functools.reduce(DataFrame.union, parts)
     chains = matches.repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_chains(min_words), _CHAIN)
     chains = scratch.table(chains, "chains")
-    scratch.drop(seeds, shared)
+    scratch.drop(*parts)
     scratch.free()
     wanted = chains.select("doc_id", F.col("x_from").alias("a"), F.col("x_to").alias("b")).union(chains.select("src", "y_from", "y_to")).distinct()
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))  # ranges of one text

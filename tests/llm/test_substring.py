@@ -115,3 +115,25 @@ def test_a_line_over_and_over(spark, width):
     rows = sd.passages(documents(spark, texts)).collect()
     covered = {i for r in rows for i in range(r.start_word, r.end_word)}
     assert {(r.doc_id, r.source_doc_id) for r in rows} == {(1, 0)} and set(range(40, 160)) <= covered
+
+
+def pairs(spark, count, make):
+    """How many of ``count`` passages are found; make(i) gives the two forms of one, put into different surroundings."""
+    texts = []
+    for i in range(count):
+        texts += [" ".join(prose(60, 9_000 + 4 * i + 2 * j) + p + prose(60, 9_001 + 4 * i + 2 * j)) for j, p in enumerate(make(i))]
+    rows = sd.passages(documents(spark, texts)).collect()
+    return sum(any((r.doc_id, r.source_doc_id) == (2 * i + 1, 2 * i) for r in rows) for i in range(count))
+
+
+def changed(n, every):
+    def make(i):
+        p = prose(n, 5_000 + i, 10**9)
+        return p, [f"edit{j}" if j % every == every - 1 else w for j, w in enumerate(p)]
+
+    return make
+
+
+def test_fuzzy_recall(spark):
+    assert pairs(spark, 40, changed(60, 10)) >= 38
+    assert pairs(spark, 40, changed(60, 8)) >= 35
