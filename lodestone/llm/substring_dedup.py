@@ -10,6 +10,9 @@ best predecessor is a prefix maximum in a Fenwick tree over source positions.  C
 aligned word by word and extended beyond their outer seeds; passages of at least
 ``min_words`` words and the given identity are returned.
 
+Equal runs do not rest on seeds' sources: of all windows of ``min_words`` words whose sampled seeds
+are shared, each is matched to the first document with the same whole window.
+
 A passage is reported in every document but the one that has it first, so removing what is
 reported leaves one copy.
 
@@ -22,7 +25,6 @@ passages() and kept by remove_passages().
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,19 +186,106 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The word hashes of each wanted range of each text."""
-    for batch in pieces(batches):
-        words = Words(batch["text"].to_pylist())
-        ids, a, b, w = [], [], [], []
-        for i, (doc, wanted) in enumerate(zip(batch["doc_id"].to_pylist(), batch["wanted"].to_pylist())):
-            lo, hi = words.first[i], words.first[i + 1]
-            for r in wanted:
-                ids.append(doc)
-                a.append(r["a"])
-                b.append(r["b"])
-                w.append(words.hashes[min(hi, lo + r["a"]) : min(hi, lo + r["b"])].tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.binary())], names=["doc_id", "a", "b", "w"])
+def _candidates(words: Words, i: int, shared: list[int], seeds: tuple, n: int) -> np.ndarray:
+    """Where the windows of n words of text i begin that another document may have: no sampled seed in them is its alone."""
+    h, place, d, pos = seeds
+    a, b = np.searchsorted(d, [i, i + 1])
+    own = (place[a:b] == 0) & (h[a:b] < np.uint64(2**64 // SAMPLE)) & ~np.isin(pos[a:b], shared)
+    count = int(words.first[i + 1] - words.first[i])
+    before = np.concatenate([[0], np.cumsum(np.bincount(pos[a:b][own], minlength=count))])
+    at = np.arange(max(0, count - n + 1))
+    return at[before[at + max(0, n - K + 1)] == before[at]]
+
+
+def _windows_of(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each window of n words."""
+    base = 0x9FB21C651E98DF25
+    out, done, power = np.zeros(len(w) - n + 1, np.uint64), 0, w  # power: windows of ``width`` words
+    width, factor = 1, base
+    with np.errstate(over="ignore"):
+        while True:
+            if n & width:
+                out = out * np.uint64(factor) + power[done : done + len(out)]
+                done += width
+            if 2 * width > n:
+                return mix(out)
+            power = power[:-width] * np.uint64(factor) + power[width:]
+            width, factor = 2 * width, factor * factor % 2**64
+
+
+def _segments(min_words: int):
+    """The word hashes of each wanted range of each text; with a below 0, the hashes of the windows from -1 - a on."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            words = Words(batch["text"].to_pylist())
+            h, d, pos = minimisers(words)
+            seeds = h, numbered_runs(h, d, pos)[0], d, pos
+            ids, a, b, w = [], [], [], []
+            for i, (doc, wanted) in enumerate(zip(batch["doc_id"].to_pylist(), batch["wanted"])):
+                lo, hi = words.first[i], words.first[i + 1]
+                from_, to = np.asarray(wanted.values.field("a")), np.asarray(wanted.values.field("b"))
+                for x, y in zip(from_[to >= 0].tolist(), to[to >= 0].tolist()):
+                    ids.append(doc)
+                    a.append(x)
+                    b.append(y)
+                    w.append(words.hashes[min(hi, lo + x) : min(hi, lo + y)].tobytes())
+                at = _candidates(words, i, from_[to < 0], seeds, min_words)
+                if len(at):
+                    hashes = _windows_of(words.hashes[lo:hi], min_words)
+                    for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                        ids.append(doc)
+                        a.append(-1 - int(run[0]))
+                        b.append(len(run))
+                        w.append(hashes[run].tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.binary())], names=["doc_id", "a", "b", "w"])
+
+    return build
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 256):
+            part = batch.slice(i, 256)
+            n = np.asarray(part["b"])
+            h = np.frombuffer(b"".join(part["w"].to_pylist()), np.int64)
+            start = np.repeat(-1 - np.asarray(part["a"]) - np.concatenate([[0], np.cumsum(n)[:-1]]), n) if len(n) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.repeat(np.asarray(part["doc_id"]), n)), pa.array((start + np.arange(len(h))).astype(np.int32))], names=["h", "doc_id", "pos"])
+
+
+def covering(x: np.ndarray, y: np.ndarray, n: int) -> list[tuple[int, int, int]]:
+    """Few equal passages (from, to, from in the source) that cover all words of the windows x (ascending), which begin at y in the source."""
+    cuts = [0, *(np.flatnonzero((np.diff(x) != 1) | (np.diff(y) != 1)) + 1).tolist(), len(x)]
+    spans = [(int(x[a]), int(x[b - 1]) + n, int(y[a])) for a, b in zip(cuts, cuts[1:])]
+    out, end, i = [], -1, 0
+    while i < len(spans):
+        if spans[i][0] > end:  # nothing before reaches it
+            j = i
+        else:
+            j = i
+            while j + 1 < len(spans) and spans[j + 1][0] <= end:
+                j += 1  # ends ascend, so the last that touches reaches furthest
+            if spans[j][1] <= end:
+                i = j + 1
+                continue
+        out.append(spans[j])
+        end, i = spans[j][1], j + 1
+    return out
+
+
+def _equal(min_words: int):
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for table in runs(batches, ["doc_id", "src"]):
+            doc, src = table["doc_id"][0].as_py(), table["src"][0].as_py()
+            x, at = np.unique(np.asarray(table["pos"]).astype(np.int64), return_index=True)
+            rows += [(doc, a, b, src, c, c + b - a, 1.0) for a, b, c in covering(x, np.asarray(table["src_pos"]).astype(np.int64)[at], min_words)]
+            if len(rows) > 20_000:
+                yield _rows(rows, _PASSAGE)
+                rows = []
+        yield _rows(rows, _PASSAGE)
+
+    return build
 
 
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
@@ -256,6 +345,22 @@ def _aligned(min_words: int, identity: float):
     return build
 
 
+def _first(seeds: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, pos, src, src_pos): each occurrence of an h that several documents have, and the first one of it."""
+    path = scratch.path("matches")
+    for part in range(PARTS):
+        mine = seeds.where(F.pmod("h", F.lit(PARTS)) == part)
+        shared = mine.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
+        shared = scratch.table(shared, "shared")
+        out = mine.join(shared.hint("merge"), "h").select("doc_id", "src", "pos", "src_pos")
+        out.write.mode("append").parquet(path)
+        scratch.drop(shared)
+        scratch.free()
+    found = scratch.spark.read.schema(out.schema).parquet(path)
+    found._scratch_path = path
+    return found
+
+
 def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
     """(doc_id, start_word, end_word, source_doc_id, source_start_word, source_end_word, identity) of each repeated passage.
 
@@ -264,31 +369,35 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> Dat
     scratch = Scratch(docs.sparkSession, "passages")
     rows = keyed(docs)
     seeds = scratch.table(rows.mapInArrow(_seeds, "h long, doc_id long, pos int"), "seeds")
-    parts = []
-    for part in range(PARTS):
-        mine = seeds.where(F.pmod("h", F.lit(PARTS)) == part)
-        shared = mine.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
-        shared = scratch.table(shared, "shared")
-        scratch.free()
-        parts.append(scratch.table(mine.join(shared.hint("merge"), "h").where("doc_id > src").select("doc_id", "src", "pos", "src_pos"), "matches"))
-        scratch.drop(shared)
-        scratch.free()
+    matches = _first(seeds, scratch)  # with the first occurrences themselves
     scratch.drop(seeds)
-    matches = functools.reduce(DataFrame.union, parts)
-    chains = matches.repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_chains(min_words), _CHAIN)
+    chains = matches.where("doc_id > src").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_chains(min_words), _CHAIN)
     chains = scratch.table(chains, "chains")
-    scratch.drop(*parts)
     scratch.free()
     wanted = chains.select("doc_id", F.col("x_from").alias("a"), F.col("x_to").alias("b")).union(chains.select("src", "y_from", "y_to")).distinct()
+    wanted = wanted.union(matches.select("doc_id", F.col("pos").cast("long"), F.lit(-1).cast("long")))  # and its shared seeds
     wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))  # ranges of one text
-    segments = scratch.table(rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_segments, "doc_id long, a long, b long, w binary"), "segments")
+    segments = scratch.table(rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_segments(min_words), "doc_id long, a long, b long, w binary"), "segments")
+    scratch.drop(matches)
+    scratch.free()
+    windows = scratch.table(segments.where("a < 0").mapInArrow(_windows, "h long, doc_id long, pos int"), "windows")
+    same = _first(windows, scratch)
+    scratch.drop(windows)
+    equal = same.where("doc_id > src").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_equal(min_words), _PASSAGE)
+    equal = scratch.table(equal, "equal")
+    scratch.drop(same)
     scratch.free()
+    stored, segments = segments, segments.where("a >= 0")
     left = segments.select("doc_id", F.col("a").alias("x_from"), F.col("b").alias("x_to"), F.col("w").alias("aw"))
     right = segments.select(F.col("doc_id").alias("src"), F.col("a").alias("y_from"), F.col("b").alias("y_to"), F.col("w").alias("bw"))
     both = chains.join(left, ["doc_id", "x_from", "x_to"]).join(right, ["src", "y_from", "y_to"])
     found = both.select(*(c.split()[0] for c in _CHAIN.split(", ")), "aw", "bw").mapInArrow(_aligned(min_words, identity), _PASSAGE).distinct()
-    out = scratch.table(found, "passages")
-    scratch.drop(chains, segments)
+    found = scratch.table(found, "found")
+    # Less the equal passages that lie within one of the others.
+    wider = found.select(F.col("doc_id").alias("d"), F.col("source_doc_id").alias("s"), F.col("start_word").alias("a"), F.col("end_word").alias("b"))
+    lone = equal.join(wider.hint("merge"), F.expr("doc_id = d AND source_doc_id = s AND start_word >= a AND end_word <= b"), "left_anti")
+    out = scratch.table(found.union(lone), "passages")
+    scratch.drop(chains, stored, found, equal)
     return out.withColumns({"doc_id": unkeyed(), "source_doc_id": F.when(F.col("source_doc_id") != NO_ID, F.col("source_doc_id"))})
 
 

@@ -137,3 +137,17 @@ def changed(n, every):
 def test_fuzzy_recall(spark):
     assert pairs(spark, 40, changed(60, 10)) >= 38
     assert pairs(spark, 40, changed(60, 8)) >= 35
+
+
+def test_equal_passage_of_lines_that_others_have_first(spark):
+    texts, want = [], {}
+    for i in range(12):
+        lines = [prose(20, 700 + 10 * i + j, 10**9) for j in range(4)]
+        texts += [" ".join(prose(30, 8_000 + 9 * i + j) + line + prose(30, 8_500 + 9 * i + j)) for j, line in enumerate(lines)]
+        for j in range(2):
+            texts.append(" ".join(prose(40, 8_900 + 4 * i + 2 * j) + sum(lines, []) + prose(40, 8_901 + 4 * i + 2 * j)))
+        want[len(texts) - 1] = len(texts) - 2
+    rows = sd.passages(documents(spark, texts)).collect()
+    for doc, source in want.items():
+        covered = {i for r in rows if (r.doc_id, r.source_doc_id) == (doc, source) for i in range(r.start_word, r.end_word)}
+        assert set(range(40, 120)) <= covered
