@@ -297,17 +297,33 @@ def lcs(a: np.ndarray, b: np.ndarray) -> int:
     return int(row[-1])
 
 
-def _reach(same: np.ndarray) -> int:
-    """How far the best run of matches (1) and edits (-1) goes from the start."""
-    total = np.cumsum(np.where(same, 1, -1))
-    return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
-
-
-def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, float]:
-    """Extent of the passage in a and b, and its identity, from a chain's diagonal runs (x0, x1, y0).
+def reach(a: list[np.ndarray], b: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each pair of margins (words outward from a chain): how far the best alignment with gaps goes in
+    both (match 1, edit -1), and its matches; all pairs advance together."""
+    m, wide, long = len(a), max(map(len, b), default=0), max(map(len, a), default=0)
+    left, right = np.zeros((m, long), np.uint64), np.ones((m, wide), np.uint64)
+    for i, (x, y) in enumerate(zip(a, b)):
+        left[i, : len(x)], right[i, : len(y)] = x, y
+    # A score times 256 plus the matches: among equal scores, more matches.
+    cost = 256 * np.arange(wide + 1, dtype=np.int32)
+    row = np.broadcast_to(-cost, (m, wide + 1)).astype(np.int32)
+    best, at_x, at_y = (np.zeros(m, np.int64) for _ in range(3))
+    for i in range(long):
+        new = row - 256
+        np.maximum(new[:, 1:], row[:, :-1] + np.where(right == left[:, i, None], 257, -256).astype(np.int32), out=new[:, 1:])
+        row = np.maximum.accumulate(new + cost, axis=1) - cost
+        j = row.argmax(1)
+        top = row[np.arange(m), j]
+        more = top > best
+        best[more], at_x[more], at_y[more] = top[more], i + 1, j[more]
+    return at_x, at_y, best & 255
+
+
+def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tuple[int, int, int, int, int]:
+    """Ends of a chain in a, ends in b, and its equal words, from its diagonal runs (x0, x1, y0).
 
     Words between seeds of a run are compared one to one, words between two runs by their
-    longest common subsequence, and the ends go on along their diagonals while that gains.
+    longest common subsequence.
     """
     same, at_x, at_y = 0, runs[0][0], runs[0][2]
     for x0, x1, y0 in runs:
@@ -318,13 +334,7 @@ def align(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]]) -> tup
         if x1 > x0:
             same += int((a[x0:x1] == b[y0 : y0 + x1 - x0]).sum())
             at_x, at_y = x1, y0 + x1 - x0
-    x0, y0, n = runs[0][0], runs[0][2], min(runs[0][0], runs[0][2])
-    before = _reach((a[x0 - n : x0] == b[y0 - n : y0])[::-1])
-    n = min(len(a) - at_x, len(b) - at_y)
-    after = _reach(a[at_x : at_x + n] == b[at_y : at_y + n])
-    same += int((a[x0 - before : x0] == b[y0 - before : y0]).sum() + (a[at_x : at_x + after] == b[at_y : at_y + after]).sum())
-    x0, y0, at_x, at_y = x0 - before, y0 - before, at_x + after, at_y + after
-    return x0, at_x, y0, at_y, same / max(at_x - x0, at_y - y0)
+    return runs[0][0], at_x, runs[0][2], at_y, same
 
 
 _PASSAGE = "doc_id long, start_word long, end_word long, source_doc_id long, source_start_word long, source_end_word long, identity double"
@@ -334,12 +344,21 @@ def _aligned(min_words: int, identity: float):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for r in batch.to_pylist():
-                a, b = np.frombuffer(r["aw"], np.uint64), np.frombuffer(r["bw"], np.uint64)
-                d, u, v = r["diagonals"], r["x_from"], r["y_from"]
-                x0, x1, y0, y1, same = align(a, b, [(d[i] - u, d[i + 1] - u, d[i + 2] - v) for i in range(0, len(d), 3)])
-                if x1 - x0 >= min_words and same >= identity:
-                    out.append((r["doc_id"], r["x_from"] + x0, r["x_from"] + x1, r["src"], r["y_from"] + y0, r["y_from"] + y1, round(same, 6)))
+            for at in range(0, batch.num_rows, 1000):
+                rows, ends, inner, outer = batch.slice(at, 1000).to_pylist(), [], ([], []), ([], [])
+                for r in rows:
+                    a, b = np.frombuffer(r["aw"], np.uint64), np.frombuffer(r["bw"], np.uint64)
+                    d, u, v = r["diagonals"], r["x_from"], r["y_from"]
+                    x0, x1, y0, y1, same = align(a, b, [(d[i] - u, d[i + 1] - u, d[i + 2] - v) for i in range(0, len(d), 3)])
+                    ends.append((x0, x1, y0, y1, same))
+                    for side, x, y in ((inner, a[:x0][::-1], b[:y0][::-1]), (outer, a[x1:], b[y1:])):
+                        side[0].append(x[:MARGIN])
+                        side[1].append(y[:MARGIN])
+                for r, (x0, x1, y0, y1, same), px, py, p, qx, qy, q in zip(rows, ends, *(v.tolist() for v in reach(*inner)), *(v.tolist() for v in reach(*outer))):
+                    x0, x1, y0, y1 = x0 - px, x1 + qx, y0 - py, y1 + qy
+                    same = (same + p + q) / max(x1 - x0, y1 - y0)
+                    if x1 - x0 >= min_words and same >= identity:
+                        out.append((r["doc_id"], r["x_from"] + x0, r["x_from"] + x1, r["src"], r["y_from"] + y0, r["y_from"] + y1, round(same, 6)))
             yield _rows(out, _PASSAGE)
 
     return build

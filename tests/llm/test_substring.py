@@ -151,3 +151,15 @@ def test_equal_passage_of_lines_that_others_have_first(spark):
     for doc, source in want.items():
         covered = {i for r in rows if (r.doc_id, r.source_doc_id) == (doc, source) for i in range(r.start_word, r.end_word)}
         assert set(range(40, 120)) <= covered
+
+
+def test_word_inserted_near_an_edge(spark):
+    def inserted(n, at):
+        def make(i):
+            p = prose(n, 6_000 + i, 10**9)
+            return p, p[:at] + ["new"] + p[at:]
+
+        return make
+
+    assert pairs(spark, 40, inserted(60, 12)) >= 39
+    assert pairs(spark, 40, inserted(52, 8)) >= 38
