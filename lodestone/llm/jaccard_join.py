@@ -43,10 +43,14 @@ _SETS = "doc_id long, sig1 long, sig2 long, n int, sketch binary, l1 array<long>
 def runs_for(recall: float, threshold: float) -> int:
     """Runs after which a pair at the threshold is missed with a chance below 1 - recall.
 
-    One run keeps a Poisson number of common first-level children with mean 1 at least
-    (a subset of ``threshold`` times the size), so it misses with a chance of 1/e.
+    At each level a common node keeps a Poisson number of common children with mean 1 at least
+    (a subset of ``threshold`` times the size), so one run of LEVELS levels misses as such a
+    branching process dies out.  Half of what may be missed is left to the sketches.
     """
-    return math.ceil(-math.log(1 - recall))
+    miss = 0.0
+    for _ in range(LEVELS):
+        miss = math.exp(miss - 1)
+    return math.ceil(math.log((1 - recall) / 2) / math.log(miss))
 
 
 def _unique(values: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,11 +133,11 @@ def describe(batch: pa.RecordBatch, threshold: float, n_runs: int, k: int) -> pa
 
 
 def _near(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs may be similar: sizes allow it and the sketches' share of equal bins is within four deviations."""
+    """Which pairs may be similar: sizes allow it and the sketches' share of equal bins is within five deviations (of 64 bins at 0.8, a chance below 1e-5 to refuse)."""
     either = (a[:, None, :] != 0) | (b[None, :, :] != 0)
     equal = ((a[:, None, :] == b[None, :, :]) & either).sum(2, dtype=np.int32)
     bins = np.maximum(either.sum(2, dtype=np.int32), 1)
-    least = threshold - 4 * np.sqrt(threshold * (1 - threshold) / bins)
+    least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / bins)
     sizes = np.minimum(an[:, None], bn[None, :]) >= threshold * np.maximum(an[:, None], bn[None, :])
     return sizes & (equal >= least * bins)
 

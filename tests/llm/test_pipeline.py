@@ -88,6 +88,17 @@ def test_recall_at_the_threshold():
     assert missed <= 1
 
 
+def test_recall_at_the_deepest_level():
+    miss = 0.0
+    for _ in range(jaccard_join.LEVELS):
+        miss = np.exp(miss - 1)
+    assert miss ** jaccard_join.runs_for(0.9999, 0.8) <= 1e-4
+    a = np.arange(1, 65, dtype=np.uint8)[None, :]
+    b = a.copy()
+    b[0, 36:] += 100  # 36 of 64 bins alike: a chance of 1e-5 at 0.8
+    assert jaccard_join._near(a, np.array([100]), b, np.array([100]), 0.8).all()
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2001 + i) for i in range(50)]
