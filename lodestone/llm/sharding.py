@@ -88,7 +88,14 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 20240607) -> DataF
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, seed: int = 20240607) -> DataFrame:
-    """Documents with their shard and slot as Parquet, a folder for each shard, in slot order within it; doc_id must be unique."""
-    placed = shard_rows(docs, shards, seed).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
+    """Documents with their shard and slot as Parquet, a folder for each shard, in slot order within it; every row is written once."""
+    # Rows of one id and text are numbered among themselves on both sides: which of them gets which slot is open.
+    text, keys = F.coalesce(F.col("text").cast("string"), F.lit("")), ["_id", "_crc", "_size", "_n"]
+    size = (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 8).cast("long")
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+    rows = docs.withColumns({"_id": id_, "_crc": F.crc32(text), "_size": size})
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys[:3]).orderBy("text")))
+    placed = shard_rows(docs, shards, seed).select(id_.alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "slot", "row_number")
+    placed = placed.withColumn("_n", F.row_number().over(Window.partitionBy(*keys[:3]).orderBy("row_number"))).drop("row_number")
+    rows.join(placed, keys).drop(*keys).repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(folder)
     return docs.sparkSession.read.parquet(folder)

@@ -62,6 +62,13 @@ def test_write_shards(spark, tmp_path):
     assert sorted(r.text for r in out.collect()) == ["a", "b", "c"]
 
 
+def test_write_shards_keeps_every_row(spark, tmp_path):
+    texts, ids = ["a", "b", "b", "c", "d", None], [None, 1, 1, 1, None, 2]
+    out = sharding.write_shards(documents(spark, texts, ids), f"{tmp_path}/s", 2).collect()
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, zip(ids, texts)))
+    assert sorted((r.shard, r.slot) for r in out) == [(s, i) for s in range(2) for i in range(3)]
+
+
 def page(i, url, links=()):
     return (i, url, "<p>x</p>" + "".join(f'<li><a class=x href="{x}">y</a></li>' for x in links) if links is not None else None)
 
