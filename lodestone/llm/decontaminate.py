@@ -2,19 +2,22 @@
 
 Documents are cut into segments of SEGMENT words; a passage is as many neighbouring segments
 as surely contain a benchmark item of its length.  The terms are the words of the benchmark.
-Segments are weighted by tf-idf, and a randomised SVD (one power iteration: each task adds
-its share of A'A times a Gaussian matrix, the shares are summed in Spark, the driver takes
-a QR of terms x rank) gives the latent space.  A passage near an item there (cosine) is a
-candidate; the word bags, the longest common subsequence of the words and the item's answer
-then decide.  All documents take part in the statistics, in the SVD and in the search.
-
-What is sent to tasks is the benchmark, its terms and terms x rank numbers; MAX_TERMS (words) bounds
-it, and a larger benchmark is searched block by block.
-
-Defined results: null, empty and short texts are compared as they are; a null doc_id is one id
-of its own and returned as null; rows that repeat an id are searched each, and the best match
-of (doc_id, item_id) is returned once; null or word-less items match nothing; an empty
-benchmark or no documents give no rows; extra columns are ignored.
+Segments are weighted by tf-idf, and a randomised SVD gives the latent space: a Gaussian matrix of
+rank + OVERSAMPLE columns goes through A'A (each task adds its share, the shares are summed in
+Spark), a QR of the sum spans the range, a second pass sums the range's Gram matrix Q'A'AQ, and
+its eigenvectors give the singular values and the ``rank`` leading right singular vectors.
+A passage near an item there (cosine) is a candidate; the word bags, the longest common subsequence
+of the words and the item's answer then decide.  All documents take part in the statistics, in the
+SVD and in the search, and all items in one space.
+
+What is sent to tasks is terms x rank numbers and the items, block by block (BLOCK_WORDS words of them);
+a block is a pass over the postings, never over the documents, and changes no result.
+
+Defined results: null, empty and short texts are compared as they are; texts that share an id, or have
+none, are documents of their own (told apart by text_key, which is null where the id has no other text);
+rows equal in id and text are one document; its best match of an item_id (most words in order, then first place) is returned once; null or
+word-less items match nothing; an empty benchmark or no documents give no rows; extra columns are
+ignored by matches() and kept by remove_leaks().
 """
 
 from __future__ import annotations
@@ -27,30 +30,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.kit import Scratch, Words, keyed, only, pieces, unkeyed
+from lodestone.llm.kit import Identity, Scratch, Words, matching, pieces
 
 SEGMENT = 16
-RANK = 128
+RANK, OVERSAMPLE = 128, 16
 #: Terms in more than this share of the segments carry no weight.
 MAX_DF = 0.01
 #: Rarest terms of an item that carry weight however often they occur.
 RAREST = 8
-#: Distinct benchmark words that one block of items may have.
-MAX_TERMS = 20_000
-STRIP = 32  # terms a row when shares of A'A G are summed
+#: Words of the items that one pass over the postings looks for.
+BLOCK_WORDS = 1_000_000
+STRIP = 32  # rows of a matrix that are summed as one
 
 
 class Items:
-    """A block of benchmark items: word hashes, terms, and where each answer begins."""
+    """A block of benchmark items: their words as numbers of terms (sorted hashes), and where each answer begins."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
+    def __init__(self, rows: list[tuple[int, str]], terms: np.ndarray):
         self.ids = [i for i, _ in rows]
         words = Words([t for _, t in rows])
-        self.terms = np.unique(words.hashes)
-        flat = np.searchsorted(self.terms, words.hashes)
+        flat = np.searchsorted(terms, words.hashes)
         self.words = [flat[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         self.answers = [len(Words([t[: answer_start(t)]])) for _, t in rows]
         self.segments = np.array([-(-len(w) // SEGMENT) + 1 for w in self.words])
+        self.lengths = np.array([len(w) for w in self.words])
+        #: item * terms + term of every word of an item, sorted
+        self.bags = np.unique(np.repeat(np.arange(len(rows)), self.lengths) * np.int64(max(1, len(terms))) + flat)
 
 
 def answer_start(text: str) -> int:
@@ -131,12 +136,21 @@ def _weighted(term, segment, idf, n):
     return term, segment, (w / norm[segment]).astype(np.float32)
 
 
-def _share(idf: np.ndarray, rank: int):
-    """This task's share of A'A G, in strips of terms."""
+def _strips(total: np.ndarray, height: int) -> pa.RecordBatch:
+    """A matrix as rows to sum: ``height`` of its rows each, those without a number left out."""
+    padded = np.zeros((-(-len(total) // height) * height, total.shape[1]), np.float32)
+    padded[: len(total)] = total
+    flat = padded.reshape(-1, height * total.shape[1])
+    used = np.flatnonzero(flat.any(1))
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([flat[i].tobytes() for i in used], pa.binary())], names=["strip", "part"])
+
+
+def _share(idf: np.ndarray, width: int):
+    """This task's share of A'A G."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gauss = np.random.default_rng(1).standard_normal((len(idf), rank)).astype(np.float32)
-        total = np.zeros((-(-len(idf) // STRIP) * STRIP, rank), np.float32)
+        gauss = np.random.default_rng(1).standard_normal((len(idf), width)).astype(np.float32)
+        total = np.zeros((len(idf), width), np.float32)
         for batch in _slices(batches):
             term, pos, text, first = _unpack(batch)
             n = int(first[-1])
@@ -148,14 +162,27 @@ def _share(idf: np.ndarray, rank: int):
                 t = term[o]
                 starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
                 total[t[starts]] += np.add.reduceat(y[segment[o]] * w[o, None], starts, axis=0)
-        strips = total.reshape(-1, STRIP * rank)
-        used = np.flatnonzero(strips.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([strips[i].tobytes() for i in used], pa.binary())], names=["strip", "part"])
+        yield _strips(total, STRIP)
 
     return build
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gram(idf: np.ndarray, q: np.ndarray):
+    """This task's share of Q'A'AQ."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((q.shape[1], q.shape[1]), np.float64)
+        for batch in _slices(batches):
+            term, pos, text, first = _unpack(batch)
+            n = int(first[-1])
+            y = _project(*_weighted(term, first[text] + pos // SEGMENT, idf, n), q, n)
+            total += y.T @ y
+        yield _strips(total, 1)
+
+    return build
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, x in zip(batch["strip"].to_pylist(), batch["part"].to_pylist()):
@@ -164,16 +191,24 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype(np.float32).tobytes() for v in held.values()], pa.binary())], names=["strip", "part"])
 
 
-def latent_space(postings: DataFrame, idf: np.ndarray, rank: int) -> np.ndarray:
-    """Orthonormal basis (terms x rank at most) of the dominant row space."""
-    shares = postings.mapInArrow(_share(idf, rank), "strip int, part binary")
-    sums = shares.repartition("strip").mapInArrow(_summed, "strip int, part binary").collect()  # terms x rank numbers
-    total = np.zeros((-(-len(idf) // STRIP) * STRIP, rank))
-    for r in sums:
-        total[r["strip"] * STRIP : (r["strip"] + 1) * STRIP] += np.frombuffer(r["part"], np.float32).reshape(STRIP, rank)
-    q, r = np.linalg.qr(total[: len(idf)])
-    good = np.abs(np.diag(r)) > 1e-6 * max(1e-12, np.abs(np.diag(r)).max(initial=0))
-    return np.ascontiguousarray(q[:, good], np.float32)
+def _summed(postings: DataFrame, shares, rows: int, width: int, height: int) -> np.ndarray:
+    """The sum of all tasks' shares, rows x width."""
+    parts = postings.mapInArrow(shares, "strip int, part binary").repartition("strip").mapInArrow(_added, "strip int, part binary")
+    total = np.zeros((-(-rows // height) * height, width))
+    for r in parts.collect():  # rows x width numbers
+        total[r["strip"] * height : (r["strip"] + 1) * height] += np.frombuffer(r["part"], np.float32).reshape(height, width)
+    return total[:rows]
+
+
+def latent_space(postings: DataFrame, idf: np.ndarray, rank: int) -> tuple[np.ndarray, np.ndarray]:
+    """The leading right singular vectors (terms x rank at most) and singular values of the tf-idf matrix."""
+    width = min(rank + OVERSAMPLE, len(idf))
+    q = np.linalg.qr(_summed(postings, _share(idf, width), len(idf), width, STRIP))[0].astype(np.float32)
+    gram = _summed(postings, _gram(idf, q), width, width, 1)
+    energy, turn = np.linalg.eigh((gram + gram.T) / 2)
+    energy, turn = energy[::-1][:rank], turn[:, ::-1][:, :rank]
+    good = energy > 1e-9 * max(1e-12, energy.max(initial=0))
+    return np.ascontiguousarray(q @ turn[:, good], np.float32), np.sqrt(energy[good])
 
 
 def common_subsequence(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -217,14 +252,11 @@ _MATCH = "doc_id long, item_id long, cosine double, lcs double, answer double, s
 
 def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, least: float):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        k = len(items.terms)
+        k, lengths, bags = np.int64(len(idf)), items.lengths, items.bags
         wide = np.zeros((len(items.words), basis.shape[1]), np.float32)
-        bags = np.zeros((len(items.words), k), np.uint8)
         for i, w in enumerate(items.words):
             wide[i] = (basis[w] * idf[w, None]).sum(0) if len(w) else 0
-            bags[i] = np.minimum(np.bincount(w, minlength=k), 255)
         wide /= np.maximum(np.linalg.norm(wide, axis=1, keepdims=True), 1e-9)
-        lengths = np.array([len(w) for w in items.words])
         for batch in _slices(batches):
             term, pos, text, first = _unpack(batch)
             n = int(first[-1])
@@ -249,16 +281,18 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, lea
                     size = hi - lo
                     flat = np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())
                     owner = np.repeat(np.arange(len(a)), size)
-                    held = np.bincount(owner, bags[np.repeat(g, size), term[flat]] > 0, len(a))
+                    key = np.repeat(g, size) * k + term[flat]
+                    at_bag = np.minimum(np.searchsorted(bags, key), len(bags) - 1)
+                    held = np.bincount(owner, bags[at_bag] == key, len(a))
                     for j in np.flatnonzero(held >= least * lengths[g]).tolist():
                         item, p = int(g[j]), slice(int(lo[j]), int(hi[j]))
                         found = verify(items.words[item], items.answers[item], term[p], pos[p], least)
                         if found:
                             doc = int(np.searchsorted(first, a[j], side="right")) - 1
-                            row = (found[0], found[1], float(near[a[j], which[i + j]]), found[2], found[3])
+                            row = (found[0], found[1], -found[2], -found[3], float(near[a[j], which[i + j]]))
                             if best.get((doc, item), (0,)) < row:
                                 best[doc, item] = row
-            rows = [(ids[d], items.ids[i], round(c, 6), round(s, 6), round(t, 6), a, b) for (d, i), (s, t, c, a, b) in best.items()]
+            rows = [(ids[d], items.ids[i], round(c, 4), round(s, 6), round(t, 6), -a, -b) for (d, i), (s, t, a, b, c) in best.items()]
             columns = list(zip(*rows)) if rows else [[]] * 7
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(columns, kinds)], names=[c.split()[0] for c in _MATCH.split(", ")])
@@ -266,54 +300,57 @@ def _search(items: Items, idf: np.ndarray, basis: np.ndarray, cosine: float, lea
     return build
 
 
-def weighty(items: Items, df: np.ndarray, most: float) -> np.ndarray:
+def weighty(blocks: list[Items], df: np.ndarray, most: float) -> np.ndarray:
     """Terms that carry weight: those in at most ``most`` segments, and in any case the RAREST of each item."""
     keep = df <= most
-    for w in items.words:
+    for w in (w for items in blocks for w in items.words):
         own = np.unique(w)
         keep[own[np.argsort(df[own], kind="stable")[:RAREST]]] = True
     return keep
 
 
-def blocks_of(benchmark: DataFrame) -> Iterator[Items]:
-    """Items in blocks of bounded vocabulary, read row by row."""
-    held, n = [], 0
-    for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator():
-        n += len(r[1].split())
-        if held and n > MAX_TERMS:
-            yield Items(held)
-            held, n = [], len(r[1].split())
-        held.append((r[0], r[1]))
-    if held:
-        yield Items(held)
+def blocks_of(benchmark: DataFrame) -> tuple[np.ndarray, list[Items]]:
+    """The terms of a benchmark, and its items in blocks; the benchmark is a stated set that the driver holds."""
+    rows = [(r[0], r[1]) for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string")).orderBy("item_id", "text").toLocalIterator()]
+    terms, ends, n = [np.zeros(0, np.uint64)], [], 0
+    for i, (_, text) in enumerate(rows):
+        words = Words([text])
+        terms.append(np.unique(words.hashes))
+        if n and n + len(words) > BLOCK_WORDS:
+            ends.append(i)
+            n = 0
+        n += len(words)
+    every = np.unique(np.concatenate(terms))
+    cuts = [0, *ends, len(rows)]
+    return every, [Items(rows[a:b], every) for a, b in zip(cuts, cuts[1:]) if a < b]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rank: int = RANK, cosine: float = 0.45, least: float = 0.6, max_df: float = MAX_DF) -> DataFrame:
-    """(doc_id, item_id, cosine, lcs, answer, start_word, end_word): every document with a benchmark item in it."""
+    """(doc_id, item_id, cosine, lcs, answer, start_word, end_word, text_key): every document with a benchmark item in it."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "benchmark")
-    rows, found = keyed(docs), None
-    for items in blocks_of(benchmark):
-        if not len(items.terms):
-            continue
-        made = scratch.table(rows.mapInArrow(_postings(items.terms), "doc_id long, segments long, terms binary, positions binary, term int, df long"), "postings")
-        postings = made.where("df is null").select("doc_id", "segments", "terms", "positions")
-        counts = {r["term"]: r["df"] for r in made.where("df is not null").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a row for each benchmark word
-        n = max(1, counts.pop(-1, 0))
-        df = np.array([counts.get(i, 0) for i in range(len(items.terms))])
-        # Inverse document frequency over the root of it: a term's column then has about unit
-        # energy whatever its frequency, so rare terms, which tell items apart, span the space too.
-        idf = np.where(weighty(items, df, max_df * n), np.log1p(n / (1 + df)) / np.sqrt(1 + df), 0.0)
-        basis = latent_space(postings, idf, min(rank, len(items.terms)))
-        part = scratch.table(postings.mapInArrow(_search(items, idf, basis, cosine, least), _MATCH), "matches")
-        scratch.drop(made)
-        found = part if found is None else found.union(part)
-    if found is None:
-        return spark.createDataFrame([], _MATCH)
-    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("lcs"), F.desc("cosine"), "start_word", "end_word")
-    return found.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("doc_id", unkeyed())
+    terms, blocks = blocks_of(benchmark)
+    if not len(terms):
+        return spark.createDataFrame([], _MATCH + ", text_key long")
+    identity = Identity(docs, scratch)
+    made = scratch.table(identity.texts(docs).mapInArrow(_postings(terms), "doc_id long, segments long, terms binary, positions binary, term int, df long"), "postings")
+    postings = made.where("df is null").select("doc_id", "segments", "terms", "positions")
+    counts = {r["term"]: r["df"] for r in made.where("df is not null").groupBy("term").agg(F.sum("df").alias("df")).collect()}  # a row for each benchmark word
+    n = max(1, counts.pop(-1, 0))
+    df = np.array([counts.get(i, 0) for i in range(len(terms))])
+    # Inverse document frequency over the root of it: a term's column then has about unit
+    # energy whatever its frequency, so rare terms, which tell items apart, span the space too.
+    idf = np.where(weighty(blocks, df, max_df * n), np.log1p(n / (1 + df)) / np.sqrt(1 + df), 0.0)
+    basis, _ = latent_space(postings, idf, min(rank, len(terms)))
+    path = scratch.path("matches")
+    for items in blocks:
+        postings.mapInArrow(_search(items, idf, basis, cosine, least), _MATCH).write.mode("append").parquet(path)
+    scratch.drop(made)
+    best = Window.partitionBy("doc_id", "item_id").orderBy(F.desc("lcs"), F.desc("answer"), "start_word", "end_word")
+    found = spark.read.schema(_MATCH).parquet(path).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return identity.back(found, "doc_id", "text_key")
 
 
 def remove_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, with all columns, that hold no benchmark item."""
-    return only(docs, matches(docs, benchmark).select("doc_id").distinct(), "left_anti")
+    """The documents, with all columns, that hold no benchmark item; of texts that share an id only those that hold one go."""
+    return matching(docs, matches(docs, benchmark).select("doc_id", "text_key").distinct(), "left_anti")

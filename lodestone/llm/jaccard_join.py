@@ -2,20 +2,27 @@
 
 Every document is the set of its five-word shingles.  A run walks down a random tree: at
 each node a set follows the shingles whose hash, seeded by the node, falls below
-``1 / (threshold * size)``, so a pair of similarity ``threshold`` or more keeps at least
-one common child in expectation while unlike pairs part.  A node with few sets is compared
-by brute force over 64-byte sketches, a larger one is descended, and the last level is
-compared in blocks.  Runs repeat until the chance of missing a pair at the threshold is
-below ``1 - recall``.  Pairs found this way only form neighbourhoods (connected sets);
-within each, all pairs are then measured exactly from whole shingle sets, block against
-block, so no pair is ever a row.
+``SPREAD / (threshold * size)``, so a pair at the threshold keeps SPREAD common children in
+expectation while unlike pairs part.  With SPREAD above 1 the chance to keep a common path
+has a floor that no depth goes below, so the number of runs does not depend on how deep nodes lie.
+
+A node of at most NODE sets is compared by brute force over 64-byte sketches.  A larger one is
+compared with one of its sets, the pivot: what is near the pivot is one neighbourhood already,
+so only pairs with a set far from it are left.  If few sets are far, they are compared with
+all, block by block; else the node is split by the next level of paths, and what is still
+large at level DEPTH is compared whole, in blocks.  Nothing is left out at any size.
+
+Runs repeat until the chance of missing a pair at the threshold is below ``1 - recall``.
+Pairs found this way only form neighbourhoods (connected sets); within each, all pairs are
+then measured exactly from whole shingle sets, block against block, so no pair is ever a row.
 
 Copies (equal shingle sets) collapse to one representative before anything is compared.
 
 Defined results: null and word-less texts are the empty set, equal to each other and to
-nothing else; a text of one to four words is one shingle of all its words; a null doc_id is
-one id of its own and returned as null; an id that repeats is one document (with different
-texts: the one of least signature) and is returned once.  Extra columns are ignored.
+nothing else; a text of one to four words is one shingle of all its words; every row is a
+document and gives a row, with its id (null: null).  class_id and copy_of are ids too; a text
+whose id is null, or taken by another text of the same id, is named there by a number above all ids
+(kit.Identity).  No rows give no rows.  Extra columns are ignored by jaccard_join() and kept by keep_one().
 """
 
 from __future__ import annotations
@@ -28,28 +35,29 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.kit import NO_ID, Scratch, Words, components, keyed, lists, mix, only, pieces, runs, shingles, unkeyed
+from lodestone.llm.kit import ROW, Identity, Scratch, Words, components, lists, mix, pieces, runs, shingles
 
 BINS = 64
-#: Sets that one node may hold before it is split further.
-NODE = 4096
+#: Sets that are compared in one go.
+NODE = 1024
 #: Sets, and shingles, that one block of the exact comparison may hold.
-BLOCK_SETS, BLOCK_SHINGLES = 1024, 400_000
-LEVELS = 3
+BLOCK_SETS, BLOCK_SHINGLES = 2048, 800_000
+#: Common children that a pair at the threshold keeps in expectation, and levels of paths.
+SPREAD, DEPTH = 1.5, 6
 
-_SETS = "doc_id long, sig1 long, sig2 long, n int, sketch binary, l1 array<long>, l2 array<array<long>>, l3 array<array<long>>"
+_SETS = "doc_id long, sig1 long, sig2 long, n int, sketch binary, nodes array<long>"
 
 
 def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at the threshold is missed with a chance below 1 - recall.
+    """Runs after which a pair at the threshold is missed with a chance below 1 - recall, at any depth.
 
-    At each level a common node keeps a Poisson number of common children with mean 1 at least
-    (a subset of ``threshold`` times the size), so one run of LEVELS levels misses as such a
-    branching process dies out.  Half of what may be missed is left to the sketches.
+    A common node keeps a Poisson number of common children with mean SPREAD at least (a subset of
+    ``threshold`` times the size), so one run misses at most with the chance that such a branching
+    process ever dies out.  Half of what may be missed is left to the sketches.
     """
     miss = 0.0
-    for _ in range(LEVELS):
-        miss = math.exp(miss - 1)
+    for _ in range(1000):
+        miss = math.exp(SPREAD * (miss - 1))
     return math.ceil(math.log((1 - recall) / 2) / math.log(miss))
 
 
@@ -86,60 +94,65 @@ def describe(batch: pa.RecordBatch, threshold: float, n_runs: int, k: int) -> pa
         slot = owner * BINS + (h >> np.uint64(58)).astype(np.int64)
         np.minimum.at(least.reshape(-1), slot, h)
         sketch = np.where(least == np.iinfo(np.uint64).max, 0, 1 + ((least >> np.uint64(20)) % np.uint64(255))).astype(np.uint8)
-        bar = np.minimum(2.0**64 / (threshold * np.maximum(size, 1)), 2.0**64 - 2**12).astype(np.uint64)
-
-        def children(shingle, doc, node):
-            """(index of the parent entry, node of the child) of all that pass."""
-            passed = mix(shingle ^ node) <= bar[doc]
-            return np.flatnonzero(passed), mix(node[passed] * np.uint64(0x2545F4914F6CDD1D) + shingle[passed])
-
-        first_doc, first_node = [], []
+        bar = _bar(size, threshold)
+        which, nodes = [], []
         for r in range(n_runs):
-            seed = mix(np.array([r + 1], np.uint64))
-            at, node = children(v, owner, np.broadcast_to(seed, v.shape))
-            first_doc.append(owner[at])
-            first_node.append(node)
-        doc, node = np.concatenate(first_doc), np.concatenate(first_node)
-        order = np.argsort(doc, kind="stable")
-        doc, node = doc[order], node[order]
-        begin = np.concatenate([[0], np.cumsum(size)])
-
-        def descend(parents, docs):
-            """Children of each parent over all its set's shingles: flat nodes, and how many of each parent."""
-            out, counts = [], np.zeros(len(parents), np.int64)
-            step = 0
-            while step < len(parents):  # bounded: 2 million candidate shingles at a time
-                span = np.cumsum(size[docs[step:]])
-                to = step + max(1, int(np.searchsorted(span, 2_000_000, side="right")))
-                n = size[docs[step:to]]
-                at = np.repeat(begin[docs[step:to]] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                which = np.repeat(np.arange(step, to), n)
-                hit, kids = children(v[at], docs[which], parents[which])
-                out.append(kids)
-                counts += np.bincount(which[hit], minlength=len(parents))
-                step = to
-            return (np.concatenate(out) if out else np.zeros(0, np.uint64)), counts
-
-        two, n_two = descend(node, doc)
-        three, n_three = descend(two, np.repeat(doc, n_two))
-    per_doc = np.bincount(doc, minlength=m)
+            at, node = _children(v, mix(np.array([r + 1], np.uint64)), bar[owner])
+            which.append(owner[at])
+            nodes.append(node)
+    doc, node = np.concatenate(which), np.concatenate(nodes)
+    node = node[np.argsort(doc, kind="stable")]
     signed = lambda x: x.view(np.int64)
-    two_per_doc = np.bincount(np.repeat(doc, n_two), minlength=m)
-    nested = lambda inner, per: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), inner)
     return pa.RecordBatch.from_arrays(
-        [batch["doc_id"], pa.array(signed(sig1)), pa.array(signed(sig2)), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists(signed(node), per_doc, pa.int64()), nested(lists(signed(two), n_two, pa.int64()), per_doc), nested(lists(signed(three), n_three, pa.int64()), two_per_doc)],
-        names=["doc_id", "sig1", "sig2", "n", "sketch", "l1", "l2", "l3"],
+        [batch["doc_id"], pa.array(signed(sig1)), pa.array(signed(sig2)), pa.array(size.astype(np.int32)), pa.array([x.tobytes() for x in sketch], pa.binary()), lists(signed(node), np.bincount(doc, minlength=m), pa.int64())],
+        names=["doc_id", "sig1", "sig2", "n", "sketch", "nodes"],
     )
 
 
-def _near(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, threshold: float) -> np.ndarray:
+def _bar(size: np.ndarray, threshold: float) -> np.ndarray:
+    """The hash below which a shingle of a set of this size is followed."""
+    return np.minimum(SPREAD * 2.0**64 / (threshold * np.maximum(size, 1)), 2.0**64 - 2**12).astype(np.uint64)
+
+
+def _children(shingle: np.ndarray, node: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which shingles are followed from a node, and the children they lead to."""
+    passed = np.flatnonzero(mix(shingle ^ node) <= bar)
+    return passed, mix(node * np.uint64(0x2545F4914F6CDD1D) + shingle[passed])
+
+
+def _below(threshold: float):
+    """The children of some nodes of each set."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, text="shingles"):
+            nodes, owner = [], []
+            for i, (x, at) in enumerate(zip(batch["shingles"].to_pylist(), batch["nodes"])):
+                v = np.frombuffer(x, np.uint64)
+                bar = _bar(np.array([len(v)]), threshold)
+                with np.errstate(over="ignore"):
+                    for node in np.asarray(at.values).view(np.uint64):
+                        found = _children(v, node[None], bar)[1]
+                        nodes.append(found)
+                        owner += [i] * len(found)
+            picked = pa.array(owner, pa.int64())
+            flat = np.concatenate(nodes) if nodes else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(batch[c].take(picked) for c in ("doc_id", "n", "sketch"))], names=["node", "doc_id", "n", "sketch"])
+
+    return build
+
+
+def _alike(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, threshold: float) -> np.ndarray:
     """Which pairs may be similar: sizes allow it and the sketches' share of equal bins is within five deviations (of 64 bins at 0.8, a chance below 1e-5 to refuse)."""
-    either = (a[:, None, :] != 0) | (b[None, :, :] != 0)
-    equal = ((a[:, None, :] == b[None, :, :]) & either).sum(2, dtype=np.int32)
-    bins = np.maximum(either.sum(2, dtype=np.int32), 1)
+    either = (a != 0) | (b != 0)
+    equal = ((a == b) & either).sum(-1, dtype=np.int32)
+    bins = np.maximum(either.sum(-1, dtype=np.int32), 1)
     least = threshold - 5 * np.sqrt(threshold * (1 - threshold) / bins)
-    sizes = np.minimum(an[:, None], bn[None, :]) >= threshold * np.maximum(an[:, None], bn[None, :])
-    return sizes & (equal >= least * bins)
+    return (np.minimum(an, bn) >= threshold * np.maximum(an, bn)) & (equal >= least * bins)
+
+
+def _near(a: np.ndarray, an: np.ndarray, b: np.ndarray, bn: np.ndarray, threshold: float) -> np.ndarray:
+    """The matrix of _alike() of all rows of a and b."""
+    return _alike(a[:, None, :], an[:, None], b[None, :, :], bn[None, :], threshold)
 
 
 class _Forest:
@@ -192,6 +205,21 @@ def _buckets(threshold: float):
     return build
 
 
+def _beside(threshold: float):
+    """Which sets of a large node are near its pivot."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, BINS) for c in ("sketch", "pivot_sketch"))
+            an, bn = np.asarray(batch["n"]), np.asarray(batch["pivot_n"])
+            near = _alike(a, an, b, bn, threshold)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("node", "doc_id", "n", "sketch", "pivot")), pa.array(near)], names=["node", "doc_id", "n", "sketch", "pivot", "near"])
+
+    return build
+
+
 def _cross(ids, n, s, side, threshold) -> list[tuple[int, int]]:
     """Forest between the rows of side 1 and those of side 2."""
     left, right = np.flatnonzero(side == 1), np.flatnonzero(side == 2)
@@ -211,17 +239,14 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def _whole_sets(k: int):
+def _whole_sets(k: int, keep: list[str]):
+    """The whole shingle set of each text, with the columns ``keep``."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            m = batch.num_rows
-            v, size = _unique(*shingles(Words(batch["text"].to_pylist()), k), m)
-            ends, sig = np.cumsum(size), np.zeros(m, np.uint64)
-            with np.errstate(over="ignore"):
-                np.add.at(sig, np.repeat(np.arange(m), size), mix(v))
-            chosen = pa.array(sig.view(np.int64) == np.asarray(batch["sig1"]))  # an id that repeats has one set only
-            out = [batch["doc_id"], batch["component"], batch["copies"], batch["blocks"], pa.array(size.astype(np.int32)), pa.array([v[e - c : e].tobytes() for e, c in zip(ends, size)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(out, names=["doc_id", "component", "copies", "blocks", "n", "shingles"]).filter(chosen)
+            v, size = _unique(*shingles(Words(batch["text"].to_pylist()), k), batch.num_rows)
+            ends = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in keep), pa.array(size.astype(np.int32)), pa.array([v[e - c : e].tobytes() for e, c in zip(ends, size)], pa.binary())], names=[*keep, "n", "shingles"])
 
     return build
 
@@ -288,61 +313,88 @@ def _big_forest(ids: np.ndarray, ok: np.ndarray, forest: _Forest) -> list[tuple[
     return edges
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999) -> DataFrame:
-    """(doc_id, copy_of, class_id, n_links) for every document.
+def _dealt(rows: DataFrame, blocks, split) -> DataFrame:
+    """Rows of (node, doc_id, n, sketch) in blocks by hash; a part is a pair of blocks, or one with itself."""
+    mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    each = rows.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    side = F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") == lo, 1).otherwise(2)
+    return each.select("node", (split + lo.cast("long") * 1_000_000 + hi).alias("part"), "doc_id", "n", "sketch", side.alias("side"))
 
-    copy_of: least id with the same shingle set.  class_id: least id that is reachable over
-    links (similarity of at least ``threshold``).  n_links: other documents that are copies
-    or linked, each counted.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rows = keyed(docs)
-    sets = scratch.table(rows.mapInArrow(_sets(threshold, runs_for(recall, threshold), k), _SETS), "sets")
-    sig = ["sig1", "sig2", "n"]
-    # One set for each id: the least signature, should an id repeat.
-    one = scratch.table(sets.groupBy("doc_id").agg(F.min(F.struct(*sig)).alias("s")).select("doc_id", "s.*"), "one")
-    classes = scratch.table(one.groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = sets.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *sig], "left_semi").where("n > 0").dropDuplicates(["doc_id"])
-    reps = scratch.table(reps, "reps")
-    edges = None
-    parents = None
-    for level in range(LEVELS):
-        if parents is None:
-            entries = reps.select(F.explode("l1").alias("node"), "doc_id", "n", "sketch")
-        else:
-            # Only below the nodes that were too large.
-            up, down = (F.col("l1"), F.col("l2")) if level == 1 else (F.flatten("l2"), F.col("l3"))
-            tree = reps.select("doc_id", "n", "sketch", F.explode(F.arrays_zip(up.alias("p"), down.alias("kids"))).alias("t")).select("doc_id", "n", "sketch", "t.p", "t.kids")
-            entries = tree.join(parents.withColumnRenamed("node", "p"), "p", "left_semi").select(F.explode("kids").alias("node"), "doc_id", "n", "sketch").distinct()
+
+def _neighbourhoods(reps: DataFrame, texts: DataFrame, threshold: float, k: int, scratch: Scratch) -> list[DataFrame]:
+    """Edges (a, b) whose connected sets hold every similar pair, in written tables."""
+
+    def compared(parts: DataFrame) -> DataFrame:
+        found = parts.repartition("node", "part").sortWithinPartitions("node", "part", "doc_id").mapInArrow(_buckets(threshold), "a long, b long")
+        return scratch.table(found.distinct(), "edges")
+
+    whole = lambda rows: rows.select("node", F.lit(0).cast("long").alias("part"), "doc_id", "n", "sketch", F.lit(0).alias("side"))
+    entries, edges, hot = reps.select(F.explode("nodes").alias("node"), "doc_id", "n", "sketch"), [], None
+    for level in range(1, DEPTH + 1):
         sizes = entries.groupBy("node").count().where("count > 1")
-        entries = scratch.table(entries.join(sizes, "node"), "entries")
-        last = level == LEVELS - 1
-        small = entries.where(F.col("count") <= NODE).select("node", F.lit(0).alias("part"), "doc_id", "n", "sketch", F.lit(0).alias("side"))
-        if last:
-            blocks = F.ceil(F.col("count") / NODE).cast("int")
-            mine = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-            big = entries.where(F.col("count") > NODE).withColumn("blocks", blocks).withColumn("mine", mine).select("node", "doc_id", "n", "sketch", "mine", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-            lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
-            big = big.select("node", (1 + lo * 100_000 + hi).alias("part"), "doc_id", "n", "sketch", F.when(F.col("mine") == F.col("other"), 0).when(F.col("mine") == lo, 1).otherwise(2).alias("side"))
-            small = small.union(big)
-        found = small.repartition("node", "part").sortWithinPartitions("node", "part", "doc_id").mapInArrow(_buckets(threshold), "a long, b long")
-        found = scratch.table(found.distinct(), "edges")
-        edges = found if edges is None else edges.union(found)
-        if last:
-            break
-        too_large = entries.where(F.col("count") > NODE).select("node").distinct()
-        if too_large.isEmpty():
+        held = scratch.table(entries.join(sizes, "node"), "entries")
+        edges.append(compared(whole(held.where(F.col("count") <= NODE))))
+        large = held.where(F.col("count") > NODE)
+        if large.isEmpty():
+            scratch.drop(held)
             break
-        parents = scratch.table(too_large, "parents")
+        pivot = F.min(F.struct(F.xxhash64("doc_id", "node").alias("h"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")))
+        pivots = large.groupBy("node").agg(pivot.alias("p")).select("node", "p.pivot", "p.pivot_n", "p.pivot_sketch")
+        beside = scratch.table(large.join(pivots, "node").mapInArrow(_beside(threshold), "node long, doc_id long, n int, sketch binary, pivot long, near boolean"), "beside")
+        scratch.drop(held)
+        edges.append(scratch.table(beside.where("near and doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "edges"))
+        sides = beside.groupBy("node").agg(F.count_if("near").alias("close"), F.count_if(~F.col("near")).alias("far"))
+        sides = scratch.table(sides.where("far > 0"), "sides")  # with none far, all is one neighbourhood
+        few = beside.join(sides.where(F.col("far") <= NODE), "node")
+        blocks = F.ceil(F.col("close") / NODE).cast("int")
+        far = few.where(~F.col("near"))
+        across = far.withColumn("part", F.explode(F.sequence(F.lit(1), blocks))).select("node", F.col("part").cast("long"), "doc_id", "n", "sketch", F.lit(1).alias("side"))
+        close = few.where("near").select("node", (1 + F.pmod(F.xxhash64("doc_id"), blocks)).cast("long").alias("part"), "doc_id", "n", "sketch", F.lit(2).alias("side"))
+        edges.append(compared(whole(far).union(across).union(close)))
+        many = sides.where(F.col("far") > NODE)
+        if level == DEPTH:
+            rest = beside.join(many, "node")
+            edges.append(compared(_dealt(rest, F.ceil((F.col("close") + F.col("far")) / NODE).cast("int"), F.lit(1))))
+        elif not many.isEmpty():
+            down = scratch.table(beside.join(many.select("node"), "node", "left_semi").groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "down")  # nodes of one set
+            if hot is None:
+                wanted = reps.select("doc_id", "sketch").join(down.select("doc_id").hint("merge"), "doc_id", "left_semi")
+                read = texts.join(wanted.hint("merge"), "doc_id")
+                hot = scratch.table(read.mapInArrow(_whole_sets(k, ["doc_id", "sketch"]), "doc_id long, sketch binary, n int, shingles binary"), "hot")
+            entries = scratch.table(hot.join(down.hint("merge"), "doc_id").mapInArrow(_below(threshold), "node long, doc_id long, n int, sketch binary"), "children")
+            scratch.drop(down, beside, sides)
+            scratch.free()
+            continue
+        scratch.drop(beside, sides)
+        break
+    if hot is not None:
+        scratch.drop(hot)
+    return edges
+
+
+def _joined(docs: DataFrame, identity: Identity, scratch: Scratch, threshold: float, k: int, recall: float) -> DataFrame:
+    """jaccard_join() with numbers in place of ids."""
+    sets = scratch.table(identity.texts(docs, once=False).mapInArrow(_sets(threshold, runs_for(recall, threshold), k), _SETS), "sets")
+    sig = ["sig1", "sig2", "n"]
+    one = sets.select("doc_id", *sig)
+    classes = scratch.table(one.groupBy(*sig).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = sets.join(classes.select(F.col("rep").alias("doc_id"), *sig), ["doc_id", *sig], "left_semi").where("n > 0")
+    reps = scratch.table(reps.dropDuplicates(["doc_id"]) if identity.repeats else reps, "reps")
+    edges = _neighbourhoods(reps, identity.texts(docs), threshold, k, scratch)
+    every = edges[0]
+    for more in edges[1:]:
+        every = every.union(more)
     scratch.free()
-    near = scratch.table(components(edges, scratch), "near")
+    near = scratch.table(components(every, scratch), "near")
+    scratch.drop(*edges)
     # Exact similarity within each neighbourhood.
     member = near.select(F.col("node").alias("doc_id"), F.col("root").alias("component")).join(reps.select("doc_id", *sig), "doc_id").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *sig])
     total = member.groupBy("component").agg(F.sum(F.col("n").cast("long")).alias("s"), F.count("*").alias("m"))
-    member = scratch.table(member.join(total, "component").select("doc_id", "sig1", "component", "copies", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_SETS)).cast("int").alias("blocks")), "member")
+    member = scratch.table(member.join(total, "component").select("doc_id", "component", "copies", F.greatest(F.ceil(F.col("s") / BLOCK_SHINGLES), F.ceil(F.col("m") / BLOCK_SETS)).cast("int").alias("blocks")), "member")
+    scratch.drop(reps, near)
     # Sort-merge at every size: what would be broadcast grows with the corpus.
-    whole = rows.join(member.hint("merge"), "doc_id").mapInArrow(_whole_sets(k), "doc_id long, component long, copies long, blocks int, n int, shingles binary").dropDuplicates(["doc_id"])
+    whole = identity.texts(docs).join(member.hint("merge"), "doc_id").mapInArrow(_whole_sets(k, ["doc_id", "component", "copies", "blocks"]), "doc_id long, component long, copies long, blocks int, n int, shingles binary")
     whole = whole.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     whole = whole.withColumn("pair", F.least("block", "other") * F.lit(1_000_000).cast("long") + F.greatest("block", "other"))
     verified = whole.repartition("component", "pair").sortWithinPartitions("component", "pair", "doc_id").mapInArrow(_exact(threshold), "doc_id long, links long, other long")
@@ -351,20 +403,36 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: fl
     exact = components(verified.where("doc_id != other").select(F.col("doc_id").alias("a"), F.col("other").alias("b")), scratch)
     per_class = (
         classes.join(weights.withColumnRenamed("doc_id", "rep"), "rep", "left").join(exact.withColumnRenamed("node", "rep"), "rep", "left")
-        .select(*sig, "rep", F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        .select(*sig, F.col("rep").alias("copy_of"), F.coalesce("root", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    out = scratch.table(one.join(per_class, sig).select(unkeyed(), F.when(F.col("rep") != NO_ID, F.col("rep")).alias("copy_of"), F.when(F.col("class_id") != NO_ID, F.col("class_id")).alias("class_id"), F.col("n_links").cast("long")), "result")
-    scratch.drop(sets, one, classes, reps, near, member, verified)
+    out = scratch.table(one.join(per_class, sig).select("doc_id", "copy_of", "class_id", F.col("n_links").cast("long")), "result")
+    scratch.drop(sets, classes, member, verified)
     return out
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The documents, with all columns, less all but the least id of each class; of rows that repeat an id, the least text."""
-    joined = jaccard_join(docs, threshold)
-    kept = only(docs, joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    first = Window.partitionBy("doc_id").orderBy("text")
-    once = only(kept, repeated).withColumn("_lodestone_n", F.row_number().over(first)).where("_lodestone_n = 1").drop("_lodestone_n")
-    return only(kept, repeated, "left_anti").union(once)
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999) -> DataFrame:
+    """(doc_id, copy_of, class_id, n_links) for every row.
+
+    copy_of: least id with the same shingle set.  class_id: least id that is reachable over
+    links (similarity of at least ``threshold``).  n_links: other rows that are copies
+    or linked, each counted.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    identity = Identity(docs, scratch)
+    return identity.back(_joined(docs, identity, scratch, threshold, k, recall), "doc_id")
+
+
+def keep_one(docs: DataFrame, threshold: float = 0.8, k: int = 5, recall: float = 0.9999) -> DataFrame:
+    """The first document of each class, with all columns: the one of least id, those without an id last.
+
+    Texts that share an id, or have none, are documents of their own; of rows equal in id and text one stays,
+    the first in the order of their other columns.  All word-less texts are one class.
+    """
+    scratch = Scratch(docs.sparkSession, "keep")
+    identity = Identity(docs, scratch)
+    first = _joined(docs, identity, scratch, threshold, k, recall).where("doc_id = class_id").select(F.col("doc_id").alias(ROW)).distinct()
+    kept = identity.mark(docs).join(first.hint("merge"), ROW, "left_semi")
+    if identity.repeats:
+        order = Window.partitionBy(ROW).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns))))
+        kept = kept.withColumn("_lodestone_n", F.row_number().over(order)).where("_lodestone_n = 1")
+    return kept.select(*(f"`{c}`" for c in docs.columns))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,7 +17,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Stands for a null doc_id inside the operators, so that joins keep the row.
@@ -31,9 +32,11 @@ CHUNK = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is configured (tests)."""
+    """The cluster's shared folder; a temporary one only in local mode with none configured (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodestone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -84,7 +87,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def keyed(docs: DataFrame, *, text: str = "text") -> DataFrame:
     """doc_id (null: NO_ID) and text only; other columns never reach an operator.
 
-    Bounds the session's Arrow batches by bytes, since 10,000 long texts would not fit a worker.
+    Bounds the session's Arrow batches by bytes (they are a setting of the session, read when a plan is made),
+    since 10,000 long texts would not fit a worker.
     """
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -94,14 +98,95 @@ def unkeyed(column: str = "doc_id"):
     return F.when(F.col(column) != NO_ID, F.col(column)).alias(column)
 
 
-def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of docs, all columns, whose doc_id is in ids (left_semi) or not (left_anti); null is an id like others.
+# -------------------------------------------------------------------------- identity
 
-    Sort-merge at every size: such a list of ids grows with the corpus.
+_ID, _KEY, ROW = "_lodestone_id", "_lodestone_key", "_lodestone_row"
+
+
+def id_of() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
+
+
+def key_of() -> Column:
+    """Tells apart the texts of one id."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
+class Identity:
+    """One number for each document, whatever its ids are.
+
+    A document's number is its doc_id.  Of the texts that share an id, the one of least hash keeps it; the
+    others, and all texts without an id, are numbered above all ids in the order of (doc_id, hash).  Rows
+    equal in id and text are one document.  Usually no id repeats: then only the ids are read, once.
+    """
+
+    def __init__(self, docs: DataFrame, scratch: Scratch):
+        ids = docs.select(id_of().alias("id"))
+        again = scratch.table(ids.groupBy("id").count().where((F.col("count") > 1) | (F.col("id") == NO_ID)).select("id"), "again")
+        self.shared, self.repeats = None, False
+        if again.isEmpty():
+            return
+        texts = docs.select(id_of().alias("id"), key_of().alias("key")).groupBy("id", "key").agg(F.count("*").alias("rows"))
+        texts = scratch.table(texts.where(F.col("id") == NO_ID).union(texts.join(again.where(F.col("id") != NO_ID).hint("merge"), "id", "left_semi")), "texts")
+        least = texts.where(F.col("id") != NO_ID).groupBy("id").agg(F.min("key").alias("key")).withColumn("own", F.lit(True))
+        texts = texts.join(least.hint("merge"), ["id", "key"], "left")
+        others, n = number_rows(texts.where("own is null").select("id", "key", "rows"), ["id", "key"], scratch)
+        top = ids.where(F.col("id") != NO_ID).agg(F.max("id")).first()[0]
+        base = max(-1 if top is None else top, -1) + 1
+        if base + n >= 2**63:
+            raise ValueError(f"{n} texts share or lack an id, and the greatest id leaves no room for numbers of their own")
+        numbered = others.select("id", "key", "rows", (F.col("row_number") + base).alias("row"))
+        self.shared = scratch.table(numbered.union(texts.where("own").select("id", "key", "rows", F.col("id").alias("row"))), "shared")
+        self.repeats = not self.shared.where("rows > 1").isEmpty()
+
+    def mark(self, docs: DataFrame, name: str = ROW) -> DataFrame:
+        """docs with the number of each row's document."""
+        if self.shared is None:
+            return docs.withColumn(name, id_of())
+        known = self.shared.select(F.col("id").alias(_ID), F.col("key").alias(_KEY), F.col("row").alias(name))
+        marked = docs.withColumns({_ID: id_of(), _KEY: key_of()}).join(known.hint("merge"), [_ID, _KEY], "left")
+        return marked.withColumn(name, F.coalesce(name, _ID)).drop(_ID, _KEY)
+
+    def texts(self, docs: DataFrame, once: bool = True) -> DataFrame:
+        """(doc_id: the number, text); once: a document whose row repeats is taken once."""
+        docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+        rows = self.mark(docs.select("doc_id", "text")).select(F.col(ROW).alias("doc_id"), F.col("text").cast("string").alias("text"))
+        return rows.dropDuplicates(["doc_id"]) if once and self.repeats else rows
+
+    def back(self, df: DataFrame, column: str, key: str | None = None) -> DataFrame:
+        """df with ids (null: none) in place of numbers; key: a column for the hash of the text, null where its id has no other."""
+        if self.shared is None:
+            return df.withColumn(key, F.lit(None).cast("long")) if key else df
+        known = self.shared.select(F.col("row").alias(column), F.col("id").alias(_ID), F.col("key").alias(_KEY))
+        out = df.join(known.hint("merge"), column, "left")
+        if key:
+            out = out.withColumn(key, F.col(_KEY))
+        out = out.withColumn(column, F.when(F.col(_ID).isNull(), F.col(column)).when(F.col(_ID) != NO_ID, F.col(_ID)))
+        return out.select(*df.columns, *([key] if key else []))
+
+
+def matching(docs: DataFrame, found: DataFrame, how: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """docs, all columns (and ``extra`` ones of found), joined with found (doc_id, text_key) as ``how`` says.
+
+    Null is an id like others; a null text_key stands for any text of the id.  Sort-merge at every size: such
+    a list of ids grows with the corpus.
     """
-    wanted = ids.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_lodestone_id"))
-    marked = docs.withColumn("_lodestone_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    return marked.join(wanted.hint("merge"), "_lodestone_id", how).select(*(f"`{c}`" for c in docs.columns))
+    wanted = found.select(F.coalesce("doc_id", F.lit(NO_ID)).alias(_ID), F.col("text_key").alias("_lodestone_found"), *extra)
+    marked = docs.withColumns({ROW: id_of(), _KEY: key_of()})
+    fits = (F.col(ROW) == F.col(_ID)) & (F.col("_lodestone_found").isNull() | (F.col("_lodestone_found") == F.col(_KEY)))
+    return marked.join(wanted.hint("merge"), fits, how).select(*(f"`{c}`" for c in docs.columns), *extra)
+
+
+def number_rows(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
+    """rows with a gapless ``row_number`` from 0 in the order of keys, and how many there are."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    sorted_ = scratch.table(sorted_.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), "sorted")
+    counts = scratch.table(sorted_.groupBy("_part").count(), "counts")  # a row for each task
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return sorted_.join(bases, "_part").withColumn("row_number", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base"), total
 
 
 # ----------------------------------------------------------------------------- arrow
@@ -257,9 +342,9 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that is reachable.
 
-    Alternates hooking every node to the least root around it and halving paths; each
-    round is a group-by of the edges on a node with map-side combine, so a hub is no
-    single task.  Rounds are logarithmic in the longest path.
+    Every node, and all its neighbours, hook to the least node among them, until all are stars.
+    A round is a group-by with map-side combine and a join on the node; the rows of a hub are
+    split by Spark's skew join, being two numbers each.  Rounds are logarithmic in the longest path.
     """
     spark = edges.sparkSession
     both = edges.where("a != b")

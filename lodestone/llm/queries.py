@@ -52,7 +52,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of 50 words or more that an earlier document has too, with its source."""
     from lodestone.llm.substring_dedup import passages
 
-    return passages(read(spark, sf_dir, "documents"))
+    return passages(read(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Every document with a benchmark item in it."""
     from lodestone.llm.decontaminate import matches
 
-    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("text_key")
 
 
 def op9_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,14 +95,14 @@ _SQL: dict[str, str] = {
     "op1_ngram_jaccard_join": f"""WITH RECURSIVE
 w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_WORD}') AS w FROM documents),
 s AS (SELECT doc_id, list_sort(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END) AS sh FROM w),
-c AS (SELECT sh, min(doc_id) AS rep, count(*) AS copies FROM s GROUP BY sh),
-t AS (SELECT rep, copies, len(sh) AS n, unnest(sh) AS x FROM c),
+c AS (SELECT sh, min(doc_id) AS rep, count(*) AS copies, row_number() OVER () AS num FROM s GROUP BY sh),
+t AS (SELECT num AS rep, copies, len(sh) AS n, unnest(sh) AS x FROM c),
 p AS (SELECT a.rep AS a, b.rep AS b, any_value(a.copies) AS na, any_value(b.copies) AS nb FROM t a JOIN t b ON a.x = b.x AND a.rep < b.rep GROUP BY 1, 2 HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))),
 e AS (SELECT a, b, nb AS n FROM p UNION ALL SELECT b, a, na FROM p),
-r AS (SELECT rep AS a, rep AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
-k AS (SELECT a AS rep, min(b) AS class_id FROM r GROUP BY a),
-l AS (SELECT a AS rep, sum(n) AS n FROM e GROUP BY a)
-SELECT s.doc_id, c.rep AS copy_of, k.class_id, CAST(c.copies - 1 + coalesce(l.n, 0) AS BIGINT) AS n_links FROM s JOIN c USING (sh) JOIN k USING (rep) LEFT JOIN l USING (rep)""",
+r AS (SELECT num AS a, num AS b FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+k AS (SELECT r.a AS num, min(c.rep) AS class_id FROM r JOIN c ON c.num = r.b GROUP BY r.a),
+l AS (SELECT a AS num, sum(n) AS n FROM e GROUP BY a)
+SELECT s.doc_id, c.rep AS copy_of, k.class_id, CAST(c.copies - 1 + coalesce(l.n, 0) AS BIGINT) AS n_links FROM s JOIN c USING (sh) JOIN k USING (num) LEFT JOIN l USING (num)""",
     # Rounds of the two propagations as sums over walks of growing length.
     "op5_url_link_graph": r"""WITH RECURSIVE
 n AS (SELECT page_id, html, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.kit import NO_ID, Scratch, unkeyed
+from lodestone.llm.kit import NO_ID, Scratch, number_rows, unkeyed
 
 ROUNDS = 8
 
@@ -59,18 +59,6 @@ def permute(row: Column, n: int, seed: int = 0) -> Column:
     return F.when(walked < n, walked).otherwise(F.raise_error(F.lit("the cycle walk did not end")).cast("long"))
 
 
-def number_rows(rows: DataFrame, keys: list[str], scratch: Scratch) -> tuple[DataFrame, int]:
-    """rows with a gapless ``row_number`` from 0 in the order of keys, and how many there are."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_ = rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
-    sorted_ = scratch.table(sorted_.withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)}), "sorted")
-    counts = scratch.table(sorted_.groupBy("_part").count(), "counts")  # a row for each task
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_base"))
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted_.join(bases, "_part").withColumn("row_number", F.col("_base") + F.col("_at")).drop("_part", "_at", "_base"), total
-
-
 def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 20240607) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null) and row_number of every document."""
     text = F.col("text").cast("string")

@@ -3,22 +3,28 @@
 Seeds are five-word windows: those of the least 1 / SAMPLE of all hashes, whose choice does not depend on
 the words around, and the minimisers of WINDOW neighbours (few more), so that any run of
 WINDOW + 4 equal words shares a seed.  A seed that several documents have is matched to its
-first occurrence (least doc_id, then position), a star and not a clique: matches grow with
-the occurrences.  The matches of a document with one source are chained in order on both
-sides; a chain gains for each seed and pays for the words it skips on either side, and the
+first occurrence (least doc_id, then position) and to the one in the document before: a star and a path, and
+not a clique, so matches grow with the occurrences.  The matches of a document with one source are chained
+in order on both sides; a chain gains for each seed and pays for the words it skips on either side, and the
 best predecessor is a prefix maximum in a Fenwick tree over source positions.  Chains are then
 aligned word by word and extended beyond their outer seeds; passages of at least
-``min_words`` words and the given identity are returned.
+``min_words`` words and the given identity are returned.  Chains with the document before are only
+aligned where no passage of a first source covers them: a passage put together from parts that
+other documents had first singly.
 
 Equal runs do not rest on seeds' sources: of all windows of ``min_words`` words whose sampled seeds
 are shared, each is matched to the first document with the same whole window.
 
+Seeds and windows are matched in one shuffle by hash.  A hash that a large share of all documents has is
+dealt to SALTS groups by document: each matches its own first occurrence, and the firsts of the
+groups are matched among themselves afterwards.
+
 A passage is reported in every document but the one that has it first, so removing what is
 reported leaves one copy.
 
-Defined results: null, empty and short texts have no passages; a null doc_id is one id of its
-own and returned as null; rows that repeat an id are read as one document's texts, each
-with its own positions, and do not match each other; repeats inside one document are not
+Defined results: null, empty and short texts have no passages; texts that share an id, or have none, are
+documents of their own (told apart by text_key, null where the id has no other text), which come after
+the others; rows equal in id and text are one document; repeats inside one document are not
 passages across documents and stay; no rows give no rows; extra columns are ignored by
 passages() and kept by remove_passages().
 """
@@ -33,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.kit import NO_ID, Scratch, Words, keyed, mix, pieces, runs, unkeyed
+from lodestone.llm.kit import Identity, Scratch, Words, matching, mix, pieces, runs
 
 K, WINDOW, SAMPLE = 5, 16, 4
-#: Parts, by hash, in which seeds are matched one after the other, so that less is on disk at a time.
-PARTS = 2
+#: A hash is hot if this share of a hundredth of the documents has it (and HOT_LEAST of them), so there are 1 / HOT at most.
+HOT, HOT_LEAST, SALTS = 1e-5, 100, 64
 #: Words between repeats of a seed that count as a run, and places after which a run is matched anew.
 PERIOD, RUN = 64, 64
 #: What a seed gains, and what each skipped word costs on either side.
@@ -88,13 +94,19 @@ def _sliding(x: np.ndarray, width: int, of) -> np.ndarray:
 def numbered_runs(h: np.ndarray, d: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place, key) of each seed: repeats of a seed at most PERIOD words apart are a run, as in a line over
     and over, and each is keyed by its place in the run (modulo RUN), so that runs match place by place."""
-    order = np.lexsort((pos, h, d))
-    ho, do, po = h[order], d[order], pos[order]
-    same = np.zeros(len(h), bool)
-    same[1:] = (ho[1:] == ho[:-1]) & (do[1:] == do[:-1]) & (po[1:] <= po[:-1] + PERIOD)
-    at = np.arange(len(h))
     place = np.zeros(len(h), np.int64)
-    place[order] = at - np.maximum.accumulate(np.where(same, 0, at))
+    with np.errstate(over="ignore"):
+        own = h ^ mix(d.astype(np.uint64) + np.uint64(1))
+    line = np.sort(own)
+    twice = line[1:][line[1:] == line[:-1]]
+    some = np.flatnonzero(np.isin(own, twice)) if len(twice) else np.zeros(0, np.int64)  # few seeds repeat in a text
+    if len(some):
+        order = some[np.lexsort((pos[some], h[some], d[some]))]
+        ho, do, po = h[order], d[order], pos[order]
+        same = np.zeros(len(order), bool)
+        same[1:] = (ho[1:] == ho[:-1]) & (do[1:] == do[:-1]) & (po[1:] <= po[:-1] + PERIOD)
+        at = np.arange(len(order))
+        place[order] = at - np.maximum.accumulate(np.where(same, 0, at))
     with np.errstate(over="ignore"):
         return place, np.where(place > 0, mix(h + (place % RUN).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D)), h)
 
@@ -144,6 +156,13 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return found
 
 
+def grid(a: int, b: int) -> tuple[int, int]:
+    """The window that stands for words a to b: a text has few of them, however many chains ask for its words."""
+    step = max(32, 1 << max(0, (b - a - 1).bit_length() - 2))
+    a -= a % step
+    return a, a + 5 * step
+
+
 def _chains(min_words: int):
     least = min(min_words, K + 1)  # two seeds
 
@@ -153,14 +172,17 @@ def _chains(min_words: int):
             x, y = np.asarray(table["pos"]).astype(np.int64), np.asarray(table["src_pos"]).astype(np.int64)
             if x[-1] - x[0] + K < least:
                 continue
-            doc, src = table["doc_id"][0].as_py(), table["src"][0].as_py()
+            doc, src, again = table["doc_id"][0].as_py(), table["src"][0].as_py(), np.asarray(table["again"])
             for path in chain(x, y):
                 p, q = x[path], y[path]
                 dx, dy = np.diff(p), np.diff(q)
                 cuts = [0, *(np.flatnonzero((dx > GAP) | (dy > GAP) | (np.abs(dx - dy) > SHIFT)) + 1).tolist(), len(p)]
                 for a, b in zip(cuts, cuts[1:]):
                     if p[b - 1] - p[a] + K >= least:
-                        rows.append((doc, max(0, int(p[a]) - MARGIN), int(p[a]), int(p[b - 1]) + K, int(p[b - 1]) + K + MARGIN, src, max(0, int(q[a]) - MARGIN), int(q[a]), int(q[b - 1]) + K, int(q[b - 1]) + K + MARGIN, _diagonals(p[a:b], q[a:b])))
+                        x0, x1, y0, y1 = int(p[a]), int(p[b - 1]) + K, int(q[a]), int(q[b - 1]) + K
+                        x_from, x_to = grid(max(0, x0 - MARGIN), x1 + MARGIN)
+                        y_from, y_to = grid(max(0, y0 - MARGIN), y1 + MARGIN)
+                        rows.append((doc, x_from, x0, x1, x_to, src, y_from, y0, y1, y_to, int(again[path[a:b]].all()), _diagonals(p[a:b], q[a:b])))
             if len(rows) > 20_000:
                 yield _rows(rows, _CHAIN)
                 rows = []
@@ -169,7 +191,7 @@ def _chains(min_words: int):
     return build
 
 
-_CHAIN = "doc_id long, x_from long, x0 long, x1 long, x_to long, src long, y_from long, y0 long, y1 long, y_to long, diagonals array<long>"
+_CHAIN = "doc_id long, x_from long, x0 long, x1 long, x_to long, src long, y_from long, y0 long, y1 long, y_to long, again long, diagonals array<long>"
 
 
 def _diagonals(p: np.ndarray, q: np.ndarray) -> list[int]:
@@ -364,60 +386,140 @@ def _aligned(min_words: int, identity: float):
     return build
 
 
-def _first(seeds: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, pos, src, src_pos): each occurrence of an h that several documents have, and the first one of it."""
-    path = scratch.path("matches")
-    for part in range(PARTS):
-        mine = seeds.where(F.pmod("h", F.lit(PARTS)) == part)
-        shared = mine.groupBy("h").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", F.col("first.doc_id").alias("src"), F.col("first.pos").alias("src_pos"))
-        shared = scratch.table(shared, "shared")
-        out = mine.join(shared.hint("merge"), "h").select("doc_id", "src", "pos", "src_pos")
-        out.write.mode("append").parquet(path)
-        scratch.drop(shared)
-        scratch.free()
-    found = scratch.spark.read.schema(out.schema).parquet(path)
-    found._scratch_path = path
-    return found
+_MATCH = "doc_id long, src long, pos int, src_pos int, again boolean, h long"
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Matches from rows sorted by (h, salt, doc_id, pos): each occurrence of what several documents of a group
+    have with the group's first one, and (again) with the last one of the document before, if that is another.
+
+    For a salted group also its first occurrence itself, as a row with h.  Only the group at the end of a
+    batch is carried on: as a whole while one document has it, then its first row, its last document and the row before.
+    """
+    names = ("h", "salt", "doc_id", "pos")
+    held, done = [np.zeros(0, np.int64)] * 4, np.zeros(0, bool)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, salt, d, p = (np.concatenate([x, np.asarray(batch[c]).astype(np.int64)]) for x, c in zip(held, names))
+        done = np.concatenate([done, np.zeros(batch.num_rows, bool)])
+        n = len(h)
+        group, doc = np.ones(n, bool), np.ones(n, bool)
+        group[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
+        doc[1:] = group[1:] | (d[1:] != d[:-1])
+        begin = np.flatnonzero(group)
+        size = np.diff(np.append(begin, n))
+        first, last = np.repeat(begin, size), np.repeat(begin + size - 1, size)
+        shared = d[first] != d[last]
+        runs_ = np.flatnonzero(doc)
+        before = np.repeat(runs_ - 1, np.diff(np.append(runs_, n)))  # the last row of the document before
+        more = shared & ~done & (before >= first) & (d[before] != d[first])
+        one = np.flatnonzero(shared & ~done)
+        two = np.flatnonzero(more)
+        told = begin[(salt[begin] > 0) & ~done[begin]]
+        # What is carried on of the last group.
+        end = int(begin[-1])
+        if d[end] == d[-1]:
+            keep, seen = np.arange(end, n), done[end:]
+            told = told[told != end]
+        else:
+            keep = np.unique(np.concatenate([[end], np.arange(max(end, int(runs_[-1]) - 1), n)]))  # and the row before that document
+            seen = np.ones(len(keep), bool)
+        yield _match_rows(d, p, h, one, first[one], two, before[two], told)
+        held, done = [x[keep] for x in (h, salt, d, p)], seen
+    if len(held[0]) and held[1][0] > 0 and not done[0]:
+        h, _, d, p = held
+        none = np.zeros(0, np.int64)
+        yield _match_rows(d, p, h, none, none, none, none, np.zeros(1, np.int64))
+
+
+def _match_rows(d, p, h, one, first, two, before, told) -> pa.RecordBatch:
+    at, src = np.concatenate([one, two, told]), np.concatenate([first, before, told])
+    kind = np.repeat([0, 1, 2], [len(one), len(two), len(told)])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(d[at]), pa.array(d[src]), pa.array(p[at].astype(np.int32)), pa.array(p[src].astype(np.int32)), pa.array(kind == 1), pa.array(h[at], mask=kind < 2)],
+        names=["doc_id", "src", "pos", "src_pos", "again", "h"],
+    )
+
+
+def _linked(keys: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, src, pos, src_pos, again): each occurrence of an h that several documents have, with other ones, and the first with itself.
+
+    some: the keys of a hundredth of the documents, which tell the hot ones; what is hot changes how rows
+    are dealt to tasks and, for again, which of the documents before counts, and no more.
+    """
+    counts = scratch.table(some.groupBy("h").count().where("count > 1"), "some")
+    least = max(HOT_LEAST, HOT * (counts.agg(F.sum("count")).first()[0] or 0))
+    hot = scratch.table(counts.where(F.col("count") >= least).select("h", F.lit(True).alias("hot")), "hot")  # 1 / HOT rows at most
+    salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = keys.join(F.broadcast(hot), "h", "left").select("h", salt.alias("salt"), "doc_id", "pos")
+    order = ["h", "salt", "doc_id", "pos"]
+    found = scratch.table(dealt.repartition("h", "salt").sortWithinPartitions(*order).mapInArrow(_matched, _MATCH), "matches")
+    firsts = found.where("h is not null").select("h", F.lit(0).alias("salt"), "doc_id", "pos")  # SALTS of a hot hash
+    among = scratch.table(firsts.repartition("h").sortWithinPartitions(*order).mapInArrow(_matched, _MATCH), "firsts")
+    scratch.drop(counts, hot)
+    out = found.where("h is null").union(among).drop("h")
+    out._parts = (found, among)
+    return out
+
+
+def _hundredth(rows: DataFrame) -> DataFrame:
+    return rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(100)) == 0)
+
+
+def _passages(chains: DataFrame, segments: DataFrame, min_words: int, identity: float) -> DataFrame:
+    """The passages that chains align to.  Sources come first, while rows are narrow, as many chains may have one source."""
+    right = segments.select(F.col("doc_id").alias("src"), F.col("a").alias("y_from"), F.col("b").alias("y_to"), F.col("w").alias("bw"))
+    left = segments.select("doc_id", F.col("a").alias("x_from"), F.col("b").alias("x_to"), F.col("w").alias("aw"))
+    start = F.greatest(F.lit(0), F.col("y0") - MARGIN, F.col("y_from"))
+    sourced = chains.join(right.hint("merge"), ["src", "y_from", "y_to"]).withColumn("start", start)
+    words = F.expr(f"substring(bw, cast(8 * (start - y_from) + 1 as int), cast(8 * (y1 + {MARGIN} - start) as int))")
+    sourced = sourced.withColumn("bw", words).withColumn("y_from", F.col("start")).drop("start")
+    both = sourced.join(left.hint("merge"), ["doc_id", "x_from", "x_to"])
+    return both.select(*(c.split()[0] for c in _CHAIN.split(", ")), "aw", "bw").mapInArrow(_aligned(min_words, identity), _PASSAGE).distinct()
+
+
+def _outside(rows: DataFrame, found: DataFrame, fits: str) -> DataFrame:
+    wider = found.select(F.col("doc_id").alias("d"), F.col("source_doc_id").alias("s"), F.col("start_word").alias("a"), F.col("end_word").alias("b"))
+    return rows.join(wider.hint("merge"), F.expr(fits), "left_anti")
 
 
 def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> DataFrame:
-    """(doc_id, start_word, end_word, source_doc_id, source_start_word, source_end_word, identity) of each repeated passage.
+    """(doc_id, start_word, end_word, source_doc_id, source_start_word, source_end_word, identity, text_key) of each repeated passage.
 
     Word numbers count from 0 and ends are exclusive.
     """
     scratch = Scratch(docs.sparkSession, "passages")
-    rows = keyed(docs)
-    seeds = scratch.table(rows.mapInArrow(_seeds, "h long, doc_id long, pos int"), "seeds")
-    matches = _first(seeds, scratch)  # with the first occurrences themselves
-    scratch.drop(seeds)
+    names = Identity(docs, scratch)
+    rows = names.texts(docs)
+    seeds = lambda texts: texts.mapInArrow(_seeds, "h long, doc_id long, pos int")
+    matches = _linked(seeds(rows), seeds(_hundredth(rows)), scratch)
     chains = matches.where("doc_id > src").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_chains(min_words), _CHAIN)
     chains = scratch.table(chains, "chains")
     scratch.free()
     wanted = chains.select("doc_id", F.col("x_from").alias("a"), F.col("x_to").alias("b")).union(chains.select("src", "y_from", "y_to")).distinct()
-    wanted = wanted.union(matches.select("doc_id", F.col("pos").cast("long"), F.lit(-1).cast("long")))  # and its shared seeds
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))  # ranges of one text
+    wanted = wanted.union(matches.where("not again").select("doc_id", F.col("pos").cast("long"), F.lit(-1).cast("long")))  # and its shared seeds
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))  # a text's own windows and seeds
     segments = scratch.table(rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_segments(min_words), "doc_id long, a long, b long, w binary"), "segments")
-    scratch.drop(matches)
+    scratch.drop(*matches._parts)
     scratch.free()
-    windows = scratch.table(segments.where("a < 0").mapInArrow(_windows, "h long, doc_id long, pos int"), "windows")
-    same = _first(windows, scratch)
-    scratch.drop(windows)
-    equal = same.where("doc_id > src").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_equal(min_words), _PASSAGE)
+    windows = segments.where("a < 0")
+    hashed = lambda part: part.mapInArrow(_windows, "h long, doc_id long, pos int")
+    same = _linked(hashed(windows), hashed(_hundredth(windows)), scratch)
+    equal = same.where("doc_id > src and not again").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_equal(min_words), _PASSAGE)
     equal = scratch.table(equal, "equal")
-    scratch.drop(same)
+    scratch.drop(*same._parts)
     scratch.free()
-    stored, segments = segments, segments.where("a >= 0")
-    left = segments.select("doc_id", F.col("a").alias("x_from"), F.col("b").alias("x_to"), F.col("w").alias("aw"))
-    right = segments.select(F.col("doc_id").alias("src"), F.col("a").alias("y_from"), F.col("b").alias("y_to"), F.col("w").alias("bw"))
-    both = chains.join(left, ["doc_id", "x_from", "x_to"]).join(right, ["src", "y_from", "y_to"])
-    found = both.select(*(c.split()[0] for c in _CHAIN.split(", ")), "aw", "bw").mapInArrow(_aligned(min_words, identity), _PASSAGE).distinct()
-    found = scratch.table(found, "found")
+    ranges = segments.where("a >= 0")
+    found = scratch.table(_passages(chains.where("again = 0"), ranges, min_words, identity), "found")
+    covered = found.union(equal)
+    open_ = _outside(chains.where("again = 1"), covered, "doc_id = d AND x0 >= a AND x1 <= b")
+    further = scratch.table(_passages(open_, ranges, min_words, identity), "further")
     # Less the equal passages that lie within one of the others.
-    wider = found.select(F.col("doc_id").alias("d"), F.col("source_doc_id").alias("s"), F.col("start_word").alias("a"), F.col("end_word").alias("b"))
-    lone = equal.join(wider.hint("merge"), F.expr("doc_id = d AND source_doc_id = s AND start_word >= a AND end_word <= b"), "left_anti")
-    out = scratch.table(found.union(lone), "passages")
-    scratch.drop(chains, stored, found, equal)
-    return out.withColumns({"doc_id": unkeyed(), "source_doc_id": F.when(F.col("source_doc_id") != NO_ID, F.col("source_doc_id"))})
+    lone = _outside(equal, found, "doc_id = d AND source_doc_id = s AND start_word >= a AND end_word <= b")
+    out = scratch.table(found.union(further).union(lone), "passages")
+    scratch.drop(chains, segments, found, further, equal)
+    return names.back(names.back(out, "source_doc_id"), "doc_id", "text_key")
 
 
 def cut(text: str, spans: list[tuple[int, int]]) -> str:
@@ -439,16 +541,18 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches):
-        texts = [t if not s or t is None else cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(batch["text"].to_pylist(), batch["_spans"].to_pylist())]
-        left = [not s or len(Words([t])) > 0 for t, s in zip(texts, batch["_spans"].to_pylist())]
-        columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in batch.schema.names if c != "_spans"]
-        yield pa.RecordBatch.from_arrays(columns, names=[c for c in batch.schema.names if c != "_spans"]).filter(pa.array(left))
+        texts = [t if not s or t is None else cut(t, [(x["a"], x["b"]) for x in s]) for t, s in zip(batch["text"].to_pylist(), batch["_lodestone_spans"].to_pylist())]
+        left = [not s or len(Words([t])) > 0 for t, s in zip(texts, batch["_lodestone_spans"].to_pylist())]
+        columns = [pa.array(texts, pa.string()) if c == "text" else batch[c] for c in batch.schema.names if c != "_lodestone_spans"]
+        yield pa.RecordBatch.from_arrays(columns, names=[c for c in batch.schema.names if c != "_lodestone_spans"]).filter(pa.array(left))
 
 
 def remove_passages(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents without the words of their repeated passages; a document with no other word goes, n_chars follows the text."""
-    spans = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id")).agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("_spans"))
-    marked = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
-    touched = marked.join(spans.hint("merge"), "_id", "left").drop("_id")
-    out = touched.mapInArrow(_removed, T.StructType([f for f in touched.schema.fields if f.name != "_spans"]))
+    """The documents without the words of their repeated passages; a document with no other word goes, n_chars follows the text.
+
+    Passages are cut from the text that they were found in, not from others of the same id.
+    """
+    spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct(F.col("start_word").alias("a"), F.col("end_word").alias("b"))).alias("_lodestone_spans"))
+    touched = matching(docs, spans, "left", ("_lodestone_spans",))
+    out = touched.mapInArrow(_removed, T.StructType([f for f in touched.schema.fields if f.name != "_lodestone_spans"]))
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out

@@ -67,15 +67,57 @@ def test_matches_equal_brute_force(spark):
 def test_blocks_of_items_give_the_same(spark, monkeypatch):
     texts, items, leaks = corpus()
     bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
-    monkeypatch.setattr(dc, "MAX_TERMS", 400)
-    assert len(list(dc.blocks_of(bench))) > 1
-    assert leaks <= {(r.doc_id, r.item_id) for r in dc.matches(documents(spark, texts), bench).collect()}
+    rows = lambda: sorted(tuple(r) for r in dc.matches(documents(spark, texts), bench).drop("cosine").collect())
+    whole = rows()
+    assert leaks <= {r[:2] for r in whole}
+    monkeypatch.setattr(dc, "BLOCK_WORDS", 100)
+    assert len(dc.blocks_of(bench)[1]) > 5
+    assert rows() == whole
+
+
+def test_latent_space_equals_a_plain_svd(spark):
+    """Singular values and leading vectors of the weighted matrix, against numpy's SVD of the whole of it."""
+    texts = [" ".join(prose(200, i, 60)) for i in range(40)]
+    terms = np.unique(dc.Words([" ".join(f"w{i}" for i in range(60))]).hashes)
+    posted = documents(spark, texts).select("doc_id", "text").mapInArrow(dc._postings(terms), "doc_id long, segments long, terms binary, positions binary, term int, df long")
+    idf = np.linspace(1, 2, 60) ** 4
+    basis, values = dc.latent_space(posted.where("df is null"), idf, 50)
+    a, size = np.zeros((40 * 13, 60)), np.zeros(40 * 13)
+    for d, t in enumerate(texts):
+        for i, h in enumerate(dc.Words([t]).hashes):
+            j = int(np.searchsorted(terms, h))
+            a[13 * d + i // 16, j] += idf[j]
+            size[13 * d + i // 16] += idf[j] ** 2
+    a /= np.sqrt(size)[:, None]
+    u, s, v = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(values[:40], s[:40], rtol=1e-3)
+    assert np.abs(v[0] @ basis).max() > 0.99
 
 
 def test_odd_rows(spark):
     item = " ".join(prose(30, 9))
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     docs = documents(spark, [None, "", "one", item, item, "pre " + item], [1, 2, 3, None, 7, 7])
-    assert sorted((str(r.doc_id), r.item_id) for r in dc.matches(docs, bench).collect()) == [("7", 1), ("None", 1)]
+    found = dc.matches(docs, bench)
+    assert sorted((str(r.doc_id), r.item_id) for r in found.collect()) == [("7", 1), ("7", 1), ("None", 1)]
     assert dc.matches(documents(spark, []), bench).count() == 0
     assert dc.matches(docs, bench.limit(0)).count() == 0
+    assert dc.remove_leaks(documents(spark, []), bench).count() == 0
+
+
+def test_only_the_leaking_text_of_an_id_goes(spark):
+    item = " ".join(prose(30, 9))
+    clean = [" ".join(prose(40, 20 + i)) for i in range(4)]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = documents(spark, [item, clean[0], clean[1], clean[2], "pre " + item, clean[3]], [None, None, None, 7, 7, 8])
+    docs = docs.withColumn("text_key", F.lit(1)).withColumn("item_id", F.lit("clash"))
+    left = dc.remove_leaks(docs, bench)
+    assert left.columns == docs.columns and sorted(r.text for r in left.collect()) == sorted(clean)
+
+
+def test_long_texts_and_ties(spark):
+    item = prose(30, 9)
+    long = " ".join(prose(50_000, 1, 9000) + item + prose(50_000, 2, 9000) + item)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(item))], "item_id long, text string")
+    rows = dc.matches(documents(spark, [long]), bench).collect()
+    assert sorted((r.item_id, r.lcs, r.start_word) for r in rows) == [(1, 1.0, 50_000), (2, 1.0, 50_000)]

@@ -64,35 +64,82 @@ def test_join_equals_brute_force(spark, monkeypatch, node, block):
 
 
 def test_join_odd_rows(spark):
-    long = " ".join(prose(60))
-    docs = documents(spark, [long, long, long, "other text of this id now", "alone"], [None, 5, 5, 5, 9])
-    rows = {str(r.doc_id): r for r in jaccard_join.jaccard_join(docs).collect()}
-    assert set(rows) == {"None", "5", "9"}
-    assert jaccard_join.keep_one(docs).count() in (2, 3)
+    long, other = " ".join(prose(60)), " ".join(prose(70, 9))
+    docs = documents(spark, [long, long, long, other, "alone"], [None, 5, 5, 5, 9])
+    rows = sorted(((r.doc_id, r.copy_of, r.class_id, r.n_links) for r in jaccard_join.jaccard_join(docs).collect()), key=str)
+    assert [r[0] for r in rows] == [5, 5, 5, 9, None]
+    assert rows[3] == (9, 9, 9, 0)
+    # One text of 5 keeps the id, the other and the text without one are numbered above 9.
+    classes = {r[2] for r in rows if r[3] == 2}
+    assert len(classes) == 1 and sum(r[3] == 2 for r in rows) == 3 and rows[4][3] == 2
+    assert len({r[2] for r in rows}) == 3 and {r[2] for r in rows} - {5, 9} <= set(range(10, 12))
+    kept = jaccard_join.keep_one(docs).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("5", long), ("5", other), ("9", "alone")])
     assert jaccard_join.jaccard_join(documents(spark, [])).count() == 0
+    assert jaccard_join.keep_one(documents(spark, [])).count() == 0
 
 
-def test_recall_at_the_threshold():
-    """The paths that a pair at the threshold shares, measured over many pairs of sets."""
-    import pyarrow as pa
+def test_keep_one_loses_no_text_of_a_null_or_repeated_id(spark):
+    texts = [" ".join(prose(40, i)) for i in range(5)]
+    docs = documents(spark, texts, [None, None, None, 5, 5])
+    assert jaccard_join.jaccard_join(docs).count() == 5
+    assert sorted(r.text for r in jaccard_join.keep_one(docs).collect()) == sorted(texts)
+    # 1 = X, 5 = X and Y: the copy of X goes, Y stays, whatever the hashes are.
+    for i in range(4):
+        x, y = " ".join(prose(40, 50 + i)), " ".join(prose(40, 60 + i))
+        kept = jaccard_join.keep_one(documents(spark, [x, x, y], [1, 5, 5])).collect()
+        assert sorted((r.doc_id, r.text) for r in kept) in ([(1, x), (5, y)], [(5, x), (5, y)])
 
-    rng = np.random.default_rng(0)
-    missed, n = 0, 300
-    runs = jaccard_join.runs_for(0.9999, 0.8)
-    for _ in range(n):
-        common = [f"w{x}" for x in rng.integers(0, 10**9, 200)]
-        a, b = common + [f"a{x}" for x in rng.integers(0, 10**9, 25)], common + [f"b{x}" for x in rng.integers(0, 10**9, 25)]
-        batch = pa.RecordBatch.from_pydict({"doc_id": [0, 1], "text": [" ".join(a), " ".join(b)]})
-        out = jaccard_join.describe(batch, 0.8, runs, 1)
-        missed += not set(out["l1"][0].as_py()) & set(out["l1"][1].as_py())
-    assert missed <= 1
-
-
-def test_recall_at_the_deepest_level():
-    miss = 0.0
-    for _ in range(jaccard_join.LEVELS):
-        miss = np.exp(miss - 1)
-    assert miss ** jaccard_join.runs_for(0.9999, 0.8) <= 1e-4
+
+def test_long_texts(spark):
+    base = prose(60_000, 3, 10**6)
+    near = base[:30_000] + ["changed"] + base[30_001:]
+    rows = {r.doc_id: r for r in jaccard_join.jaccard_join(documents(spark, [" ".join(base), " ".join(near), " ".join(prose(50_000, 4, 10**6))])).collect()}
+    assert [rows[i].class_id for i in range(3)] == [0, 0, 2] and rows[0].n_links == 1
+
+
+def pair_corpus(pairs, groups, rng):
+    """Pairs of texts at a similarity of 0.8 whose shared words hold a line that a whole group has."""
+    texts = []
+    for i in range(pairs):
+        line = prose(24, 70_000 + i % groups, 10**9)
+        common = line + [f"c{rng.randrange(10**12)}" for _ in range(160)]
+        for _ in range(2):
+            texts.append(" ".join(common + [f"x{rng.randrange(10**12)}" for _ in range(20)]))
+    return texts
+
+
+@pytest.mark.parametrize("node", [1024, 8])
+def test_recall_end_to_end(spark, monkeypatch, node):
+    """Pairs just above the threshold, in nodes that must be descended, with all steps after the paths."""
+    monkeypatch.setattr(jaccard_join, "NODE", node)
+    texts = pair_corpus(300, 6, random.Random(4))
+    sets = sets_of(texts[:2])
+    assert 0.8 <= similarity(*sets) < 0.83
+    rows = {r.doc_id: r.class_id for r in jaccard_join.jaccard_join(documents(spark, texts)).collect()}
+    assert sum(rows[2 * i + 1] == 2 * i for i in range(300)) >= 299
+
+
+def test_large_nodes_of_near_copies(spark, monkeypatch):
+    """A node that no path splits: near copies round a pivot, and others that share a line with them."""
+    monkeypatch.setattr(jaccard_join, "NODE", 8)
+    rng = random.Random(6)
+    base = prose(120, 1, 10**9)
+    texts = []
+    for i in range(60):
+        copy = list(base)
+        copy[rng.randrange(40, 120)] = f"edit{i}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(base[:30] + prose(60, 100 + i, 10**9)) for i in range(40)]
+    rows = sorted(tuple(r) for r in jaccard_join.jaccard_join(documents(spark, texts)).collect())
+    assert rows == brute(texts)
+
+
+def test_runs_hold_at_any_depth():
+    miss, runs = 0.0, jaccard_join.runs_for(0.9999, 0.8)
+    for _ in range(1000):  # levels
+        miss = np.exp(jaccard_join.SPREAD * (miss - 1))
+        assert miss**runs <= 1e-4 / 2
     a = np.arange(1, 65, dtype=np.uint8)[None, :]
     b = a.copy()
     b[0, 36:] += 100  # 36 of 64 bins alike: a chance of 1e-5 at 0.8

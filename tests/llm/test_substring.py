@@ -89,10 +89,72 @@ def test_odd_rows(spark):
     long = " ".join(prose(300, 3))
     docs = documents(spark, [None, "", "one two", long, long, long], [1, 2, 3, None, 7, 7])
     rows = sd.passages(docs).collect()
-    assert {(r.doc_id, r.source_doc_id) for r in rows} == {(7, None)}
+    assert {(r.doc_id, r.source_doc_id) for r in rows} == {(None, 7)}
     assert sd.passages(documents(spark, [])).count() == 0
     left = sd.remove_passages(docs, sd.passages(docs)).collect()
-    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "None"]
+    assert sorted(str(r.doc_id) for r in left) == ["1", "2", "3", "7", "7"]
+    empty = documents(spark, [])
+    assert sd.remove_passages(empty, sd.passages(empty)).count() == 0
+
+
+def test_passages_are_cut_from_their_own_text_only(spark):
+    passage = prose(80, 1)
+    holder, other, third = prose(30, 2) + passage, prose(200, 3), prose(40, 4)
+    texts = [passage + prose(20, 5), holder, other, third, prose(60, 6) + passage]
+    docs = documents(spark, [" ".join(t) for t in texts], [1, 7, 7, None, None]).withColumn("text_key", F.lit("clash")).withColumn("a", F.lit(0))
+    found = sd.passages(docs)
+    assert found.count() == 2
+    left = sd.remove_passages(docs, found)
+    assert left.columns == docs.columns
+    assert sorted(tuple(r.text.split()) for r in left.collect()) == sorted(map(tuple, [texts[0], holder[:30], other, third, texts[4][:60]]))
+
+
+def test_long_texts_and_ties(spark):
+    passage = prose(70, 1)
+    long = prose(40_000, 2, 10**6) + passage + prose(40_000, 3, 10**6)
+    texts = [" ".join(long), " ".join(prose(30, 4) + passage + prose(30, 5)), " ".join(passage + prose(10, 6) + passage)]
+    rows = sd.passages(documents(spark, texts)).collect()
+    assert {(r.doc_id, r.source_doc_id) for r in rows} == {(1, 0), (2, 0)}
+    assert {i for r in rows if r.doc_id == 2 for i in range(r.start_word, r.end_word)} >= {*range(70), *range(80, 150)}
+
+
+def groups(rows):
+    """What _matched() is to give, from lists by key."""
+    want, by = [], {}
+    for h, salt, d, p in sorted(rows):
+        by.setdefault((h, salt), []).append((d, p))
+    for (h, salt), held in by.items():
+        if salt:
+            want.append((h, *held[0], *held[0], False))
+        if len({d for d, _ in held}) == 1:
+            continue
+        for d, p in held:
+            want.append((None, d, p, *held[0], False))
+            before = [x for x in held if x[0] < d]
+            if before and before[-1][0] != held[0][0]:
+                want.append((None, d, p, *before[-1], True))
+    return want
+
+
+def test_matches_by_key_do_not_depend_on_batches():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for _ in range(60):
+        rows = sorted({(rng.randrange(4), rng.choice([0, 0, 1, 2]), rng.randrange(5), rng.randrange(6)) for _ in range(rng.randrange(1, 60))})
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows) + 1) for _ in range(rng.randrange(6)))})
+        batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a:b]), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["h", "salt", "doc_id", "pos"]) for a, b in zip(cuts, cuts[1:])]
+        got = [(r["h"], r["doc_id"], r["pos"], r["src"], r["src_pos"], r["again"]) for x in sd._matched(iter(batches)) for r in x.to_pylist()]
+        assert sorted(got, key=str) == sorted(groups(rows), key=str)
+
+
+def test_hot_seeds_are_matched_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(sd, "HOT_LEAST", 1)
+    passage = prose(80, 1)
+    texts = [" ".join(prose(30, 10 + 2 * i) + passage + prose(30, 11 + 2 * i)) for i in range(400)]
+    rows = sd.passages(documents(spark, texts)).collect()
+    whole = {r.doc_id for r in rows if r.start_word <= 30 and r.end_word >= 110}
+    assert whole == set(range(1, 400)) and all(r.source_doc_id < r.doc_id for r in rows)
 
 
 def test_cut_keeps_the_rest():
@@ -163,3 +225,27 @@ def test_word_inserted_near_an_edge(spark):
 
     assert pairs(spark, 40, inserted(60, 12)) >= 39
     assert pairs(spark, 40, inserted(52, 8)) >= 38
+
+
+def mosaics(spark, count, change):
+    """How many of ``count`` passages of 120 words are found whole, of which three earlier documents hold 40 words each."""
+    texts, want = [], {}
+    for i in range(count):
+        p = prose(120, 50_000 + i, 10**9)
+        texts += [" ".join(prose(30, 60_000 + 8 * i + j) + p[40 * j : 40 * j + 40] + prose(30, 70_000 + 8 * i + j)) for j in range(3)]
+        for j, q in enumerate((p, change(p))):
+            texts.append(" ".join(prose(40, 80_000 + 8 * i + j) + q + prose(40, 90_000 + 8 * i + j)))
+        want[len(texts) - 1] = len(q)
+    rows = sd.passages(documents(spark, texts)).collect()
+    covered = {d: {w for r in rows if r.doc_id == d for w in range(r.start_word, r.end_word)} & set(range(40, 40 + n)) for d, n in want.items()}
+    # Two-sided: nothing but the second holder of each passage has one.
+    assert {r.doc_id for r in rows} <= set(want)
+    return sum(len(c) >= 0.9 * want[d] for d, c in covered.items())
+
+
+def test_mosaics(spark):
+    assert mosaics(spark, 100, lambda p: p) == 100
+
+
+def test_fuzzy_mosaics(spark):
+    assert mosaics(spark, 100, lambda p: [f"edit{i}" if i % 12 == 7 else w for i, w in enumerate(p)]) >= 95
