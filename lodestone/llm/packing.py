@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 1, ke
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, length, ids) of each sequence, from pack(keep_ids=True); a sequence is at most one capacity long."""
+    """(sequence_id, length, ids) of each sequence, from pack(keep_ids=True); a sequence is at most one capacity long; no rows give none."""
     parts = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "length", "ids"))).alias("p"))
     joined = F.aggregate("p", F.lit(b"").cast("binary"), lambda acc, x: F.concat(acc, x["ids"]))
     return parts.select("sequence_id", F.aggregate("p", F.lit(0).cast("long"), lambda acc, x: acc + x["length"]).alias("length"), joined.alias("ids"))

@@ -76,7 +76,10 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 20240607) -> DataF
 
 
 def write_shards(docs: DataFrame, folder: str, shards: int = 24, seed: int = 20240607) -> DataFrame:
-    """Documents with their shard and slot as Parquet, a folder for each shard, in slot order within it; every row is written once."""
+    """Documents with their shard and slot as Parquet, a folder for each shard, in slot order within it.
+
+    Every row is written once, whether its id is null or repeats; no rows give no files (an error to read).
+    """
     # Rows of one id and text are numbered among themselves on both sides: which of them gets which slot is open.
     text, keys = F.coalesce(F.col("text").cast("string"), F.lit("")), ["_id", "_crc", "_size", "_n"]
     size = (F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)) + 8).cast("long")

@@ -7,12 +7,13 @@ bits, ids a block, documents, ids, blocks, 0, 0, the footer's offset.  Ids are p
 significant bit first, 64 ids to ``bits`` little-endian 64-bit words, so that any range is
 read from the blocks that hold it and unpacked in a few numpy operations.
 
-Files are numbered in ascending doc_id order.  A task writes under a name of its own and
+Files are numbered in ascending doc_id order, about FILE_BYTES of text each, so a file, its sort and what
+its writer holds (two numbers a document) do not grow with the corpus.  A task writes under a name of its own and
 renames the finished file, so a task that runs again leaves one file.
 
 Defined results: a null text is an empty one (the end id alone); a null doc_id sorts first
 and is returned as null; rows that repeat an id are documents of their own, in the order of
-their texts; extra columns are ignored; no rows give no files.
+a hash of their texts; extra columns are ignored; no rows give no files.
 """
 
 from __future__ import annotations
