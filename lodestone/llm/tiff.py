@@ -2,8 +2,9 @@
 
 Reading follows the directory chain of either byte order, takes strips or tiles, undoes
 PackBits, LZW or deflate and the horizontal predictor, and gives one row for each page:
-8 or 16 bits a sample, one or more samples a pixel.  A file that is damaged gives one row
-with the error and no pixels.
+8 or 16 bits a sample, one or more samples a pixel.  A file that is damaged, or not of these kinds, gives its
+pages up to there and one row with the error and no pixels.  Sizes are checked before anything
+is allocated: a page has at most MOST_BYTES of pixels, and no more than its data can unfold to.
 
 For texts: the payload is the UTF-8 text and spaces up to a positive multiple of WIDTH; each
 page is WIDTH samples wide and at most PAGE_ROWS long, deflated in strips after the
@@ -26,9 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.kit import keyed, pieces, unkeyed
+from lodestone.llm.kit import BATCH, keyed, pieces, unkeyed
 
 WIDTH, PAGE_ROWS, STRIP_ROWS = 192, 4096, 512
+#: Bytes of pixels that a page may have, and that a byte of data can unfold to at most in any of the codings.
+MOST_BYTES, UNFOLD = 1 << 28, 4096
 
 # Fixed values of the format: tags, field sizes, compression codes.
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
@@ -57,9 +60,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and len(out) < most:
         head = data[i]
         if head < 128:
             out += data[i + 1 : i + 2 + head]
@@ -109,8 +112,8 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    out, held, bits, width = [], 0, 0, 9
+def lzw_decode(data: bytes, most: int = MOST_BYTES) -> bytes:
+    out, size, held, bits, width = [], 0, 0, 0, 9
     table: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
     last = b""
     for byte in data:
@@ -130,7 +133,10 @@ def lzw_decode(data: bytes) -> bytes:
             raise ValueError("bad LZW code")
         found = table[code] if code < len(table) else last + last[:1]
         out.append(found)
-        if last:
+        size += len(found)
+        if size >= most:
+            break
+        if last and len(table) < 4096:
             table.append(last + found[:1])
         last = found
         width = min(12, max(9, (len(table) + 1).bit_length()))
@@ -138,7 +144,7 @@ def lzw_decode(data: bytes) -> bytes:
 
 
 ENCODE = {"none": bytes, "packbits": packbits_encode, "lzw": lzw_encode, "deflate": lambda x: zlib.compress(x, 1)}
-DECODE = {"none": bytes, "packbits": packbits_decode, "lzw": lzw_decode, "deflate": zlib.decompress}
+DECODE = {"none": lambda x, most=MOST_BYTES: x[:most], "packbits": packbits_decode, "lzw": lzw_decode, "deflate": lambda x, most=MOST_BYTES: zlib.decompressobj().decompress(x, most)}
 
 
 # ------------------------------------------------------------------------- writing
@@ -213,8 +219,8 @@ def read_pages(data: bytes) -> Iterator[Page]:
             fields, at = _directory(data, at, order)
             yield _page(data, fields, order, number)
             number += 1
-    except (struct.error, zlib.error, IndexError, KeyError) as e:
-        raise ValueError(f"damaged: {e}") from e
+    except (struct.error, zlib.error, LookupError, ArithmeticError, MemoryError, TypeError) as e:
+        raise ValueError(f"damaged: {type(e).__name__} {e}") from e
 
 
 def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
@@ -227,6 +233,8 @@ def _directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]
             where = at + 10 + 12 * i
             if size * count > 4:
                 where = struct.unpack_from(order + "I", data, where)[0]
+            if where + size * count > len(data):
+                raise ValueError(f"field {tag} lies beyond the file")
             fields[tag] = struct.unpack_from(f"{order}{count}{letter}", data, where)
     return fields, struct.unpack_from(order + "I", data, at + 2 + 12 * n)[0]
 
@@ -241,16 +249,23 @@ def _page(data: bytes, fields: dict[int, tuple], order: str, number: int) -> Pag
     tiled = TILE_OFFSETS in fields
     rows, columns = (fields[TILE_LENGTH][0], fields[TILE_WIDTH][0]) if tiled else (min(fields.get(ROWS_PER_STRIP, (height,))[0], height), width)
     places, sizes = (fields[TILE_OFFSETS], fields[TILE_COUNTS]) if tiled else (fields[STRIP_OFFSETS], fields[STRIP_COUNTS])
+    if min(width, height, samples, rows, columns) < 1:
+        raise ValueError(f"no such size: {width} x {height}, {samples} samples, parts of {columns} x {rows}")
     across = -(-width // columns)
-    if len(places) < across * -(-height // max(rows, 1)):
+    if len(places) < across * -(-height // rows) or len(sizes) < len(places):
         raise ValueError("strips or tiles are missing")
+    held = sum(max(0, min(size, len(data) - at)) for at, size in zip(places, sizes))
+    most, part_bytes = min(MOST_BYTES, UNFOLD * held), columns * rows * samples * (bits // 8)
+    if max(width * height * samples * (bits // 8), part_bytes) > most:
+        raise ValueError(f"{width} x {height} pixels of {samples} samples are more than {most} bytes")
     out = np.zeros((height, width, samples), kind.newbyteorder("="))
     for i, (at, size) in enumerate(zip(places, sizes)):
         y, x = i // across * rows, i % across * columns
         if y >= height:
             break
         full = rows if tiled else min(rows, height - y)
-        part = np.frombuffer(DECODE[NAMES[code]](data[at : at + size]), kind, full * columns * samples).reshape(full, columns, samples)
+        need = full * columns * samples
+        part = np.frombuffer(DECODE[NAMES[code]](data[at : at + size], need * kind.itemsize), kind, need).reshape(full, columns, samples)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
         out[y : y + full, x : x + columns] = part[: height - y, : width - x]
@@ -264,19 +279,24 @@ def _page_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in _PAGES.split(", ")]
     kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in _PAGES.split(", ")]
     for batch in pieces(batches, text="media"):
-        for doc, media in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist()):  # a file's pages at a time
-            rows = []
+        for doc, media in zip(batch["doc_id"].to_pylist(), batch["media"].to_pylist()):
+            n, rows, size = 0, [], 0
             try:
                 for p in read_pages(media or b""):
                     rows.append((doc, p.number, *p.pixels.shape, p.pixels.itemsize * 8, p.compression, p.layout, p.pixels.tobytes(), None))
+                    n, size = n + 1, size + p.pixels.nbytes
+                    if size > 1 << 24:  # some pages at a time
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+                        rows, size = [], 0
             except ValueError as e:
-                rows.append((doc, len(rows), None, None, None, None, None, None, None, str(e)))
+                rows.append((doc, n, None, None, None, None, None, None, None, str(e)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
 
 def explode_pages(media: DataFrame) -> DataFrame:
-    """One row for each page of (doc_id, media)."""
+    """One row for each page of (doc_id, media); null, empty and damaged media end in a row with the error."""
+    media.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return media.select(F.col("doc_id").cast("long").alias("doc_id"), "media").mapInArrow(_page_rows, _PAGES)
 
 

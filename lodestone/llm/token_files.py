@@ -34,6 +34,8 @@ from lodestone.llm.tokens import encoder
 
 MAGIC = b"LDTOK1\0\0"
 BLOCK = 65_536
+#: Bytes of text that one file is to hold, and the least that is worth a task of its own.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 2 << 20
 
 
 def bits_for(vocabulary: int) -> int:
@@ -158,10 +160,17 @@ def _write(folder: str, tokenizer: str, end: int):
     return build
 
 
+def files_for(docs: DataFrame) -> int:
+    """How many files: by bytes, and for a small corpus one for each core that has enough to do."""
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")).cast("long"))).first()[0] or 0
+    return max(1, -(-size // FILE_BYTES), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size // LEAST_BYTES)))
+
+
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int = 1, files: int | None = None) -> DataFrame:
     """Write the files; returns their manifest (part, file, n_docs, n_ids, n_bytes), not yet run."""
-    n = files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = keyed(docs).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    n = files or files_for(docs)
+    rows = keyed(docs).withColumn("key", F.xxhash64("text"))
+    ordered = rows.repartitionByRange(n, "doc_id", "key").sortWithinPartitions("doc_id", "key").select("doc_id", "text")
     return ordered.mapInArrow(_write(folder, tokenizer, end), "part long, file string, n_docs long, n_ids long, n_bytes long")
 
 
@@ -185,7 +194,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     """
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("part", "file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("start"))
-    n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, manifest.count())  # a file a task, so far as the hash spreads them
     rows = files.repartition(n, "part").mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long, file string")
     return rows.withColumn("doc_id", unkeyed())
 

@@ -5,7 +5,8 @@ Four transducers, each a small machine over symbols, are composed into one:
 
 * negation: an insult or threat within three words after a negation becomes a denied one;
 * reported speech: after a verb of saying, what follows in the clause becomes a quoted one;
-* target: an insult or threat with a person addressed in the same clause becomes an aimed one;
+* target: an insult or threat becomes an aimed one when a person is named before it in the clause, and one that
+  waits is aimed by a person named after it (a bare threat weighs nothing until it is aimed);
 * insult and threat: maps what is left to weights.
 
 A clause's score is the weight of its path.  Matched clauses add up to a document's evidence,
@@ -41,15 +42,16 @@ INSULTS = """idiot moron stupid dumb imbecile loser scum trash clown worthless p
     idiota imbécil estúpido estúpida cabrón gilipollas basura asqueroso asquerosa puta mierda""".split()
 THREATS = """kill murder destroy hurt strangle stab shoot beat
     tuer tuerai frapper töten umbringen schlagen matar mataré golpear""".split()
-TARGETS = """you your yours yourself u he she they him her them his their
+YOU = """you your yours yourself u
     tu toi vous votre ton ta du dich dir ihr euch sie tú usted ustedes te ti vos""".split()
+TARGETS = """he she they him her them his their""".split()
 NEGATIONS = """not no never isn aren wasn don doesn didn neither nor without
     pas jamais non ne nicht kein keine keinen nie niemals nunca jamás sin""".split()
 REPORTS = """said says say wrote writes claimed claims called reported quoted according alleged
     dit écrit déclaré selon sagte sagt schrieb laut behauptete dijo dice escribió según""".split()
 
-O, INSULT, THREAT, TARGET, NOT, SAID, DENIED_INSULT, DENIED_THREAT, QUOTED_INSULT, QUOTED_THREAT, AIMED_INSULT, AIMED_THREAT, END = range(13)
-SYMBOLS = 13
+O, INSULT, THREAT, TARGET, YOU_, NOT, SAID, DENIED_INSULT, DENIED_THREAT, QUOTED_INSULT, QUOTED_THREAT, AIMED_INSULT, AIMED_THREAT, END = range(14)
+SYMBOLS = 14
 
 
 @dataclass
@@ -90,9 +92,13 @@ def grammar() -> Transducer:
     # States count the words since a negation: 3 just after it, 0 none near.
     negation = Transducer.make(4, {(s, x): (s - 1, y, 0.0) for s in (1, 2, 3) for x, y in ((INSULT, DENIED_INSULT), (THREAT, DENIED_THREAT))} | {(s, NOT): (3, NOT, 0.0) for s in range(4)}, lambda s, x: 0 if x == END else max(0, s - 1))
     reported = Transducer.make(2, {(1, x): (1, y, 0.0) for x, y in ((INSULT, QUOTED_INSULT), (THREAT, QUOTED_THREAT))} | {(0, SAID): (1, SAID, 0.0), (1, END): (0, END, 0.0)}, lambda s, x: s)
-    # State 1: a target was seen in this clause; 2: an insult waits for one.
-    aimed = {(1, INSULT): (1, AIMED_INSULT, 0.0), (1, THREAT): (1, AIMED_THREAT, 0.0), (0, INSULT): (2, INSULT, 0.0), (2, TARGET): (1, TARGET, 0.5)}
-    target = Transducer.make(3, aimed | {(s, END): (0, END, 0.0) for s in range(3)}, lambda s, x: 1 if x == TARGET else s)
+    # State 1: a target was seen in this clause; 2: an insult waits for one, 3: a threat, 4: both.
+    # A threat at the person spoken to weighs more than one at others ("they beat him").
+    aimed = {(1, INSULT): (1, AIMED_INSULT, 0.0), (1, THREAT): (1, AIMED_THREAT, 0.0)}
+    aimed |= {(0, INSULT): (2, INSULT, 0.0), (0, THREAT): (3, THREAT, 0.0), (2, THREAT): (4, THREAT, 0.0), (3, INSULT): (4, INSULT, 0.0)}
+    after = {2: (0.5, 0.5), 3: (0.6, 1.0), 4: (1.1, 1.5)}
+    aimed |= {(state, x): (1, x, w) for state, both in after.items() for x, w in zip((TARGET, YOU_), both)}
+    target = Transducer.make(5, aimed | {(s, END): (0, END, 0.0) for s in range(5)}, lambda s, x: 1 if x in (TARGET, YOU_) else s)
     weights = {INSULT: 1.0, AIMED_INSULT: 1.5, DENIED_INSULT: 0.2, QUOTED_INSULT: 0.3, THREAT: 0.0, AIMED_THREAT: 0.6, DENIED_THREAT: 0.0, QUOTED_THREAT: 0.1}
     scores = Transducer.make(1, {(0, x): (0, O, w) for x, w in weights.items()}, lambda s, x: 0)
     return negation @ reported @ target @ scores
@@ -108,7 +114,7 @@ class Model:
 
     def lexicon(self) -> tuple[np.ndarray, np.ndarray]:
         table = {}
-        for kind, words in ((TARGET, TARGETS), (NOT, NEGATIONS), (SAID, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)):
+        for kind, words in ((TARGET, TARGETS), (YOU_, YOU), (NOT, NEGATIONS), (SAID, REPORTS), (THREAT, THREATS), (INSULT, INSULTS)):
             table |= dict.fromkeys(hash_words(words).tolist(), kind)
         for h in self.learned:
             table.setdefault(int(np.int64(h).view(np.uint64)), INSULT)
@@ -226,5 +232,5 @@ def _kept(model: Model, threshold: float):
 
 
 def reject_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """The documents, with all columns, that score below the threshold."""
+    """The documents, with all columns, that score below the threshold; null and empty texts score as no evidence does."""
     return docs.mapInArrow(_kept(model, threshold), docs.schema)

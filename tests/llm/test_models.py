@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 
 from common import documents, prose
 from lodestone.llm import quality, toxicity
-from lodestone.llm.toxicity import INSULT, NOT, O, SAID, TARGET, THREAT
+from lodestone.llm.toxicity import INSULT, NOT, O, SAID, TARGET, THREAT, YOU_
 
 
 def brute_weight(symbols):
     """The grammar's rules, clause by clause, without machines."""
-    total, since, said, target, waiting = 0.0, 99, False, False, False
+    total, since, said, target, waiting, threat = 0.0, 99, False, False, False, False
     for x in symbols:
         denied = since <= 3
         since += 1
@@ -21,9 +21,9 @@ def brute_weight(symbols):
             since = 1
         if x == SAID:
             said = True
-        if x == TARGET:
-            if waiting and not target:
-                total += 0.5
+        if x in (TARGET, YOU_):
+            if not target:
+                total += 0.5 * waiting + (1.0 if x == YOU_ else 0.6) * threat
             target = True
         if x in (INSULT, THREAT):
             if denied:
@@ -35,17 +35,19 @@ def brute_weight(symbols):
             elif x == INSULT:
                 total += 1.0
                 waiting = True
+            else:
+                threat = True
     return total
 
 
 def test_composition_equals_the_rules():
     machine = toxicity.grammar()
     for n in range(5):
-        for symbols in itertools.product([O, INSULT, THREAT, TARGET, NOT, SAID], repeat=n):
+        for symbols in itertools.product([O, INSULT, THREAT, TARGET, YOU_, NOT, SAID], repeat=n):
             assert abs(machine.weight(symbols) - brute_weight(symbols)) < 1e-9, symbols
     rng = random.Random(0)
     for _ in range(500):
-        s = [rng.choice([O, INSULT, THREAT, TARGET, NOT, SAID]) for _ in range(rng.randrange(15))]
+        s = [rng.choice([O, INSULT, THREAT, TARGET, YOU_, NOT, SAID]) for _ in range(rng.randrange(15))]
         assert abs(machine.weight(s) - brute_weight(s)) < 1e-9
 
 
@@ -54,7 +56,11 @@ def test_clauses():
     ev = lambda t: toxicity.evidence([t], keys, kinds, toxicity.grammar())[0][0]
     assert ev("You are an idiot.") == 1.5 and ev("He is not an idiot.") == pytest.approx(0.2)
     assert ev("They said, idiot") == 1.0 and ev("they said idiot") == pytest.approx(0.3)
-    assert ev("I will kill you") == 0 and ev("you I will kill") == pytest.approx(0.6)
+    assert ev("I will kill you") == 1 and ev("you I will kill") == pytest.approx(0.6) and ev("They beat him") == pytest.approx(0.6)
+    assert ev("We beat eggs, you eat") == 0 and ev("I will not kill you") == 0 and ev("he said I kill you") == pytest.approx(0.1)
+    assert ev("Idiot, I will hurt you") == 2 and ev("idiot I hurt you") == pytest.approx(2.5)
+    model = toxicity.Model()
+    assert model.score(np.array([ev("I will kill you")]))[0] >= 0.7 > model.score(np.array([ev("They beat him")]))[0]
     assert ev("nothing here") == 0 and ev(None) == 0 and ev("scum. moron!") == 2
 
 
@@ -92,6 +98,16 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.score_documents(documents(spark, []), toxicity.Model()).count() == 0
 
 
+def test_toxicity_and_quality_of_long_texts_and_clashing_columns(spark):
+    long = " ".join(prose(100_000, 1))
+    docs = documents(spark, [long, long + " you idiot you moron you scum"]).withColumns({c: F.lit("clash") for c in ("score", "predicted", "evidence", "held_out", "label")})
+    rows = {r.doc_id: r for r in toxicity.score_documents(docs, toxicity.Model()).collect()}
+    assert rows[0].predicted == 0 and rows[1].predicted == 1
+    assert toxicity.reject_toxic(docs, toxicity.Model()).columns == docs.columns
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.score_documents(docs, quality.train(docs, none)).count() == 2
+
+
 def brute_features(t):
     import re
 

@@ -1,10 +1,12 @@
 import hashlib
+import struct
 import zlib
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from common import documents
 from lodestone.llm import tiff
@@ -55,6 +57,52 @@ def test_damaged_files(spark):
     assert tiff.explode_pages(spark.createDataFrame([], "doc_id long, media binary")).count() == 0
 
 
+def patched(data, tag, value):
+    """The file with another value of a field of its first directory."""
+    at = struct.unpack_from("<I", data, 4)[0]
+    out = bytearray(data)
+    for i in range(struct.unpack_from("<H", data, at)[0]):
+        where = at + 2 + 12 * i
+        if struct.unpack_from("<H", data, where)[0] == tag:
+            kind = struct.unpack_from("<H", data, where + 2)[0]
+            struct.pack_into("<I" if kind == 4 else "<H", out, where + 8, value if kind == 4 else value % 65536)
+    return bytes(out)
+
+
+@pytest.mark.parametrize("tag", [tiff.IMAGE_WIDTH, tiff.IMAGE_LENGTH, tiff.TILE_WIDTH, tiff.TILE_LENGTH, tiff.SAMPLES, tiff.BITS, tiff.ROWS_PER_STRIP, tiff.PREDICTOR, tiff.COMPRESSION])
+@pytest.mark.parametrize("value", [0, 2**31 - 1, 2**32 - 1])
+def test_sizes_that_cannot_be(tag, value):
+    for tile in (None, (16, 16)):
+        media = patched(tiff.encode([np.ones((20, 20), np.uint8)], tile=tile), tag, value)
+        try:
+            list(tiff.read_pages(media))
+        except ValueError:
+            continue
+
+
+@given(st.data())
+@settings(max_examples=400, deadline=None)
+def test_only_value_errors_leave_a_damaged_file(data):
+    compression = data.draw(st.sampled_from(["none", "packbits", "lzw", "deflate"]))
+    good = bytearray(tiff.encode([np.arange(400, dtype=np.uint16).reshape(20, 20), np.ones((9, 9, 3), np.uint8)], compression, tile=data.draw(st.sampled_from([None, (16, 16)])), order=data.draw(st.sampled_from("<>"))))
+    for _ in range(data.draw(st.integers(1, 6))):
+        good[data.draw(st.integers(4, len(good) - 1))] = data.draw(st.integers(0, 255))
+    try:
+        list(tiff.read_pages(bytes(good[: data.draw(st.integers(8, len(good)))])))
+    except ValueError:
+        pass
+
+
+def test_a_bomb_is_refused_and_the_job_goes_on(spark):
+    bomb = patched(patched(tiff.encode([np.zeros((4096, 192), np.uint8)]), tiff.IMAGE_WIDTH, 2**31 - 1), tiff.IMAGE_LENGTH, 2**31 - 1)
+    zero = patched(tiff.encode([np.zeros((20, 20), np.uint8)], tile=(16, 16)), tiff.TILE_WIDTH, 0)
+    media = spark.createDataFrame([(1, bomb), (2, zero), (None, tiff.encode([np.ones((2, 2), np.uint8)]))], "doc_id long, media binary").withColumn("page", F.lit("clash")).withColumn("error", F.lit(1))
+    rows = {r.doc_id: r for r in tiff.explode_pages(media).collect()}
+    assert rows[1].error and rows[2].error and rows[None].error is None and rows[None].rows == 2
+    docs = documents(spark, ["a", "b"]).withColumns({c: F.lit("clash") for c in ("n_bytes", "media", "feature")})
+    assert tiff.digests(tiff.documents_media(docs)).count() == 2
+
+
 def test_texts(spark):
     texts = ["", None, "a" * 192, "é" * 5000, "word " * 400_000, "word", "word"]
     rows = {i: r for i, r in enumerate(sorted(tiff.digests(tiff.documents_media(documents(spark, texts, [0, 1, 2, 3, 4, 5, None]))).collect(), key=lambda r: 9 if r.doc_id is None else r.doc_id))}

@@ -1,3 +1,5 @@
+import glob
+import os
 import zlib
 
 import numpy as np
@@ -10,7 +12,7 @@ from tokenizers import Tokenizer
 
 from common import documents
 from lodestone.llm import packing, token_files
-from lodestone.llm.tokens import Encoder
+from lodestone.llm.tokens import Encoder, split
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -38,6 +40,39 @@ def test_encoder_over_the_tables(spark, plain):
 ENCODER = Encoder(PATH)
 
 
+def test_runs_that_share_a_hash(plain, monkeypatch):
+    """With a first hash of five values, the second one still tells all runs apart."""
+    encoder = Encoder(PATH)
+    find, text = encoder._find, " ".join(f"word{i} number" for i in range(300))
+    n = len(split(np.frombuffer(b"\n" + text.encode() + b"\n", np.uint8))[1])
+    monkeypatch.setattr(encoder, "_find", lambda h, *rest: find(h % np.uint64(5) if len(h) == n else h, *rest))
+    ids, _ = encoder.encode(pa.array([text]))
+    assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids + [1]
+
+
+def test_a_tokenizer_of_another_kind_gets_whole_texts():
+    texts, tried = ["It's 1234 words, Über-alles!", "", None, "日本 mixed  spaces\n\n"], 0
+    for path in glob.glob(f"{os.path.dirname(PATH)}/*.json"):
+        try:
+            library = Tokenizer.from_file(path)
+        except Exception:  # noqa: BLE001  other kinds of files lie there too
+            continue
+        ids, counts = Encoder(path).encode(pa.array(texts))
+        want = [library.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+        tried += 1
+    assert tried
+
+
+def test_files_by_bytes(spark, monkeypatch):
+    docs = documents(spark, ["word " * 400] * 50)
+    assert token_files.files_for(docs) == 1 and token_files.files_for(documents(spark, [])) == 1
+    monkeypatch.setattr(token_files, "FILE_BYTES", 10_000)
+    assert token_files.files_for(docs) == 10
+    rows = token_files.token_output(docs, PATH).collect()
+    assert len({r.file for r in rows}) > 5 and sorted(r.start for r in rows) == [i * rows[0].n_tokens for i in range(50)]
+
+
 @given(st.integers(1, 32), st.integers(0, 300), st.randoms())
 @settings(max_examples=60, deadline=None)
 def test_bit_packing_round_trip(bits, n, rng):
@@ -68,6 +103,13 @@ def docs_column():
     return F.lit("clashing name")
 
 
+def test_pack_odd_rows(spark, plain):
+    docs = documents(spark, ["a b", "c d e", "c d e", None], [None, 7, 7, 7]).withColumns({c: docs_column() for c in ("piece", "length", "part", "rank", "base")})
+    rows = packing.pack(docs, PATH).collect()
+    want = sorted((str(i), len(plain.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in zip([None, 7, 7, 7], ["a b", "c d e", "c d e", None]))
+    assert sorted((str(r.doc_id), r.length) for r in rows) == want
+
+
 def test_no_rows(spark):
     docs = documents(spark, [])
     assert token_files.token_output(docs, PATH).count() == 0
