@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodestone.llm.kit import Identity, Scratch, Words, matching, mix, pieces, runs
+from lodestone.llm.kit import Identity, Scratch, Words, lists, matching, mix, pieces, runs
 
 K, WINDOW, SAMPLE = 5, 16, 4
 #: A hash is hot if this share of a hundredth of the documents has it (and HOT_LEAST of them), so there are 1 / HOT at most.
@@ -121,25 +121,31 @@ def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[d]), pa.array(pos.astype(np.int32))], names=["h", "doc_id", "pos"])
 
 
-def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
-    """Chains of matches (x ascending) as index lists: strictly increasing in x and y, best first, each match once."""
+def chain(x: np.ndarray, y: np.ndarray, x1: np.ndarray | None = None, y1: np.ndarray | None = None, gain: np.ndarray | None = None) -> list[list[int]]:
+    """Chains of matches (x ascending) as index lists: strictly increasing in x and y, best first, each match once.
+
+    A match may be a run of them from (x, y) to (x1, y1) with a gain of its own; runs share no x.
+    """
     n = len(x)
+    x1, y1 = x if x1 is None else x1, y if y1 is None else y1
     order = np.lexsort((-y, x))  # equal x: larger y first, so they never follow each other
-    ranks = np.unique(y, return_inverse=True)[1].tolist()
-    size = max(ranks) + 1
+    values = np.unique(np.concatenate([y, y1]))
+    begins, ends = np.searchsorted(values, y).tolist(), np.searchsorted(values, y1).tolist()
+    size = len(values)
     best, who = [-1e300] * (size + 1), [-1] * (size + 1)
     score, back = [0.0] * n, [-1] * n
-    xs, ys = x.tolist(), y.tolist()
+    from_, to = (SKIP * (x + y)).tolist(), (SKIP * (x1 + y1)).tolist()
+    gains = [GAIN] * n if gain is None else gain.tolist()
     for i in order.tolist():
         top, prev = 0.0, -1
-        j = ranks[i]  # sources strictly before
-        here = SKIP * (xs[i] + ys[i])
+        j = begins[i]  # sources strictly before
+        here = from_[i]
         while j > 0:
             if best[j] - here > top:
                 top, prev = best[j] - here, who[j]
             j &= j - 1
-        score[i], back[i] = GAIN + top, prev
-        value, j = score[i] + here, ranks[i] + 1
+        score[i], back[i] = gains[i] + top, prev
+        value, j = score[i] + to[i], ends[i] + 1
         while j <= size:
             if value > best[j]:
                 best[j], who[j] = value, i
@@ -156,10 +162,11 @@ def chain(x: np.ndarray, y: np.ndarray) -> list[list[int]]:
     return found
 
 
-def grid(a: int, b: int) -> tuple[int, int]:
+def grid(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The window that stands for words a to b: a text has few of them, however many chains ask for its words."""
-    step = max(32, 1 << max(0, (b - a - 1).bit_length() - 2))
-    a -= a % step
+    bits = np.frexp((b - a - 1).astype(np.float64))[1]
+    step = np.maximum(32, 1 << np.maximum(bits - 2, 0).astype(np.int64))
+    a = a - a % step
     return a, a + 5 * step
 
 
@@ -167,38 +174,83 @@ def _chains(min_words: int):
     least = min(min_words, K + 1)  # two seeds
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        for table in runs(batches, ["doc_id", "src"]):
-            x, y = np.asarray(table["pos"]).astype(np.int64), np.asarray(table["src_pos"]).astype(np.int64)
-            if x[-1] - x[0] + K < least:
-                continue
-            doc, src, again = table["doc_id"][0].as_py(), table["src"][0].as_py(), np.asarray(table["again"])
-            for path in chain(x, y):
-                p, q = x[path], y[path]
-                dx, dy = np.diff(p), np.diff(q)
-                cuts = [0, *(np.flatnonzero((dx > GAP) | (dy > GAP) | (np.abs(dx - dy) > SHIFT)) + 1).tolist(), len(p)]
-                for a, b in zip(cuts, cuts[1:]):
-                    if p[b - 1] - p[a] + K >= least:
-                        x0, x1, y0, y1 = int(p[a]), int(p[b - 1]) + K, int(q[a]), int(q[b - 1]) + K
-                        x_from, x_to = grid(max(0, x0 - MARGIN), x1 + MARGIN)
-                        y_from, y_to = grid(max(0, y0 - MARGIN), y1 + MARGIN)
-                        rows.append((doc, x_from, x0, x1, x_to, src, y_from, y0, y1, y_to, int(again[path[a:b]].all()), _diagonals(p[a:b], q[a:b])))
-            if len(rows) > 20_000:
-                yield _rows(rows, _CHAIN)
-                rows = []
-        yield _rows(rows, _CHAIN)
+        names = ("doc_id", "src", "pos", "src_pos", "again")
+        held = [np.zeros(0, np.int64)] * 5
+        for batch in batches:
+            rows = [np.concatenate([x, np.asarray(batch[c].cast(pa.int64()))]) for x, c in zip(held, names)]
+            other = np.flatnonzero((rows[0] != rows[0][-1:]) | (rows[1] != rows[1][-1:]))
+            cut_ = int(other[-1]) + 1 if len(other) else 0  # the last pair of documents may go on
+            yield _chained([x[:cut_] for x in rows], least)
+            held = [x[cut_:] for x in rows]
+        yield _chained(held, least)
 
     return build
 
 
+def _chained(rows: list[np.ndarray], least: int) -> pa.RecordBatch:
+    """Chains of whole groups of matches of two documents, sorted by (doc_id, src, pos, src_pos).
+
+    Neighbouring matches on one diagonal are a run; a pair of documents with one run has one chain.
+    """
+    doc, src, x, y, again = rows
+    new = _changes(doc, src)
+    begin = np.flatnonzero(new)
+    size = np.diff(np.append(begin, len(x)))
+    if len(begin):  # one seed is no chain
+        wide = np.repeat(x[begin + size - 1] - x[begin] + K >= least, size)
+        doc, src, x, y, again, new = (v[wide] for v in (doc, src, x, y, again, new))
+    tie = np.zeros(len(x), bool)
+    tie[1:] = ~new[1:] & (x[1:] == x[:-1])
+    tie[:-1] |= tie[1:]
+    cut_ = new | tie
+    cut_[1:] |= tie[:-1] | (y[1:] - x[1:] != y[:-1] - x[:-1]) | (x[1:] - x[:-1] > GAP)
+    first = np.flatnonzero(cut_)
+    last = np.append(first[1:], len(x)) - 1 if len(first) else first
+    x0, x1, y0, y1, many = x[first], x[last], y[first], y[last], last - first + 1
+    late = np.minimum.reduceat(again, first) if len(first) else again
+    group = np.flatnonzero(new[first])
+    runs_ = np.diff(np.append(group, len(first)))
+    lone = group[runs_ == 1]
+    lone = lone[x1[lone] - x0[lone] + K >= least]
+    parts: list[list] = [[] for _ in range(7)]  # doc, src, x0, x1, y0, y1, again
+    turns: list[list[int]] = []
+    for g, n in zip(group[runs_ > 1].tolist(), runs_[runs_ > 1].tolist()):
+        a, b, c, d, m, l = (v[g : g + n] for v in (x0, x1, y0, y1, many, late))
+        for path in chain(a, c, b, d, GAIN * m - 2 * SKIP * (b - a)):
+            p, q, u, v = a[path], b[path], c[path], d[path]
+            dx, dy = p[1:] - q[:-1], u[1:] - v[:-1]
+            cuts = [0, *(np.flatnonzero((dx > GAP) | (dy > GAP) | (np.abs(dx - dy) > SHIFT)) + 1).tolist(), len(p)]
+            for i, j in zip(cuts, cuts[1:]):
+                if q[j - 1] - p[i] + K >= least:
+                    for held, value in zip(parts, (doc[first[g]], src[first[g]], p[i], q[j - 1] + K, u[i], v[j - 1] + K, l[path[i:j]].min())):
+                        held.append(int(value))
+                    turns.append(_diagonals(p[i:j], q[i:j], u[i:j]))
+    columns = [np.concatenate([v, np.array(w, np.int64)]) for v, w in zip((doc[first[lone]], src[first[lone]], x0[lone], x1[lone] + K, y0[lone], y1[lone] + K, late[lone]), parts)]
+    doc, src, x0, x1, y0, y1, late = columns
+    sizes = np.concatenate([np.full(len(lone), 3), np.array([len(t) for t in turns], np.int64)])
+    flat = np.concatenate([np.column_stack([v[: len(lone)] for v in (x0, x1, y0)]).reshape(-1), np.array([i for t in turns for i in t], np.int64)])
+    x_from, x_to = grid(np.maximum(0, x0 - MARGIN), x1 + MARGIN)
+    y_from, y_to = grid(np.maximum(0, y0 - MARGIN), y1 + MARGIN)
+    values = [pa.array(v.astype(np.int64)) for v in (doc, x_from, x0, x1, x_to, src, y_from, y0, y1, y_to, late)]
+    return pa.RecordBatch.from_arrays([*values, lists(flat.astype(np.int64), sizes, pa.int64())], names=[c.split()[0] for c in _CHAIN.split(", ")])
+
+
+def _changes(*keys: np.ndarray) -> np.ndarray:
+    """Where any of the keys differs from the row before."""
+    new = np.ones(len(keys[0]), bool)
+    for i, k in enumerate(keys):
+        new[1:] = (k[1:] != k[:-1]) | (new[1:] if i else False)
+    return new
+
+
 _CHAIN = "doc_id long, x_from long, x0 long, x1 long, x_to long, src long, y_from long, y0 long, y1 long, y_to long, again long, diagonals array<long>"
 
 
-def _diagonals(p: np.ndarray, q: np.ndarray) -> list[int]:
+def _diagonals(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray) -> list[int]:
     """Runs of seeds on one diagonal, flat: where each begins and ends in the text, and begins in the source."""
-    new = np.flatnonzero(np.diff(q - p)) + 1
-    first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(p) - 1]])
-    return np.column_stack([p[first], p[last] + K, q[first]]).reshape(-1).tolist()
+    new = np.flatnonzero(np.diff(y0 - x0)) + 1
+    first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(x0) - 1]])
+    return np.column_stack([x0[first], x1[last] + K, y0[first]]).reshape(-1).tolist()
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:

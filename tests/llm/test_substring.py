@@ -32,6 +32,39 @@ def test_chain_equals_quadratic():
         assert abs(got - brute_chain(x.tolist(), y.tolist())) < 1e-6
 
 
+def test_runs_chain_like_their_matches():
+    """Chains of whole groups, with runs taken together, against chains of single matches."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for _ in range(40):
+        rows = set()
+        for doc in range(3):
+            for src in range(rng.randrange(1, 3)):
+                for _ in range(rng.randrange(1, 4)):
+                    x, y = rng.randrange(0, 300), rng.randrange(0, 300)
+                    rows |= {(10 + doc, src, x + i, y + i) for i in range(0, rng.randrange(1, 60), rng.randrange(1, 5))}
+        rows = sorted(rows)
+        cuts = sorted({0, len(rows), *(rng.randrange(len(rows)) for _ in range(4))})
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+        batches = [pa.RecordBatch.from_arrays([*(pa.array(list(c), t) for c, t in zip(zip(*rows[a:b]), kinds)), pa.array([False] * (b - a))], names=["doc_id", "src", "pos", "src_pos", "again"]) for a, b in zip(cuts, cuts[1:])]
+        got = [r for x in sd._chains(50)(iter(batches)) for r in x.to_pylist()]
+        by = {}
+        for d, s, x, y in rows:
+            by.setdefault((d, s), []).append((x, y))
+        for (d, s), points in by.items():
+            x, y = (np.array(v) for v in zip(*points))
+            best = sd.chain(x, y)[0]
+            mine = [r for r in got if (r["doc_id"], r["src"]) == (d, s)]
+            covered = {w for r in mine for w in range(r["x0"], r["x1"])}
+            if len(best) > 1 and all(x[b] - x[a] <= sd.GAP and y[b] - y[a] <= sd.GAP and abs(x[b] - x[a] - y[b] + y[a]) <= sd.SHIFT for a, b in zip(best, best[1:])):
+                assert {w for i in best for w in range(x[i], x[i] + sd.K)} <= covered
+            for r in mine:
+                assert r["x_from"] <= r["x0"] < r["x1"] <= r["x_to"] and r["y_from"] <= r["y0"] < r["y1"] <= r["y_to"] and r["again"] == 0
+                turns = [r["diagonals"][i : i + 3] for i in range(0, len(r["diagonals"]), 3)]
+                assert turns[0][0] == r["x0"] and turns[0][2] == r["y0"] and turns[-1][1] == r["x1"]
+
+
 def test_minimisers_cover_and_are_local():
     texts = [" ".join(prose(n, n)) for n in (0, 3, 5, 6, 40, 300)]
     h, d, pos = sd.minimisers(Words(texts))
