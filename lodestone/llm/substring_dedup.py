@@ -441,9 +441,10 @@ def _aligned(min_words: int, identity: float):
 _MATCH = "doc_id long, src long, pos int, src_pos int, again boolean, h long"
 
 
-def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _matched(batches: Iterator[pa.RecordBatch], full: bool = True) -> Iterator[pa.RecordBatch]:
     """Matches from rows sorted by (h, salt, doc_id, pos): each occurrence of what several documents of a group
     have with the group's first one, and (again) with the last one of the document before, if that is another.
+    Not full: only occurrences in other documents than the first, with the first.
 
     For a salted group also its first occurrence itself, as a row with h.  Only the group at the end of a
     batch is carried on: as a whole while one document has it, then its first row, its last document and the row before.
@@ -466,8 +467,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs_ = np.flatnonzero(doc)
         before = np.repeat(runs_ - 1, np.diff(np.append(runs_, n)))  # the last row of the document before
         more = shared & ~done & (before >= first) & (d[before] != d[first])
-        one = np.flatnonzero(shared & ~done)
-        two = np.flatnonzero(more)
+        one = np.flatnonzero(shared & ~done & (full | (d != d[first])))
+        two = np.flatnonzero(more & full)
         told = begin[(salt[begin] > 0) & ~done[begin]]
         # What is carried on of the last group.
         end = int(begin[-1])
@@ -494,8 +495,8 @@ def _match_rows(d, p, h, one, first, two, before, told) -> pa.RecordBatch:
     )
 
 
-def _linked(keys: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, src, pos, src_pos, again): each occurrence of an h that several documents have, with other ones, and the first with itself.
+def _linked(keys: DataFrame, some: DataFrame, scratch: Scratch, full: bool = True) -> DataFrame:
+    """(doc_id, src, pos, src_pos, again): each occurrence of an h that several documents have, with other ones, and (full) the first with itself.
 
     some: the keys of a hundredth of the documents, which tell the hot ones; what is hot changes how rows
     are dealt to tasks and, for again, which of the documents before counts, and no more.
@@ -506,9 +507,11 @@ def _linked(keys: DataFrame, some: DataFrame, scratch: Scratch) -> DataFrame:
     salt = F.when(F.col("hot"), 1 + F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")
     dealt = keys.join(F.broadcast(hot), "h", "left").select("h", salt.alias("salt"), "doc_id", "pos")
     order = ["h", "salt", "doc_id", "pos"]
-    found = scratch.table(dealt.repartition("h", "salt").sortWithinPartitions(*order).mapInArrow(_matched, _MATCH), "matches")
+    matched = lambda batches: _matched(batches, full)
+    found = scratch.table(dealt.repartition("h", "salt").sortWithinPartitions(*order).mapInArrow(matched, _MATCH), "matches")
+    scratch.free()
     firsts = found.where("h is not null").select("h", F.lit(0).alias("salt"), "doc_id", "pos")  # SALTS of a hot hash
-    among = scratch.table(firsts.repartition("h").sortWithinPartitions(*order).mapInArrow(_matched, _MATCH), "firsts")
+    among = scratch.table(firsts.repartition("h").sortWithinPartitions(*order).mapInArrow(matched, _MATCH), "firsts")
     scratch.drop(counts, hot)
     out = found.where("h is null").union(among).drop("h")
     out._parts = (found, among)
@@ -557,8 +560,8 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> Dat
     scratch.free()
     windows = segments.where("a < 0")
     hashed = lambda part: part.mapInArrow(_windows, "h long, doc_id long, pos int")
-    same = _linked(hashed(windows), hashed(_hundredth(windows)), scratch)
-    equal = same.where("doc_id > src and not again").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_equal(min_words), _PASSAGE)
+    same = _linked(hashed(windows), hashed(_hundredth(windows)), scratch, full=False)
+    equal = same.where("doc_id > src").repartition("doc_id").sortWithinPartitions("doc_id", "src", "pos", "src_pos").mapInArrow(_equal(min_words), _PASSAGE)
     equal = scratch.table(equal, "equal")
     scratch.drop(*same._parts)
     scratch.free()

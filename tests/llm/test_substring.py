@@ -179,6 +179,8 @@ def test_matches_by_key_do_not_depend_on_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows[a:b]), (pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["h", "salt", "doc_id", "pos"]) for a, b in zip(cuts, cuts[1:])]
         got = [(r["h"], r["doc_id"], r["pos"], r["src"], r["src_pos"], r["again"]) for x in sd._matched(iter(batches)) for r in x.to_pylist()]
         assert sorted(got, key=str) == sorted(groups(rows), key=str)
+        less = [(r["h"], r["doc_id"], r["pos"], r["src"], r["src_pos"], r["again"]) for x in sd._matched(iter(batches), False) for r in x.to_pylist()]
+        assert sorted(less, key=str) == sorted((x for x in groups(rows) if x[0] is not None or not x[5] and x[1] != x[3]), key=str)
 
 
 def test_hot_seeds_are_matched_in_groups(spark, monkeypatch):
