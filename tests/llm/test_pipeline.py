@@ -195,3 +195,31 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
     plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert {(r.doc_id, r.length) for r in rows} == {(i, len(plain.encode(t or "", add_special_tokens=False).ids) + 1) for i, t in want.items()}
     assert len({r.sequence_id for r in rows}) == -(-sum(r.length for r in rows) // 4096) or len({r.sequence_id for r in rows}) <= 5
+
+
+def test_pipeline_loses_no_clean_text(spark, tmp_path):
+    """Null and repeated ids, empty texts, clashing columns: each stage keeps what is clean, and so does the whole."""
+    import corpus_pipeline
+
+    clean = [" ".join(prose(80, 700 + i, 3000)) for i in range(8)]
+    ids = [None, None, None, 7, 7, 8, 9, 10]
+    item = " ".join(prose(40, 999, 500))
+    toxic = " ".join(prose(30, 998)) + " you idiot you moron scum idiot"
+    docs = documents(spark, [*clean, "", None, item, toxic], [*ids, None, 7, None, 7])
+    docs = docs.withColumns({c: F.lit("clash") for c in ("text_key", "score", "item_id", "class_id", "piece")})
+    root = f"{tmp_path}/sf"
+    docs.write.parquet(f"{root}/documents.parquet")
+    spark.createDataFrame([(0, item), (None, "x"), (1, None)], "item_id long, text string").write.parquet(f"{root}/benchmark.parquet")
+    spark.createDataFrame([(7, 1, 0), (8, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{root}/labels.parquet")
+    left = spark.read.parquet(f"{root}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = stage(spark, left, root)
+        assert left.columns == docs.columns
+    texts = [r.text for r in left.collect()]
+    assert sorted(t for t in texts if t) == sorted(clean) and len(texts) == 9  # and one of the two empty texts
+    rows = corpus_pipeline.run(spark, root).collect()
+    assert len(rows) == 9 and sum(r.doc_id is None for r in rows) >= 3
+    empty = f"{tmp_path}/empty"
+    for name in ("documents", "benchmark", "labels"):
+        spark.read.parquet(f"{root}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, empty).count() == 0
