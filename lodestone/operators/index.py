@@ -13,6 +13,9 @@ from lodestone.functions.tokens import terms_text
 from lodestone.operators.split import chunks, paragraphs
 
 LEAST_CHARS = 20
+#: Where a stream puts what has arrived since the tables were written.
+ARRIVED = "arrived"
+TABLES = ("documents", "paragraphs", "chunks")
 
 
 @dataclass
@@ -27,13 +30,26 @@ class Index:
     chunks: DataFrame
 
     def write(self, folder: str) -> Index:
-        for name in ("documents", "paragraphs", "chunks"):
+        for name in TABLES:
             getattr(self, name).write.mode("overwrite").option("mergeSchema", True).parquet(f"{folder}/{name}")
         return Index.read(self.documents.sparkSession, folder)
 
     @classmethod
     def read(cls, spark: SparkSession, folder: str) -> Index:
-        return cls(*(spark.read.option("mergeSchema", True).parquet(f"{folder}/{n}") for n in ("documents", "paragraphs", "chunks")))
+        """The tables below a folder, with what a stream has added; columns that some files lack are null there."""
+        return cls(*(_stored(spark, folder, name) for name in TABLES))
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def _stored(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    read = spark.read.option("mergeSchema", True)
+    places = [p for p in (f"{folder}/{name}", f"{folder}/{ARRIVED}/{name}") if _exists(spark, p)]
+    found = [read.parquet(p).drop("batch") for p in places] or [read.parquet(f"{folder}/{name}")]
+    return found[0] if len(found) == 1 else found[0].unionByName(found[1], allowMissingColumns=True)
 
 
 def parsed(docs: DataFrame, config: EngineConfig = EngineConfig(), entities: bool = True) -> DataFrame:
@@ -106,18 +122,26 @@ def sync_stats(actions: DataFrame) -> DataFrame:
 
 
 def sync_index(docs: DataFrame, index: Index, config: EngineConfig = EngineConfig(), entities: bool = True) -> tuple[Index, DataFrame]:
-    """The index after a run over the current documents, and its actions; write it to a new folder, then swap."""
-    rows = parsed(docs, config, entities).withColumn("content_hash", content_hash(F.col("text")))
-    files = rows.select("path", "mtime", "size", "content_hash", ((F.length(filled(F.col("text"))) >= LEAST_CHARS) & (F.size("chunks") > 0)).alias("readable"))
+    """The index after a run over the current documents, and its actions; write it to a new folder, then swap.
+
+    Documents of unchanged time and size are told by those alone; only the texts of the others are read and parsed.
+    """
     counts = index.paragraphs.groupBy("doc_id").agg(F.count("*").alias("paragraph_count"))
-    actions = sync_actions(files, index.documents.join(counts, "doc_id", "left").select("path", "mtime", "size", "content_hash", "paragraph_count"))
+    known = index.documents.join(counts, "doc_id", "left").select("path", "mtime", "size", "content_hash", "paragraph_count")
+    same = docs.select("path", "mtime", "size").join(known.where("paragraph_count > 0").select("path", "mtime", "size"), ["path", "mtime", "size"], "left_semi")
+    rest = docs.join(same.select("path"), "path", "left_anti")
+    rows = parsed(rest, config, entities).withColumn("content_hash", content_hash(F.col("text")))
+    looked = rows.select("path", "mtime", "size", "content_hash", ((F.length(filled(F.col("text"))) >= LEAST_CHARS) & (F.size("chunks") > 0)).alias("readable"))
+    files = looked.unionByName(same.withColumns({"content_hash": F.lit(None).cast("string"), "readable": F.lit(None).cast("boolean")}))
+    actions = sync_actions(files, known)
     keep = actions.where("action = 'unchanged'").select("path")
     old = index.documents.join(keep, "path", "left_semi")
     stat = docs.select("path", F.col("mtime").alias("_m"), F.col("size").alias("_s"))
     old_docs = old.join(stat, "path").withColumns({"mtime": F.col("_m"), "size": F.col("_s")}).select(index.documents.columns)
-    new = build_index(docs.join(actions.where("action in ('added', 'updated')").select("path"), "path", "left_semi"), config, entities)
+    new = build_index(rest.join(actions.where("action in ('added', 'updated')").select("path"), "path", "left_semi"), config, entities)
     ids = old.select("doc_id")
-    merged = Index(old_docs.unionByName(new.documents), index.paragraphs.join(ids, "doc_id", "left_semi").unionByName(new.paragraphs), index.chunks.join(ids, "doc_id", "left_semi").unionByName(new.chunks))
+    add = lambda a, b: a.unionByName(b, allowMissingColumns=True)
+    merged = Index(add(old_docs, new.documents), add(index.paragraphs.join(ids, "doc_id", "left_semi"), new.paragraphs), add(index.chunks.join(ids, "doc_id", "left_semi"), new.chunks))
     return merged, actions
 
 

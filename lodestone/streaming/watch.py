@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from lodestone.config import EngineConfig
-from lodestone.operators.index import build_index
-from lodestone.sources.files import document_text, extension_of, listed
+from lodestone.operators.index import ARRIVED, build_index
+from lodestone.sources.batches import bound
+from lodestone.sources.files import extension_of, listed, text_or_error
 
 
 @dataclass
@@ -50,11 +51,12 @@ class AutoSync:
 
 def stream_documents(spark: SparkSession, folder: str) -> DataFrame:
     """New files below a folder as (path, mtime, size, text)."""
+    bound(spark)
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
     def read(frames):
         for f in frames:
-            f["text"] = [document_text(e, c) for e, c in zip(f["ext"], f["content"])]
+            f["text"] = [text_or_error(e, c)[0] for e, c in zip(f["ext"], f["content"])]
             yield f[["path", "mtime", "size", "text"]]
 
     found = files.where(listed(F.col("path"))).select("path", F.col("modificationTime").cast("double").alias("mtime"), F.col("length").alias("size"), extension_of(F.col("path")).alias("ext"), "content")
@@ -62,13 +64,16 @@ def stream_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def append_new_documents(spark: SparkSession, folder: str, target: str, checkpoint: str, config: EngineConfig = EngineConfig()) -> StreamingQuery:
-    """Index what arrives: each micro-batch is appended to the three tables below ``target``."""
+    """Index what arrives: each micro-batch is a folder of its own below ``target``, written over when the batch is run again.
 
-    def add(batch: DataFrame, _: int) -> None:
+    Index.read() takes these folders in with the three tables; the next sync or rebuild makes them one.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
         name = F.element_at(F.split("path", "/"), -1)
         docs = batch.select(F.xxhash64("path").alias("doc_id"), "path", name.alias("rel_path"), F.regexp_replace(name, r"\.[^.]*$", "").alias("title"), extension_of(F.col("path")).alias("ext"), "mtime", "size", "text")
         index = build_index(docs, config)
         for table in ("documents", "paragraphs", "chunks"):
-            getattr(index, table).write.mode("append").parquet(f"{target}/{table}")
+            getattr(index, table).write.mode("overwrite").parquet(f"{target}/{ARRIVED}/{table}/batch={number}")
 
     return stream_documents(spark, folder).writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
