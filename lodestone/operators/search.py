@@ -1,7 +1,8 @@
 """Keyword search of chunks for a set of questions at once, and the evidence of each hit.
 
-A chunk is scored for all questions of a block in one pass: an Aho-Corasick automaton over
-all their terms and phrases finds every substring, and the sums are matrix products.  Each
+Questions are a stated set, searched block by block: a block is one scan of the chunks, and the driver makes a plan
+for each.  A chunk is scored for all questions of a block in one pass: an Aho-Corasick automaton over
+all their terms and phrases finds every substring, and each term adds to the questions that have it.  Each
 task keeps its best ``limit`` chunks of each question, which holds every chunk of the final
 top; so what is shuffled is tasks x questions x limit small rows.
 """
@@ -21,6 +22,7 @@ from lodestone.functions.rewrite import expand_kb_query
 from lodestone.functions.score import chunk_score
 from lodestone.functions.text import clean_kb, filled, format_location, let, strip, sub
 from lodestone.functions.tokens import kb_terms, terms_text
+from lodestone.sources.batches import bound
 
 #: Questions that one automaton holds; more are searched block by block.
 BLOCK = 2000
@@ -36,16 +38,21 @@ def query_rows(queries: DataFrame) -> DataFrame:
 
 
 class Scorer:
-    """Scores of a block of questions for one chunk after another."""
+    """Scores of a block of questions for one chunk after another.
+
+    What is held is the questions' terms, once for each use: a term's questions are a slice of ``uses``.
+    """
 
     def __init__(self, rows: list[tuple[int, str, list[str]]]):
         self.qids = np.array([r[0] for r in rows], np.int64)
         self.terms = sorted({t for _, _, ts in rows for t in ts})
         number = {t: i for i, t in enumerate(self.terms)}
-        self.uses = np.zeros((len(rows), len(self.terms)), np.float64)
-        for q, (_, _, ts) in enumerate(rows):
-            self.uses[q, [number[t] for t in ts]] = 1
-        self.sizes = np.maximum(self.uses.sum(1), 1)
+        term = np.array([number[t] for _, _, ts in rows for t in ts], np.int64)
+        question = np.repeat(np.arange(len(rows)), [len(ts) for _, _, ts in rows])
+        order = np.argsort(term, kind="stable")
+        self.uses = question[order]
+        self.first = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        self.sizes = np.maximum(np.bincount(question, minlength=len(rows)), 1)
         self.factor = np.array([1.0 + min(len(t), 12) / 18.0 for t in self.terms])
         # A term that overlaps itself is counted by str.count; for the rest every match counts.
         self.overlaps = {i for t, i in number.items() if any(t.endswith(t[:n]) for n in range(1, len(t)))}
@@ -69,25 +76,29 @@ class Scorer:
         return Counter(m for _, marks in self.machine.iter(text) for m in marks)
 
     def score(self, title: str, path: str, text: str, blob: str) -> np.ndarray:
-        hit = np.zeros(len(self.terms))
+        hit: dict[int, int] = {}
         phrase = np.zeros(len(self.qids))
-        inside, named = self.found(text), {}
+        inside, named = self.found(text), set()
         for points, part in ((5, title), (3, path), (2, blob)):
             for m in self.found(part):
                 if m >= 0:
-                    hit[m] += points
+                    hit[m] = hit.get(m, 0) + points
                 elif points > 2:
-                    named[m] = True
+                    named.add(m)
         for m, n in inside.items():
             if m >= 0:
-                hit[m] += min(6, 1 + (text.count(self.terms[m]) if m in self.overlaps else n))
+                hit[m] = hit.get(m, 0) + min(6, 1 + (text.count(self.terms[m]) if m in self.overlaps else n))
             else:
                 phrase[self.phrases[-1 - m]] += 9.0
         for m in named:
             phrase[self.phrases[-1 - m]] += 8.0
-        at = np.flatnonzero(hit)
-        uses = self.uses[:, at]
-        return np.round(phrase + uses @ (hit[at] * self.factor[at]) + uses.sum(1) / self.sizes * 8.0, 3)
+        at = np.array(sorted(hit), np.int64)
+        size = self.first[at + 1] - self.first[at]
+        where = np.repeat(self.first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        asked = self.uses[where]
+        points = np.repeat(np.array([hit[m] for m in at.tolist()], np.float64) * self.factor[at], size)
+        n = len(self.qids)
+        return np.round(phrase + np.bincount(asked, points, n) + np.bincount(asked, minlength=n) / self.sizes * 8.0, 3)
 
 
 def _local_best(rows: list[tuple], limit: int, least: float):
@@ -123,6 +134,7 @@ def search_chunks(chunks: DataFrame, queries: DataFrame, limit: int = 8, min_sco
     chunks: doc_id, chunk_index, title, rel_path, text, terms.  One scan; what is shuffled is each
     task's best chunks.
     """
+    bound(chunks.sparkSession)
     full = chunks.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("chunk_index").cast("int").alias("chunk_index"), "title", "rel_path", "text", "terms")
     found, block = None, []
@@ -167,16 +179,19 @@ def _chosen(rows: Column) -> Column:
 
 
 def paragraph_evidence(hits: DataFrame, paragraphs: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits (qid, doc_id, chunk_index, paragraph_start, paragraph_end) with the best paragraph of each and the short answers after it."""
+    """Hits (qid, doc_id, chunk_index, paragraph_start, paragraph_end) with the best paragraph of each and the short answers after it.
+
+    Hits are joined once and carried through the grouping, so whatever found them runs once.
+    """
     asked = query_rows(queries).select("qid", "query", "terms")
     p = paragraphs.select(F.col("doc_id").alias("_d"), F.col("paragraph_index").alias("_i"), F.col("text").alias("_t"), F.col("page_number").alias("_p"))
-    inside = hits.join(p, (F.col("doc_id") == F.col("_d")) & F.col("_i").between(F.col("paragraph_start"), F.col("paragraph_end"))).join(asked, "qid")
+    inside = hits.join(p, (F.col("doc_id") == F.col("_d")) & F.col("_i").between(F.col("paragraph_start"), F.col("paragraph_end")), "left").join(asked, "qid", "left")
     score = chunk_score(F.col("terms"), F.col("query"), F.lit(""), F.lit(""), F.lower("_t"), terms_text(F.col("_t")))
     row = F.struct(F.col("_i").alias("paragraph_index"), F.col("_t").alias("text"), F.col("_p").alias("page_number"), score.alias("score"))
-    key = ["qid", "doc_id", "chunk_index"]
-    best = inside.groupBy(*key).agg(F.sort_array(F.collect_list(row)).alias("rows"))  # the paragraphs of one chunk
-    best = best.select(*key, _chosen(F.col("rows")).alias("e")).select(*key, "e.*")
-    return hits.drop("paragraph_start", "paragraph_end").join(best, key, "left")
+    kept = [c for c in hits.columns if c not in ("paragraph_start", "paragraph_end")]
+    rows = inside.groupBy(*kept).agg(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), row))).alias("rows"))  # the paragraphs of one chunk
+    none = F.lit(None).cast("struct<paragraph_start:int,paragraph_end:int,quote:string,page_number:int>")
+    return rows.select(*kept, F.when(F.size("rows") > 0, _chosen(F.col("rows"))).otherwise(none).alias("_e")).select(*kept, "_e.*")
 
 
 def search_documents(index, queries: DataFrame, limit: int = 8, min_score: float = 1.0) -> DataFrame:
