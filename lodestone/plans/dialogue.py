@@ -11,15 +11,15 @@ from lodestone.functions import text as X
 from lodestone.functions import tokens as N
 from lodestone.functions.score import overlap_score
 from lodestone.functions.urls import direct_domains, extract_urls
-from lodestone.operators.answers import direct_answers, guarded_english_query, guarded_query, guarded_translation
+from lodestone.operators.answers import CORRECT_IS, CORRECT_KEY, EXPLAINED, OTHERS_ARE, direct_answers, guarded_english_query, guarded_query, guarded_translation
 from lodestone.operators.evidence import citations
-from lodestone.operators.render import answer_label, resource_label, search_list, suggestions
+from lodestone.operators.render import COMMON, SUGGESTIONS, answer_label, resource_label, search_list, suggestions
 from lodestone.operators.split import options, question_blocks
 from lodestone.plans import duck as D
 from lodestone.plans.catalog import register
-from lodestone.plans.inputs import questions, table
+from lodestone.plans.inputs import asked, in_turn, questions, table
 
-_Q = f"WITH questions AS ({D.QUESTIONS})"
+_Q = f"WITH questions AS ({D.ASKED})"
 _STRIPPED = D.strip(D.filled("question"))
 _LOW = f"lower({D.filled('question')})"
 _TOKENS = D.relevance_tokens("question", N.RELEVANCE_STOPWORDS)
@@ -45,14 +45,14 @@ regexp_matches({D.sub('question', '[。！？!?，,' + D.WS[1:-1] + ']+')}, '^([
 FROM (SELECT *, {D.first_kind(_LOW, C.RESOURCE_WORDS, 'general')} AS intent FROM questions)""")
 def question_classes(spark, sf_dir):
     q, intent = F.col("question"), C.detect_resource_intent(F.col("question"))
-    return questions(spark, sf_dir).select(
+    return asked(spark, sf_dir).select(
         "qid", C.detect_task_type(q).alias("task_type"), intent.alias("resource_intent"), C.detect_answer_intent(q).alias("answer_intent"), C.search_category(intent).alias("category"), C.is_technical(q).alias("technical"),
         C.is_timely(q).alias("timely"), C.wants_english_query(q).alias("wants_english"), C.is_short_ambiguous(q).alias("short_ambiguous"), X.contains_han(q).alias("has_han"))
 
 
 @register("relevance_tokens", f"{_Q} SELECT qid, array_to_string({_TOKENS}, ' ') AS tokens FROM questions")
 def relevance_tokens(spark, sf_dir):
-    return questions(spark, sf_dir).select("qid", F.array_join(N.relevance_tokens(F.col("question")), " ").alias("tokens"))
+    return asked(spark, sf_dir).select("qid", F.array_join(N.relevance_tokens(F.col("question")), " ").alias("tokens"))
 
 
 _LATIN = f"list_filter(regexp_extract_all(text, {D.q('[A-Za-z][A-Za-z0-9_+.-]{1,}|[0-9]+(?:[.][0-9]+)?')}), lambda x: length(x) >= 2 AND lower(x) NOT IN {D.listed(N.QUERY_STOPWORDS_LATIN)})"
@@ -85,17 +85,17 @@ SELECT qid, turn, text, CAST(len(list_intersect({_answer_terms('question')}, {_a
 def overlap_scores(spark, sf_dir):
     """Terms that each turn shares with the question of its conversation."""
     c = table(spark, sf_dir, "conversations").where("text is not null").withColumnRenamed("conv_id", "qid")
-    return c.join(questions(spark, sf_dir), "qid").select("qid", "turn", "text", overlap_score(F.col("question"), F.col("text")).alias("overlap"))
+    return c.join(asked(spark, sf_dir), "qid").select("qid", "turn", "text", overlap_score(F.col("question"), F.col("text")).alias("overlap"))
 
 
 @register("core_terms", f"{_Q} SELECT qid, array_to_string({core(_TOKENS, 8)}, '|') AS terms FROM questions")
 def core_terms(spark, sf_dir):
-    return questions(spark, sf_dir).select("qid", F.array_join(N.core_terms(F.col("question")), "|").alias("terms"))
+    return asked(spark, sf_dir).select("qid", F.array_join(N.core_terms(F.col("question")), "|").alias("terms"))
 
 
 @register("ascii_entities", f"{_Q} SELECT qid, array_to_string({_ENTITIES}, '|') AS entities FROM questions")
 def ascii_entities(spark, sf_dir):
-    return questions(spark, sf_dir).select("qid", F.array_join(N.ascii_entities(F.col("question")), "|").alias("entities"))
+    return asked(spark, sf_dir).select("qid", F.array_join(N.ascii_entities(F.col("question")), "|").alias("entities"))
 
 
 @register("unique_words", f"""SELECT conv_id, array_to_string(list_extract(list_transform([list_filter(string_split(text, ' '), lambda x: x <> '')], lambda l: list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)), 1), ' ') AS words
@@ -129,7 +129,8 @@ _FILLED = _STRIPPED
 for _word in R.FILLERS:
     _FILLED = f"replace({_FILLED}, {D.q(_word)}, ' ')"
 _BASE = D.sub(D.sub(D.sub(D.one_spaced(_FILLED), R.FILLERS_ENGLISH, "' '"), X.WS + "+", "' '"), r"^[ \-:：]+|[ \-:：]+$")
-_BASED = f"{_Q}, based AS (SELECT qid, question, {_STRIPPED} AS s, CASE WHEN {_BASE} <> '' THEN {_BASE} ELSE {_STRIPPED} END AS base FROM questions)"
+_BASE_ROWS = f"SELECT qid, question, {_STRIPPED} AS s, CASE WHEN {_BASE} <> '' THEN {_BASE} ELSE {_STRIPPED} END AS base FROM questions"
+_BASED = f"{_Q}, based AS ({_BASE_ROWS})"
 _SUFFIXED = "CASE intent " + " ".join(
     f"WHEN {D.q(k)} THEN [base, " + ", ".join("s" if v is None else f"{D.strip(f'base || {D.q(chr(32) + v)}')}" for v in vs) + "]" for k, vs in R.INTENT_SUFFIXES.items()) + " END"
 
@@ -137,7 +138,7 @@ _SUFFIXED = "CASE intent " + " ".join(
 @register("resource_queries", f"{_BASED}, kinds AS (SELECT *, {D.first_kind(_LOW, C.RESOURCE_WORDS, 'general')} AS intent FROM based) SELECT qid, base, array_to_string({D.distinct(f'list_filter({_SUFFIXED}, lambda x: x <> chr(0))')}, '|') AS queries FROM kinds")
 def resource_queries(spark, sf_dir):
     q = F.col("question")
-    return questions(spark, sf_dir).select("qid", R.resource_query(q).alias("base"), F.array_join(R.resource_queries(q, C.detect_resource_intent(q)), "|").alias("queries"))
+    return asked(spark, sf_dir).select("qid", R.resource_query(q).alias("base"), F.array_join(R.resource_queries(q, C.detect_resource_intent(q)), "|").alias("queries"))
 
 
 def _when(condition: str, *tails: str) -> list[str]:
@@ -162,7 +163,7 @@ good AS (SELECT qid, list_filter(cs, lambda c: c = base OR NOT (
 SELECT qid, array_to_string(list_slice({D.distinct('cs')}, 1, 5), '|') AS queries FROM good""")
 def query_templates(spark, sf_dir):
     q = F.col("question")
-    return questions(spark, sf_dir).select("qid", F.array_join(R.query_templates(q, R.resource_query(q), C.detect_answer_intent(q), C.detect_resource_intent(q), 5), "|").alias("queries"))
+    return asked(spark, sf_dir).select("qid", F.array_join(R.query_templates(q, R.resource_query(q), C.detect_answer_intent(q), C.detect_resource_intent(q), 5), "|").alias("queries"))
 
 
 _MAPPED = "[" + ", ".join(f"CASE WHEN contains(lower({_STRIPPED}), {D.q(k)}) THEN {D.q(v)} END" for k, v in R.KB_TRANSLATIONS.items()) + "]"
@@ -170,7 +171,7 @@ _MAPPED = "[" + ", ".join(f"CASE WHEN contains(lower({_STRIPPED}), {D.q(k)}) THE
 
 @register("kb_query_expansion", f"{_Q} SELECT qid, nullif(array_to_string({D.distinct(f'list_filter({_MAPPED}, lambda x: x IS NOT NULL)')}, ' '), '') AS expanded FROM questions")
 def kb_query_expansion(spark, sf_dir):
-    return questions(spark, sf_dir).select("qid", R.expand_kb_query(F.col("question")).alias("expanded"))
+    return asked(spark, sf_dir).select("qid", R.expand_kb_query(F.col("question")).alias("expanded"))
 
 
 @register("bad_queries", f"""WITH a AS (SELECT conv_id, arg_min(text, (turn, text)) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY 1), b AS (SELECT conv_id, arg_max(text, (turn, text)) AS query FROM conversations WHERE text IS NOT NULL GROUP BY 1),
@@ -182,22 +183,61 @@ def bad_queries(spark, sf_dir):
     return questions(spark, sf_dir).withColumnRenamed("qid", "conv_id").join(c, "conv_id").select("conv_id", C.is_bad_query(F.col("question"), F.col("query")).alias("bad"))
 
 
-@register("rule_translations", f"{_Q} SELECT qid, '' AS plain, '' AS for_search, '' AS preserved, FALSE AS answers, FALSE AS loses FROM questions WHERE NOT regexp_matches(question, '[一-鿿]') AND {_STRIPPED} <> '' UNION ALL SELECT qid, NULL, NULL, NULL, NULL, NULL FROM questions WHERE regexp_matches(question, '[一-鿿]') OR {_STRIPPED} = ''")
+#: Translations that the guards are to judge, in turn.
+SAID = ("Codex is a tool for coding", "what is Codex", "find an open source project for Deep Research usage with its latest commit three weeks ago", "", "papers about transformer", "ChatGPT service status risk and Codex quota of an open source repository, last commit 3 weeks ago")
+_HAS = {k: D.any_of("c", words) for k, words in {
+    "open_": ("开源",), "project": ("项目", "仓库", "源码", "代码"), "level": ("服务降级风险等级", "降级风险等级"), "degraded": ("服务降级", "降级风险"), "research": ("深度研究",), "used": ("用量", "使用量", "额度"),
+    "fetch_": ("获取", "查询", "查看"), "info": ("信息", "数据"), "latest": ("最新一次提交", "最后一次提交", "最近一次提交"), "commit_": ("提交",), "three": ("三周之前", "3周之前", "三周前", "3周前"),
+    "two": ("两周之前", "2周之前", "两周前", "2周前"), "month_": ("一个月之前", "1个月之前", "一个月前", "1个月前"), "find_": ("找", "搜索", "查找", "需要")}.items()}
+_GIVES = " || ".join(f"CASE WHEN {when} THEN {given} ELSE [] END" for when, given in (
+    ("open_", "['open source']"), ("project", "['project', 'GitHub repository']"), ("TRUE", "names"), ("level", "['service degradation risk level']"), ("NOT level AND degraded", "['service degradation risk']"), ("research", "['Deep Research']"),
+    ("used", "['usage']"), ("fetch_", "['fetch']"), ("info", "['information']"), ("latest", "['latest commit']"), ("NOT latest AND commit_", "['commit']"), ("three", "['three weeks ago']"), ("NOT three AND two", "['two weeks ago']"), ("NOT three AND NOT two AND month_", "['one month ago']")))
+_DETAILS = "array_to_string(list_filter([CASE WHEN list_contains(names, 'ChatGPT') AND degraded THEN 'ChatGPT service degradation risk level' END, CASE WHEN research THEN 'Deep Research' END, CASE WHEN list_contains(names, 'Codex') AND used THEN 'Codex usage' WHEN used THEN 'usage' END], lambda x: x IS NOT NULL), ', ')"
+_TAIL = "CASE WHEN three THEN ', with its latest commit three weeks ago' WHEN two THEN ', with its latest commit two weeks ago' WHEN month_ THEN ', with its latest commit one month ago' WHEN latest THEN ', with its latest commit matching the query' ELSE '' END"
+_RULES = (
+    ("contains(c, '工具') AND (contains(c, '什么样') OR contains(c, '是什么') OR contains(c, '什么'))", "%s tool", "what kind of tool is %s"), ("contains(c, '是什么') OR contains(c, '是啥')", "%s what is", "what is %s"),
+    ("contains(c, '怎么用') OR contains(c, '如何使用') OR contains(c, '怎么使用')", "%s how to use", "how to use %s"), ("contains(c, '安装') OR contains(c, '部署')", "%s install setup", "how to install and set up %s"),
+    ("contains(c, '报错') OR contains(c, '错误') OR contains(c, '异常') OR contains(c, '失败')", "%s error fix", "how to fix errors in %s"), ("contains(c, '论文') OR contains(lower(c), 'paper')", "%s paper", "papers about %s"),
+    (f"{D.any_of('c', ('项目', '仓库', '源码', '代码'))} AND length(c) <= 24", "%s GitHub repository", "GitHub repository for %s"))
+
+
+def _ruled(kept: str, form: int) -> str:
+    long = f"{kept} <> '' AND (length(c) >= 28 OR len(names) >= 2 OR contains(c, '开源') OR contains(c, '最新') OR contains(c, '用量'))"
+    rules = " ".join(f"WHEN {r[0]} THEN {D.say(r[form], 'names[1]')}" for r in _RULES)
+    return f"CASE WHEN NOT han THEN '' WHEN len(names) = 0 OR ({long}) THEN {kept} ELSE CASE {rules} ELSE {kept} END END"
+
+
+_LOST = " OR ".join(["len(list_filter(names, lambda e: NOT contains(lower(said), lower(e)))) > 0", *(f"({D.any_of('c', had)} AND NOT {D.any_of('lower(said)', needs)})" for had, needs in R.REQUIRED), f"(length(c) >= 35 AND length({D.strip('said')}) < 35)"])
+_TOLD = f"{D.strip('said')}"
+_STATES = f"len(names) > 0 AND regexp_matches(lower({_TOLD}), {D.q(chr(92) + 'bis' + X.WS + '+(a|an|the)' + chr(92) + 'b')}) AND NOT contains({_TOLD}, '?') AND NOT regexp_matches(lower({_TOLD}), '^(what|how|why|when|where|which|whether)')"
+
+
+@register("rule_translations", f"""{_Q}, t AS (SELECT qid, {D.sub(_STRIPPED, X.WS + '+')} AS c, {_ENTITIES} AS names, regexp_matches(question, '[一-鿿]') AS han, {D.in_turn('qid', SAID)} AS said FROM questions),
+s AS (SELECT *, {', '.join(f'{v} AS {k}' for k, v in _HAS.items())} FROM t),
+g AS (SELECT *, {D.first_spelling(_GIVES)} AS terms FROM s),
+d AS (SELECT *, array_to_string(terms, ' ') AS joined, {_DETAILS} AS details FROM g),
+k AS (SELECT *, CASE WHEN han AND len(terms) >= 3 THEN joined ELSE '' END AS searched,
+  CASE WHEN han AND len(terms) >= 3 THEN CASE WHEN find_ AND open_ AND project THEN 'Find an open-source project that fetches ' || CASE WHEN details <> '' THEN details ELSE joined END || ' information' || {_TAIL} WHEN find_ THEN 'Find ' || joined ELSE joined END ELSE '' END AS kept FROM d),
+l AS (SELECT *, han AND ({_LOST}) AS loses FROM k)
+SELECT qid, {_ruled('kept', 2)} AS plain, {_ruled('searched', 1)} AS for_search, kept AS preserved, {_TOLD} = '' OR (han AND (({_STATES}) OR {D.any_of(f'lower({_TOLD})', R.EXPLAINS)} OR loses)) AS answers, loses FROM l""")
 def rule_translations(spark, sf_dir):
-    """Rules only take Chinese questions; here the rest must come out empty, the tests have the Chinese ones."""
-    q = F.col("question")
-    plain = ~X.contains_han(q) & (X.strip(q) != "")
-    made = {"plain": R.rule_translate(q), "for_search": R.rule_translate(q, True), "preserved": R.preserving_query(q), "answers": R.looks_like_answer(q, q), "loses": R.loses_information(q, q)}
-    return questions(spark, sf_dir).select("qid", *(F.when(plain, v).alias(k) for k, v in made.items()))
+    """Rule translations of questions in Chinese round latin names, and what the guards say of translations."""
+    q, said = F.col("question"), in_turn(F.col("qid"), SAID)
+    made = {"plain": R.rule_translate(q), "for_search": R.rule_translate(q, True), "preserved": R.preserving_query(q), "answers": R.looks_like_answer(q, said), "loses": R.loses_information(q, said)}
+    return asked(spark, sf_dir).select("qid", *(v.alias(k) for k, v in made.items()))
 
 
-_URLS = D.distinct(f"list_filter(list_transform(regexp_extract_all(text, {D.q('(?i)https?://[^' + X.WS[1:-1] + '<>' + chr(39) + chr(34) + '`]+')}), lambda u: {D.sub(D.strip('u'), '[.,;:!?，。；：！？）)' + chr(92) + ']}>' + chr(39) + chr(34) + ']+$')}), lambda u: u <> '')")
+_TURNS = "SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || ' see https://Docs.Python.org:8080/3/?a=' || conv_id || '。 and (http://www.github.com/x/y).' ELSE 'https://a.b/c,https://a.b/c;' || text || ' HTTPS://user@WWW.Example.org' END AS text FROM conversations WHERE text IS NOT NULL"
 
 
-@register("turn_urls", f"SELECT conv_id, turn, array_to_string({_URLS}, ' ') AS urls, array_to_string({D.distinct(f'list_filter(list_transform({_URLS}, lambda u: ' + D.domain('u') + '), lambda d: d <> chr(39) AND length(d) > 0)')}, ' ') AS domains FROM conversations WHERE text IS NOT NULL")
+@register("turn_urls", f"WITH turns AS ({_TURNS}) SELECT conv_id, turn, array_to_string({D.urls('text')}, ' ') AS urls, array_to_string({D.domains('text')}, ' ') AS domains FROM turns")
 def turn_urls(spark, sf_dir):
-    t = F.col("text")
-    return table(spark, sf_dir, "conversations").where("text is not null").select("conv_id", "turn", F.array_join(extract_urls(t), " ").alias("urls"), F.array_join(direct_domains(t), " ").alias("domains"))
+    """Urls of turns, some of which are given urls in several spellings."""
+    t, i = F.col("text"), F.col("turn") % 3
+    more = F.concat(t, F.lit(" see https://Docs.Python.org:8080/3/?a="), F.col("conv_id").cast("string"), F.lit("。 and (http://www.github.com/x/y)."))
+    odd = F.concat(F.lit("https://a.b/c,https://a.b/c;"), t, F.lit(" HTTPS://user@WWW.Example.org"))
+    turns = table(spark, sf_dir, "conversations").where("text is not null").withColumn("text", F.when(i == 0, t).when(i == 1, more).otherwise(odd))
+    return turns.select("conv_id", "turn", F.array_join(extract_urls(F.col("text")), " ").alias("urls"), F.array_join(direct_domains(F.col("text")), " ").alias("domains"))
 
 
 @register("citation_check", r"""WITH a AS (SELECT conv_id, turn, text || ' [E' || (turn % 5) || '] [E2]' AS answer FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
@@ -215,7 +255,7 @@ def citation_check(spark, sf_dir):
 SELECT qid, {D.lookup('r', C.RESOURCE_LABELS, '通用资料')} AS resource_label, {D.lookup('a', C.ANSWER_LABELS, '概念解释')} AS answer_label FROM k""")
 def intent_labels(spark, sf_dir):
     q = F.col("question")
-    return questions(spark, sf_dir).select("qid", resource_label(C.detect_resource_intent(q)).alias("resource_label"), answer_label(C.detect_answer_intent(q)).alias("answer_label"))
+    return asked(spark, sf_dir).select("qid", resource_label(C.detect_resource_intent(q)).alias("resource_label"), answer_label(C.detect_answer_intent(q)).alias("answer_label"))
 
 
 @register("source_modes", """WITH m AS (SELECT item_id, lower(list_extract(['offline', 'KB', 'web', 'both', 'hybrid', 'nonsense', '', 'online'], CAST(item_id % 8 + 1 AS BIGINT))) AS mode, item_id % 3 = 0 AS enough FROM benchmark),
@@ -228,26 +268,63 @@ def source_modes(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", C.source_mode(mode).alias("mode"), flags["use_local"].alias("use_local"), flags["use_web"].alias("use_web"))
 
 
-@register("quiz_answers")
-def quiz_answers(spark, sf_dir):
-    """Direct answers of quiz blocks made from conversations: each states its own correct option."""
+_OPTION = f"(?i)(?:^|\\n|{X.WS}|·){X.WS}*([A-H]){X.WS}*[.．、:：]{X.WS}*([^\\n;；]+)"
+
+
+def _options(block: str) -> str:
+    """Pairs (k, v) of a block, the last of each letter, in the order of first appearance."""
+    text = f"{D.sub(D.answer_block('v'), X.WS + '*我的答案.*$')}"
+    letters = f"list_transform(regexp_extract_all({block}, {D.q(_OPTION)}, 1), lambda k: upper(k))"
+    values = f"list_transform(regexp_extract_all({block}, {D.q(_OPTION)}, 2), lambda v: {D.strip(text)})"
+    pairs = f"list_filter(list_transform({letters}, lambda k, i: {{'k': k, 'v': list_extract({values}, i)}}), lambda p: p.v <> '')"
+    return f"list_extract(list_transform([{pairs}], lambda l: list_transform(list_filter(l, lambda p, i: list_position(list_transform(l, lambda r: r.k), p.k) = i), lambda p: {{'k': p.k, 'v': list_extract(list_filter(l, lambda r: r.k = p.k), -1).v}})), 1)"
+
+
+#: Quiz texts in turn: a choice, two questions with true or false, one that asks for the rest, one without an answer.
+QUIZ = (
+    "1. (单选题) {t}\nA. {t}\nB. other; extra\nA、 again 我的答案：B\n正确答案:A", "1. 单选题 {t}\nA. yes\nB: no\n2. 判断题 {t} true or not? 正确答案:对", "前言不计\n1、 x\n3. (多选题) 下列哪些不包括 {t} ?\nA. 劳动\nB．资料\nC、{t}\n正确答案：C：工具; 解析", "no answer here {t}")
+
+
+def _quiz(spark, sf_dir):
+    """(conv_id, turn, question, content): a quiz text made from each turn, and what is asked in its conversation."""
     c = table(spark, sf_dir, "conversations").where("text is not null")
-    one = X.one_spaced(F.regexp_replace("text", "[;；·]", " "))
-    block = F.concat(F.lit("1. (单选题) "), one, F.lit("\nA. "), one, F.lit("\nB. other\n正确答案:A"))
-    hits = c.select(F.col("conv_id").alias("qid"), F.col("text").alias("question"), F.col("turn").alias("rank"), F.lit("kb").alias("title"), F.lit("").alias("url"), block.alias("content"))
-    return direct_answers(hits.withColumn("question", F.first("question").over(_first_turn())))
+    one = F.substring(X.one_spaced(F.regexp_replace("text", "[;；·:：.．、0-9]", " ")), 1, 80)
+    content = F.replace(in_turn(F.col("conv_id") + F.col("turn"), QUIZ), F.lit("{t}"), one)
+    first = Window.partitionBy("conv_id").orderBy("turn", "text")
+    asks = F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("三个要素有哪些 "), one)).otherwise(one)
+    return c.select("conv_id", "turn", F.first(asks).over(first).alias("question"), content.alias("content"), F.row_number().over(first).alias("rank"))
 
 
-def _first_turn():
-    return Window.partitionBy("qid").orderBy("rank", "content")
+_ONE = "substr(" + D.one_spaced("regexp_replace(text, '[;；·:：.．、0-9]', ' ', 'g')") + ", 1, 80)"
+_QUIZ = f"""quiz AS (SELECT conv_id, turn, first_value(CASE WHEN conv_id % 2 = 0 THEN '三个要素有哪些 ' || {_ONE} ELSE {_ONE} END) OVER w AS question, replace({D.in_turn('(conv_id + turn)', QUIZ)}, '{{t}}', {_ONE}) AS content, row_number() OVER w AS rank FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+marked AS (SELECT *, regexp_replace({D.answer_block('content')}, {D.q('(' + chr(92) + 'n?' + X.WS + '*[0-9]+[.]' + X.WS + '*[(（]?(?:单选题|判断题|多选题)[)）]?)')}, chr(1) || '\\1', 'g') AS m FROM quiz),
+blocks AS (SELECT conv_id, turn, question, rank, unnest(b) AS block, generate_subscripts(b, 1) - 1 AS n FROM (SELECT *, list_filter(list_transform(string_split(m, chr(1)), lambda x: {D.answer_block('x')}), lambda x: length(x) >= 20) AS b0, CASE WHEN len(b0) > 0 THEN b0 ELSE [{D.answer_block('content')}] END AS b FROM marked))"""
 
 
-@register("quiz_blocks")
+@register("quiz_blocks", f"WITH {_QUIZ} SELECT conv_id, turn, CAST(n AS INTEGER) AS n, block, array_to_string(list_transform({_options('block')}, lambda p: p.k || '=' || p.v), '|') AS options FROM blocks")
 def quiz_blocks(spark, sf_dir):
-    """Blocks and options of the same quiz texts."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    b = c.select("conv_id", "turn", F.posexplode(question_blocks(F.concat(F.lit("1. 单选题 "), "text", F.lit("\nA. yes\nB: no\n2. 判断题 true or not? 正确答案:对")))).alias("n", "block"))
-    return b.withColumn("options", F.to_json(options(F.col("block"))))
+    """Blocks and options of quiz texts."""
+    b = _quiz(spark, sf_dir).select("conv_id", "turn", F.posexplode(question_blocks(F.col("content"))).alias("n", "block"))
+    return b.withColumn("options", F.array_join(F.transform(F.map_entries(options(F.col("block"))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), "|"))
+
+
+_CORRECT = f"(?i)正确答案{X.WS}*[:：]{X.WS}*([A-H]|对|错|正确|错误){X.WS}*(?:[:：]{X.WS}*([^;；\\n]+))?"
+_STEM_END = f"(?i)(?:\\n|{X.WS}|·){X.WS}*A{X.WS}*[.．、:：]|我的答案|正确答案"
+
+
+@register("quiz_answers", f"""WITH {_QUIZ},
+judged AS (SELECT *, len(list_intersect({_answer_terms('question')}, {_answer_terms('block')})) AS score FROM blocks WHERE contains(block, '正确答案')),
+best AS (SELECT *, upper(regexp_extract(block, {D.q(_CORRECT)}, 1)) AS key, {D.answer_block(f"regexp_extract(block, {D.q(_CORRECT)}, 2)")} AS stated, {_options('block')} AS opts, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, rank, n) AS k FROM judged),
+chosen AS (SELECT *, CASE WHEN stated <> '' THEN stated ELSE coalesce(list_extract(list_filter(opts, lambda p: p.k = key), 1).v, '') END AS said, list_slice(list_transform(list_filter(opts, lambda p: p.k <> key), lambda p: '- ' || p.v), 1, 6) AS others,
+  substr({D.answer_block(D.sub(f"string_split(regexp_replace(block, {D.q(_STEM_END)}, chr(2)), chr(2))[1]", '^' + X.WS + '*[0-9]+[.]' + X.WS + '*'))}, 1, 260) AS stem FROM best WHERE k = 1 AND (score > 0 OR length({D.strip('question')}) <= 10) AND key <> '')
+SELECT conv_id AS qid, '【直接答案】' || chr(10) || CASE WHEN key IN ('对', '错', '正确', '错误') THEN {D.q(CORRECT_IS)} || CASE WHEN key IN ('对', '正确') THEN '对' ELSE '错' END || '。' WHEN said <> '' THEN {D.q(CORRECT_KEY)} || key || '：' || said || '。' ELSE {D.q(CORRECT_KEY)} || key || '。' END
+  || CASE WHEN regexp_matches(question, '三个|三.*要素|哪些|哪三') AND contains(block, '不包括') AND len(list_filter(opts, lambda p: p.k = key)) > 0 AND len(others) > 0 THEN chr(10) || chr(10) || {D.q(OTHERS_ARE)} || chr(10) || array_to_string(others, chr(10)) ELSE '' END || chr(10) || chr(10)
+  || array_to_string(list_filter(['【依据】', CASE WHEN stem <> '' THEN '命中的题目：' || stem END, CASE WHEN len(opts) > 0 THEN '选项：' || array_to_string(list_transform(opts, lambda p: p.k || '. ' || p.v), '；') END, '来源：kb', '', '【说明】', {D.q(EXPLAINED)}], lambda x: x IS NOT NULL), chr(10)) AS answer,
+  'kb' AS source_title, CAST(score AS INTEGER) AS score FROM chosen""")
+def quiz_answers(spark, sf_dir):
+    """Direct answers of the quiz texts of each conversation."""
+    hits = _quiz(spark, sf_dir).select(F.col("conv_id").alias("qid"), "question", "rank", F.lit("kb").alias("title"), F.lit("").alias("url"), "content")
+    return direct_answers(hits).drop("source_url")
 
 
 @register("guarded_rewrites")
@@ -255,13 +332,23 @@ def guarded_rewrites(spark, sf_dir):
     """What the guards keep when the next turn stands for a model's rewrite."""
     c = table(spark, sf_dir, "conversations").where("text is not null").groupBy("conv_id").agg(F.max_by("text", F.struct("turn", "text")).alias("said"))
     q, s = F.col("question"), F.col("said")
-    j = questions(spark, sf_dir).withColumnRenamed("qid", "conv_id").join(c, "conv_id")
+    j = asked(spark, sf_dir).withColumnRenamed("qid", "conv_id").join(c, "conv_id")
     return j.select("conv_id", guarded_query(q, s).alias("query"), guarded_english_query(q, s).alias("english_query"), guarded_translation(q, s).alias("translation"))
 
 
-@register("search_plan")
+_SUGGESTED = "CASE intent " + " ".join(f"WHEN {D.q(k)} THEN {D.q(chr(10).join(v + COMMON))}" for k, v in SUGGESTIONS.items()) + f" ELSE {D.q(chr(10).join(COMMON))} END"
+
+
+def search_plan_sql(rows: str) -> str:
+    """(qid, searches, suggestions) of a table of questions."""
+    return f"""WITH based AS ({_BASE_ROWS.replace('FROM questions', f'FROM {rows}')}), kinds AS (SELECT *, {D.first_kind(_LOW, C.RESOURCE_WORDS, 'general')} AS intent FROM based),
+listed AS (SELECT qid, intent, {D.distinct(f"list_filter(list_transform({D.distinct(f'list_filter({_SUFFIXED}, lambda x: x IS NOT NULL)')}, lambda x: trim(x)), lambda x: x <> '')")} AS qs FROM kinds)
+SELECT qid, '【实际搜索】' || CASE WHEN len(qs) > 0 THEN chr(10) || {D.numbered('qs')} ELSE '' END AS searches, {_SUGGESTED} AS suggestions FROM listed"""
+
+
+@register("search_plan", f"{_Q} SELECT * FROM ({search_plan_sql('questions')})")
 def search_plan(spark, sf_dir):
     """Queries and suggestions of each question as a report lists them."""
     q = F.col("question")
     intent = C.detect_resource_intent(q)
-    return questions(spark, sf_dir).select("qid", search_list(R.resource_queries(q, intent)).alias("searches"), F.array_join(suggestions(intent), "\n").alias("suggestions"))
+    return asked(spark, sf_dir).select("qid", search_list(R.resource_queries(q, intent)).alias("searches"), F.array_join(suggestions(intent), "\n").alias("suggestions"))

@@ -7,6 +7,7 @@ named in a CTE by the query, not repeated here.
 from __future__ import annotations
 
 from lodestone.functions.text import HAN, WS
+from lodestone.plans.inputs import DATED, HOSTS, NEGATIVE, PHRASES
 
 NL = "chr(10)"
 
@@ -114,3 +115,40 @@ def domain(url: str) -> str:
 
 
 QUESTIONS = """SELECT conv_id AS qid, arg_min(text, (turn, text)) AS question FROM conversations WHERE role = 'user' AND text IS NOT NULL GROUP BY conv_id"""
+
+
+def in_turn(number: str, values) -> str:
+    return f"list_extract([{', '.join('NULL' if v is None else q(v) for v in values)}], CAST({number} % {len(values)} + 1 AS BIGINT))"
+
+
+ASKED = f"""SELECT qid, CASE qid % 3 WHEN 0 THEN phrase WHEN 1 THEN question || ' ' || phrase ELSE question END AS question FROM (SELECT *, {in_turn('qid', PHRASES)} AS phrase FROM ({QUESTIONS}))"""
+SEEN = f"""SELECT page_id, CASE WHEN host IS NULL THEN url ELSE regexp_replace(url, '^([A-Za-z]+)://[^/?#]*', '\\1://' || host) END AS url,
+  CASE page_id % 5 WHEN 0 THEN {q(DATED)} || html WHEN 1 THEN {q(NEGATIVE)} || html ELSE html END AS html FROM (SELECT *, {in_turn('page_id', HOSTS)} AS host FROM pages)"""
+
+
+def urls(x: str) -> str:
+    mark = "[.,;:!?，。；：！？）)" + chr(92) + "]}>" + chr(39) + chr(34) + "]+$"
+    found = f"regexp_extract_all({x}, {q('(?i)https?://[^' + WS[1:-1] + '<>' + chr(39) + chr(34) + '`]+')})"
+    return distinct(f"list_filter(list_transform({found}, lambda u: {sub(strip('u'), mark)}), lambda u: u <> '')")
+
+
+def domains(x: str) -> str:
+    return distinct(f"list_filter(list_transform({urls(x)}, lambda u: {domain('u')}), lambda d: length(d) > 0)")
+
+
+def say(template: str, *values: str) -> str:
+    """A %s template as a concatenation."""
+    parts = template.split("%s")
+    out = [q(parts[0])]
+    for value, part in zip(values, parts[1:]):
+        out += [f"coalesce(CAST({value} AS VARCHAR), '')", q(part)]
+    return "(" + " || ".join(out) + ")"
+
+
+def first_spelling(items: str) -> str:
+    """First of each spelling regardless of case."""
+    return f"list_extract(list_transform([{items}], lambda l: list_filter(l, lambda x, i: list_position(list_transform(l, lambda y: lower(y)), lower(x)) = i)), 1)"
+
+
+def numbered(items: str) -> str:
+    return f"array_to_string(list_transform({items}, lambda x, i: CAST(i AS VARCHAR) || '. ' || x), chr(10))"

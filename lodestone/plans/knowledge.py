@@ -12,7 +12,7 @@ from lodestone.operators.split import explode_chunks, explode_paragraphs, normal
 from lodestone.plans import duck as D
 from lodestone.plans.catalog import register
 from lodestone.plans.inputs import benchmark_queries, kb_documents, stored_index, table
-from lodestone.sources.files import document_text
+from lodestone.sources.files import text_or_error
 
 # Paragraph texts by the three-step split, with spans found one after another from a cursor.
 _PARAGRAPHS = f"""
@@ -223,7 +223,7 @@ def file_texts(spark, sf_dir):
 
     def read(frames):
         for f in frames:
-            f["text"] = [document_text(e, bytes(c)) if c is not None else "" for e, c in zip(f["ext"], f["content"])]
+            f["text"] = [text_or_error(e, None if c is None else bytes(c))[0] for e, c in zip(f["ext"], f["content"])]
             yield f[["doc_id", "ext", "text"]]
 
     return d.select("doc_id", kind.alias("ext"), F.encode(body, "UTF-8").alias("content")).mapInPandas(read, "doc_id long, ext string, text string")

@@ -18,8 +18,8 @@ from lodestone.operators.ranking import parse_weights, rank_hits, site_weight
 from lodestone.operators.split import normalize_blocks
 from lodestone.plans import duck as D
 from lodestone.plans.catalog import register
-from lodestone.plans.dialogue import core, query_tokens_sql
-from lodestone.plans.inputs import page_hits, questions, table
+from lodestone.plans.dialogue import core, query_tokens_sql, search_plan_sql
+from lodestone.plans.inputs import asked, page_hits, seen_pages, table
 from lodestone.sources.html import described_column, index_text_column, raw_blocks_column, readable_text_column
 from lodestone.sources.web import fetch_refusal, fetched_pages, merge_hits
 
@@ -38,11 +38,11 @@ _WEIGHT = "CASE WHEN domain = '' THEN 1 " + " ".join(f"WHEN domain = {D.q(n)} OR
 _TYPE = "CASE WHEN ends_with(domain, '.gov') OR ends_with(domain, '.edu') THEN 'official' " + " ".join(f"WHEN domain IN {D.listed(v)} THEN {D.q(k)}" for k, v in C.DOMAIN_TYPES.items()) + " WHEN contains(domain, '.wikipedia.org') THEN 'community' ELSE 'general' END"
 
 
-@register("page_domains", f"""WITH d AS (SELECT page_id, {D.domain('url')} AS domain FROM pages)
+@register("page_domains", f"""WITH seen AS ({D.SEEN}), d AS (SELECT page_id, {D.domain('url')} AS domain FROM seen)
 SELECT page_id, domain, {_TYPE} AS source_type, {_WEIGHT} AS site_weight, {D.lookup(_TYPE, S.TYPE_BONUS, 0)} AS type_bonus, {D.lookup(_TYPE, S.TECHNICAL_PROJECT, 0)} AS project_bonus, {D.lookup(_TYPE, S.TECHNICAL_OTHER, 0)} AS technical_bonus FROM d""")
 def page_domains(spark, sf_dir):
     d = F.col("domain")
-    p = table(spark, sf_dir, "pages").select("page_id", extract_domain(F.col("url")).alias("domain")).withColumn("source_type", C.source_type(d))
+    p = seen_pages(spark, sf_dir).select("page_id", extract_domain(F.col("url")).alias("domain")).withColumn("source_type", C.source_type(d))
     t = F.col("source_type")
     return p.select("page_id", normalize_domain(d).alias("domain"), "source_type", site_weight(d, WEIGHTS).alias("site_weight"), C.lookup(t, S.TYPE_BONUS, 0).alias("type_bonus"), S.technical_bonus(t, F.lit("project")).alias("project_bonus"), S.technical_bonus(t, F.lit("docs")).alias("technical_bonus"))
 
@@ -58,10 +58,10 @@ def _date(x: str) -> str:
 _STATED = ", ".join(f"CASE WHEN regexp_matches(html, {D.q(p)}) THEN substr({D.snippet(f'regexp_extract(html, {D.q(p)}, 1)')}, 1, 40) END" for p in X.DATE_META)
 
 
-@register("page_titles", f"SELECT page_id, {_TITLE} AS title, coalesce({_STATED}, {_date('url')}, {_date('substr(html, 1, 5000)')}, '') AS published_at FROM pages")
+@register("page_titles", f"WITH seen AS ({D.SEEN}) SELECT page_id, {_TITLE} AS title, coalesce({_STATED}, {_date('url')}, {_date('substr(html, 1, 5000)')}, '') AS published_at FROM seen")
 def page_titles(spark, sf_dir):
     h = F.col("html")
-    return table(spark, sf_dir, "pages").select("page_id", X.html_title(h, False).alias("title"), X.publication_date(h, F.col("url")).alias("published_at"))
+    return seen_pages(spark, sf_dir).select("page_id", X.html_title(h, False).alias("title"), X.publication_date(h, F.col("url")).alias("published_at"))
 
 
 @register("repo_urls", f"""WITH u AS (SELECT page_id, replace(url, regexp_extract(url, '://([^/?#]*)', 1), 'github.com') AS url FROM pages),
@@ -101,7 +101,7 @@ def page_blocks(spark, sf_dir):
 
 @register("fetched_pages")
 def fetched_pages_query(spark, sf_dir):
-    return fetched_pages(table(spark, sf_dir, "pages")).drop("raw_blocks")
+    return fetched_pages(seen_pages(spark, sf_dir)).drop("raw_blocks")
 
 
 @register("merged_hits", f"""WITH h AS (SELECT page_id // 5 AS qid, page_id % 7 = 0 AS is_direct, page_id % 3 AS query_index, page_id AS position, trim({D.sub('url', '[?#].*$')}) AS url FROM pages WHERE url IS NOT NULL),
@@ -113,10 +113,10 @@ def merged_hits(spark, sf_dir):
     return merge_hits(h).select("qid", "position", "url", "pos")
 
 
-_HITS = f"""questions AS ({D.QUESTIONS}),
-raw AS (SELECT page_id // 5 AS qid, page_id AS pos, {_TITLE} AS title, url, {D.snippet(D.sub('html', '<[^>]+>', chr(39) + ' ' + chr(39)))} AS content, {D.domain('url')} AS domain FROM pages),
+_HITS = f"""questions AS ({D.ASKED}), seen AS ({D.SEEN}),
+raw AS (SELECT page_id // 5 AS qid, page_id AS pos, {_TITLE} AS title, url, {D.snippet(D.sub('html', '<[^>]+>', chr(39) + ' ' + chr(39)))} AS content, {D.domain('url')} AS domain FROM seen),
 hits AS (SELECT raw.*, question, lower({D.strip(D.filled('question'))}) AS q, lower(title) AS lt, lower(content) AS lc, lower(url) AS lu, {D.relevance_tokens('question', RELEVANCE_STOPWORDS)} AS tokens,
-  {D.first_kind('lower(question)', C.RESOURCE_WORDS, 'general')} AS intent, {D.any_of('lower(question)', C.TECHNICAL_WORDS)} AS technical, {_TYPE} AS source_type, {_WEIGHT} AS site_weight FROM raw JOIN questions USING (qid))"""
+  {D.first_kind('lower(question)', C.RESOURCE_WORDS, 'general')} AS intent, {D.any_of('lower(question)', C.TECHNICAL_WORDS)} AS technical, {_TYPE} AS source_type, {_WEIGHT} AS site_weight, {D.domains('question')} AS asked FROM raw JOIN questions USING (qid))"""
 _RELEVANCE = f"""CASE WHEN len(tokens) = 0 THEN CASE WHEN q = '' THEN 0 WHEN contains(lt, q) THEN 10 WHEN contains(lc, q) THEN 5 WHEN contains(lu, q) THEN 2 ELSE 0 END
 ELSE (CASE WHEN length(q) < 2 THEN 0 WHEN contains(lt, q) THEN 20 WHEN contains(lc, q) THEN 12 ELSE 0 END) + {D.total('tokens', 'CASE WHEN contains(lt, x) THEN 5 WHEN contains(lc, x) THEN 2 WHEN contains(lu, x) THEN 1 ELSE 0 END')} END"""
 _QUERY = f"""CASE WHEN q = '' THEN 0 ELSE (CASE WHEN contains(lt, q) THEN 12 WHEN contains(lc, q) THEN 6 WHEN contains(lu, q) THEN 3 ELSE 0 END) + {D.total('list_slice(' + D.relevance_tokens('q', RELEVANCE_STOPWORDS) + ', 1, 8)', 'CASE WHEN contains(lt, x) THEN 2 WHEN contains(lc, x) THEN 1 ELSE 0 END')} END"""
@@ -124,12 +124,17 @@ _SOURCE = f"{D.lookup('source_type', S.TYPE_BONUS, 0)} + CASE WHEN NOT technical
 _INTENT = "CASE intent " + " ".join(
     f"WHEN {D.q(k)} THEN " + " + ".join(f"(CASE WHEN contains(lower(title || ' ' || url || ' '), {D.q(p)}) THEN 10 ELSE 0 END)" for p in ps) + (f" + {D.lookup('source_type', S.INTENT_TYPES[k], 0)}" if k in S.INTENT_TYPES else "")
     for k, ps in S.INTENT_PATTERNS.items()) + " ELSE 0 END"
-_RANKED = f"""{_HITS},
-scored AS (SELECT *, {_RELEVANCE} AS relevance, {_QUERY} AS query_bonus, {_SOURCE} AS source_bonus, {_INTENT} AS intent_bonus FROM hits WHERE site_weight <> 0 AND NOT {D.any_of("lower(title || ' ' || content || ' ' || url)", C.NOISE_WORDS)}),
-final AS (SELECT *, relevance * 6 + query_bonus + source_bonus + intent_bonus + site_weight * 6 + 0.0::DOUBLE AS final_score FROM scored WHERE relevance >= 1),
+def _ranked(least: int) -> str:
+    return f"""{_HITS},
+scored AS (SELECT *, {_RELEVANCE} AS relevance, {_QUERY} AS query_bonus, {_SOURCE} AS source_bonus, {_INTENT} AS intent_bonus FROM hits WHERE site_weight <> 0 AND (len(asked) = 0 OR domain = '' OR list_contains(asked, domain)) AND NOT {D.any_of("lower(title || ' ' || content || ' ' || url)", C.NOISE_WORDS)}),
+final AS (SELECT *, relevance * 6 + query_bonus + source_bonus + intent_bonus + site_weight * 6 + 0.0::DOUBLE AS final_score FROM scored WHERE relevance >= {least}),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY final_score DESC, pos) AS rank FROM final)"""
 
 
+_RANKED = _ranked(1)
+
+
+
 @register("ranked_hits", f"WITH {_RANKED} SELECT qid, CAST(rank AS INTEGER) AS rank, pos, domain, source_type, site_weight, CAST(relevance AS INTEGER) AS relevance, CAST(query_bonus AS INTEGER) AS query_bonus, CAST(source_bonus AS INTEGER) AS source_bonus, CAST(intent_bonus AS INTEGER) AS intent_bonus, final_score FROM ranked WHERE rank <= 6")
 def ranked_hits(spark, sf_dir):
     ranked = rank_hits(page_hits(spark, sf_dir), WEIGHTS)
@@ -152,20 +157,25 @@ def evidence_metrics(spark, sf_dir):
     return a.select("qid", "rank", *(F.col(f"evidence.{p}").alias(p) for p in parts), "role")
 
 
-@register("evidence_audit", f"""WITH {_RANKED}, {_METRICS},
+_AUDIT = f"""{_RANKED}, {_METRICS},
 n AS (SELECT qid, count(*) AS cards, count(*) FILTER (total >= 29) AS strong, count(*) FILTER (total BETWEEN 22 AND 28) AS medium, count(*) FILTER (source_type IN {D.listed(C.PRIMARY_TYPES)}) AS prim, count(*) FILTER (role = '限制/反证') AS caution, count(DISTINCT domain) AS domains FROM metrics GROUP BY qid),
 j AS (SELECT q.qid, {D.any_of('lower(question)', C.TIMELY_WORDS)} AS timely, coalesce(cards, 0) AS cards, coalesce(strong, 0) AS strong, coalesce(medium, 0) AS medium, coalesce(prim, 0) AS prim, coalesce(caution, 0) AS caution, coalesce(domains, 0) AS domains FROM questions q LEFT JOIN n USING (qid)),
-s AS (SELECT *, CASE WHEN strong >= 2 AND prim >= 2 AND domains >= 2 THEN '高' WHEN (strong >= 1 OR medium >= 2) AND prim >= 1 THEN '中' WHEN cards > 0 THEN '低' ELSE '不足' END AS strength FROM j)
-SELECT qid, strength, cards, prim AS primary_count, caution AS caution_count, domains AS unique_domains, (strength IN ('低', '不足') AND timely) OR (prim = 0 AND cards <= 2) AS must_not_assert,
-CAST((cards = 0)::INT + (prim = 0)::INT + timely::INT + (cards > 0)::INT + (caution > 0)::INT + (domains <= 1 AND cards >= 3)::INT AS INTEGER) AS n_warnings FROM s""")
+s AS (SELECT *, CASE WHEN strong >= 2 AND prim >= 2 AND domains >= 2 THEN '高' WHEN (strong >= 1 OR medium >= 2) AND prim >= 1 THEN '中' WHEN cards > 0 THEN '低' ELSE '不足' END AS strength FROM j),
+audit AS (SELECT *, (strength IN ('低', '不足') AND timely) OR (prim = 0 AND cards <= 2) AS held, list_filter([CASE WHEN cards = 0 THEN {D.q(E.NO_SOURCE)} END, CASE WHEN prim = 0 THEN {D.q(E.NO_PRIMARY)} END, CASE WHEN timely THEN {D.q(E.NO_DATE)} END, CASE WHEN cards > 0 THEN {D.q(E.NO_PAGE)} END,
+  CASE WHEN caution > 0 THEN {D.q(E.CAUTION)} END, CASE WHEN domains <= 1 AND cards >= 3 THEN {D.q(E.ONE_DOMAIN)} END], lambda x: x IS NOT NULL) AS warnings FROM s),
+summaries AS (SELECT *, '【反证/限制】' || chr(10) || CASE WHEN len(warnings) > 0 THEN {D.numbered('warnings')} ELSE {D.q(render.NO_WARNING)} END || chr(10) || chr(10) || '【证据强度】' || chr(10)
+  || {D.say(render.AUDIT_COUNTS, 'strength', '0', 'domains', 'prim', 'caution')} || CASE WHEN held THEN {D.q(render.HELD)} ELSE '' END AS summary FROM audit)"""
+
+
+@register("evidence_audit", f"WITH {_AUDIT} SELECT qid, strength, cards, prim AS primary_count, caution AS caution_count, domains AS unique_domains, held AS must_not_assert, CAST(len(warnings) AS INTEGER) AS n_warnings FROM audit")
 def evidence_audit(spark, sf_dir):
-    a = E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), questions(spark, sf_dir))
+    a = E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), asked(spark, sf_dir))
     return a.select("qid", "strength", "cards", "primary_count", "caution_count", "unique_domains", "must_not_assert", F.size("warnings").alias("n_warnings"))
 
 
 def _enriched(spark, sf_dir):
     ranked = rank_hits(page_hits(spark, sf_dir), WEIGHTS)
-    return E.enrich(ranked, fetched_pages(table(spark, sf_dir, "pages")), EngineConfig().fast_fetch)
+    return E.enrich(ranked, fetched_pages(seen_pages(spark, sf_dir)), EngineConfig().fast_fetch)
 
 
 @register("enriched_hits")
@@ -223,10 +233,14 @@ def fetch_refusals(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", fetch_refusal(url, kind).alias("refusal"))
 
 
-@register("short_reports")
+_ABOUT = "CASE WHEN content <> '' THEN '摘要：' || substr(content, 1, {n}) || chr(10) ELSE '' END"
+
+
+@register("short_reports", f"""WITH {_ranked(0)}, items AS (SELECT qid, string_agg({D.say(render.SHORT_ITEM, 'rank', 'title', 'domain', 'site_weight', 'relevance', 'final_score', 'url')} || {_ABOUT.format(n=180)}, chr(10) ORDER BY rank) AS body FROM ranked WHERE rank <= 6 GROUP BY qid)
+SELECT qid, CASE WHEN body IS NULL THEN {D.say(render.SHORT_NONE, 'question')} ELSE {D.say(render.SHORT_SOME, 'question')} || body || {D.q(render.SHORT_END)} END AS report FROM questions LEFT JOIN items USING (qid)""")
 def short_reports(spark, sf_dir):
     """Reports that only list hits, as for inputs too short to interpret."""
-    return render.short_query_report(questions(spark, sf_dir), rank_hits(page_hits(spark, sf_dir), WEIGHTS, 0))
+    return render.short_query_report(asked(spark, sf_dir), rank_hits(page_hits(spark, sf_dir), WEIGHTS, 0))
 
 
 @register("model_contexts")
@@ -237,15 +251,22 @@ def model_contexts(spark, sf_dir):
     return context.join(answers, "qid").select("qid", "context", X.clean_model_answer(F.col("answer")).alias("answer"))
 
 
-@register("audit_summaries")
+@register("audit_summaries", f"WITH {_AUDIT} SELECT qid, summary FROM summaries")
 def audit_summaries(spark, sf_dir):
-    return render.audit_summary(E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), questions(spark, sf_dir)))
+    return render.audit_summary(E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), asked(spark, sf_dir)))
+
+
+_LABEL = D.lookup("intent", C.RESOURCE_LABELS, C.RESOURCE_LABELS["general"])
 
 
-@register("resource_reports")
+@register("resource_reports", f"""WITH {_AUDIT}, items AS (SELECT qid, string_agg({D.say(render.RESOURCE_ITEM, 'rank', 'title', 'url', 'domain', 'source_type', 'site_weight', 'relevance', 'final_score')} || {_ABOUT.format(n=260)}, chr(10) ORDER BY rank) AS body,
+  '【来源评分】' || chr(10) || chr(10) || string_agg({D.say(render.SCORED_ITEM, 'rank', 'title', 'domain', 'source_type', 'site_weight', 'relevance', 'final_score', "CASE WHEN total >= 29 THEN '强' WHEN total >= 22 THEN '中' ELSE '弱' END", 'total', 'url')}, chr(10) || chr(10) ORDER BY rank) AS sources FROM metrics GROUP BY qid),
+plans AS ({search_plan_sql('questions')}), asked_for AS (SELECT q.*, p.searches, p.suggestions, {D.first_kind('lower(question)', C.RESOURCE_WORDS, 'general')} AS intent FROM questions q JOIN plans p USING (qid))
+SELECT qid, CASE WHEN body IS NULL THEN {D.say(render.RESOURCE_NONE, _LABEL, 'question')} ELSE concat_ws(chr(10), {D.say(render.RESOURCE_SOME, _LABEL, 'question')}, body, '【使用建议】',
+  {D.numbered("string_split(suggestions, chr(10))")}, '', sources, '', searches) END AS report FROM asked_for LEFT JOIN items USING (qid)""")
 def resource_reports(spark, sf_dir):
     ranked = E.audited(rank_hits(page_hits(spark, sf_dir), WEIGHTS))
-    q = questions(spark, sf_dir).withColumn("resource_intent", C.detect_resource_intent(F.col("question")))
+    q = asked(spark, sf_dir).withColumn("resource_intent", C.detect_resource_intent(F.col("question")))
     return render.resource_report(q.withColumn("queries", resource_queries(F.col("question"), F.col("resource_intent"))), ranked)
 
 
@@ -254,12 +275,12 @@ def evidence_reports(spark, sf_dir):
     """Cards alone, as the evidence-only mode prints them."""
     enriched = _enriched(spark, sf_dir)
     local = E.local_cards(enriched.withColumns({c: F.lit(None).cast(t) for c, t in (("kb_doc_id", "long"), ("kb_chunk_index", "int"), ("kb_location", "string"), ("kb_path", "string"), ("kb_quote", "string"), ("kb_score", "double"), ("kb_paragraph_start", "int"), ("kb_paragraph_end", "int"))}))
-    return render.evidence_only(questions(spark, sf_dir), local, E.web_cards(enriched))
+    return render.evidence_only(asked(spark, sf_dir), local, E.web_cards(enriched))
 
 
-@register("held_answers")
+@register("held_answers", f"WITH {_AUDIT} SELECT qid, {D.say(render.INSUFFICIENT, 'strength', 'prim', '0')} || chr(10) || chr(10) || summary AS answer FROM summaries WHERE held")
 def held_answers(spark, sf_dir):
     """What is said where the audit forbids an assertion."""
-    return render.insufficient_answer(E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), questions(spark, sf_dir)))
+    return render.insufficient_answer(E.audit(rank_hits(page_hits(spark, sf_dir), WEIGHTS), asked(spark, sf_dir)))
 
 

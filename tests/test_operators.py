@@ -209,6 +209,21 @@ def test_direct_answers(spark):
     assert row.o == {"A": "later", "B": "y z"}
 
 
+def index_of(spark, folder):
+    from lodestone.operators.index import Index
+
+    return Index.read(spark, folder)
+
+
+def zip_with_a_damaged_part():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("word/document.xml", "<w:p>text</w:p>" * 50)
+    raw = bytearray(out.getvalue())
+    raw[45:60] = b"\xff" * 15
+    return bytes(raw)
+
+
 def test_files(spark, tmp_path):
     folder = tmp_path / "kb"
     (folder / "sub").mkdir(parents=True)
@@ -230,7 +245,17 @@ def test_files(spark, tmp_path):
     assert {r.path.rsplit("/", 1)[1] for r in files.list_documents(spark, str(folder)).collect()} == {n.rsplit("/", 1)[-1] for n in made} - {"h.bin", "~$i.txt"}
     assert files.decode_page("text/html; charset=gbk", "中文页面".encode("gbk")) == "中文页面" and files.decode_page(None, b"<meta charset=gb2312>" + "中文".encode("gbk")).endswith("中文")
     append_new_documents(spark, str(folder), f"{tmp_path}/index", f"{tmp_path}/cp").awaitTermination()
-    assert [r.rel_path for r in spark.read.parquet(f"{tmp_path}/index/documents").collect()] == ["m.txt"]
+    assert [r.rel_path for r in index_of(spark, f"{tmp_path}/index").documents.collect()] == ["m.txt"]
+    # A batch that is run again after a failure changes nothing.
+    import shutil
+
+    shutil.rmtree(f"{tmp_path}/cp/commits")
+    append_new_documents(spark, str(folder), f"{tmp_path}/index", f"{tmp_path}/cp").awaitTermination()
+    assert index_of(spark, f"{tmp_path}/index").documents.count() == 1 and index_of(spark, f"{tmp_path}/index").chunks.count() == 1
+    (folder / "deep.json").write_bytes(b"[" * 100_000)
+    errors = {r.rel_path: r.error for r in files.read_documents(spark, str(folder)).collect()}
+    assert errors["deep.json"] is None and errors["a.txt"] is None
+    assert files.text_or_error(".docx", zip_with_a_damaged_part())[1] is None
 
 
 def test_adapters(spark):
