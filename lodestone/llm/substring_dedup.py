@@ -52,6 +52,8 @@ GAIN, SKIP = 5.0, 0.1
 GAP, SHIFT = 40, 16
 #: Words beyond a chain's outer seeds that the alignment looks at.
 MARGIN = 48
+#: Seeds that a chain with the document before needs; one with a first source needs two.
+AGAIN = 3
 
 
 def minimisers(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -197,7 +199,8 @@ def _chained(rows: list[np.ndarray], least: int) -> pa.RecordBatch:
     begin = np.flatnonzero(new)
     size = np.diff(np.append(begin, len(x)))
     if len(begin):  # one seed is no chain
-        wide = np.repeat(x[begin + size - 1] - x[begin] + K >= least, size)
+        wide = (x[begin + size - 1] - x[begin] + K >= least) & ((size >= AGAIN) | (np.minimum.reduceat(again, begin) == 0))
+        wide = np.repeat(wide, size)
         doc, src, x, y, again, new = (v[wide] for v in (doc, src, x, y, again, new))
     tie = np.zeros(len(x), bool)
     tie[1:] = ~new[1:] & (x[1:] == x[:-1])
@@ -211,7 +214,7 @@ def _chained(rows: list[np.ndarray], least: int) -> pa.RecordBatch:
     group = np.flatnonzero(new[first])
     runs_ = np.diff(np.append(group, len(first)))
     lone = group[runs_ == 1]
-    lone = lone[x1[lone] - x0[lone] + K >= least]
+    lone = lone[(x1[lone] - x0[lone] + K >= least) & ((many[lone] >= AGAIN) | (late[lone] == 0))]
     parts: list[list] = [[] for _ in range(7)]  # doc, src, x0, x1, y0, y1, again
     turns: list[list[int]] = []
     for g, n in zip(group[runs_ > 1].tolist(), runs_[runs_ > 1].tolist()):
@@ -221,7 +224,7 @@ def _chained(rows: list[np.ndarray], least: int) -> pa.RecordBatch:
             dx, dy = p[1:] - q[:-1], u[1:] - v[:-1]
             cuts = [0, *(np.flatnonzero((dx > GAP) | (dy > GAP) | (np.abs(dx - dy) > SHIFT)) + 1).tolist(), len(p)]
             for i, j in zip(cuts, cuts[1:]):
-                if q[j - 1] - p[i] + K >= least:
+                if q[j - 1] - p[i] + K >= least and (m[path[i:j]].sum() >= AGAIN or not l[path[i:j]].all()):
                     for held, value in zip(parts, (doc[first[g]], src[first[g]], p[i], q[j - 1] + K, u[i], v[j - 1] + K, l[path[i:j]].min())):
                         held.append(int(value))
                     turns.append(_diagonals(p[i:j], q[i:j], u[i:j]))
@@ -296,15 +299,14 @@ def _segments(min_words: int):
             h, d, pos = minimisers(words)
             seeds = h, numbered_runs(h, d, pos)[0], d, pos
             ids, a, b, w = [], [], [], []
-            for i, (doc, wanted) in enumerate(zip(batch["doc_id"].to_pylist(), batch["wanted"])):
+            for i, (doc, wanted, shared) in enumerate(zip(batch["doc_id"].to_pylist(), batch["wanted"], batch["seeds"])):
                 lo, hi = words.first[i], words.first[i + 1]
-                from_, to = np.asarray(wanted.values.field("a")), np.asarray(wanted.values.field("b"))
-                for x, y in zip(from_[to >= 0].tolist(), to[to >= 0].tolist()):
+                for x, y in zip(wanted.values.field("a").to_pylist(), wanted.values.field("b").to_pylist()):
                     ids.append(doc)
                     a.append(x)
                     b.append(y)
                     w.append(words.hashes[min(hi, lo + x) : min(hi, lo + y)].tobytes())
-                at = _candidates(words, i, from_[to < 0], seeds, min_words)
+                at = _candidates(words, i, np.asarray(shared.values), seeds, min_words)
                 if len(at):
                     hashes = _windows_of(words.hashes[lo:hi], min_words)
                     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
@@ -553,11 +555,15 @@ def passages(docs: DataFrame, min_words: int = 50, identity: float = 0.8) -> Dat
     chains = scratch.table(chains, "chains")
     scratch.free()
     wanted = chains.select("doc_id", F.col("x_from").alias("a"), F.col("x_to").alias("b")).union(chains.select("src", "y_from", "y_to")).distinct()
-    wanted = wanted.union(matches.where("not again").select("doc_id", F.col("pos").cast("long"), F.lit(-1).cast("long")))  # and its shared seeds
-    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("wanted"))  # a text's own windows and seeds
-    segments = scratch.table(rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_segments(min_words), "doc_id long, a long, b long, w binary"), "segments")
+    # A text's own windows, and its shared seeds (b null); written, so that the matches can go before texts are read again.
+    wanted = wanted.select("doc_id", F.col("a").cast("int"), F.col("b").cast("int")).union(matches.where("not again").select("doc_id", "pos", F.lit(None).cast("int")))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_list(F.when(F.col("b").isNotNull(), F.struct("a", "b"))).alias("wanted"), F.collect_list(F.when(F.col("b").isNull(), F.col("a"))).alias("seeds"))
+    wanted = scratch.table(wanted, "wanted")
     scratch.drop(*matches._parts)
     scratch.free()
+    segments = scratch.table(rows.join(wanted.hint("merge"), "doc_id").mapInArrow(_segments(min_words), "doc_id long, a long, b long, w binary"), "segments")
+    scratch.drop(wanted)
+    scratch.free()
     windows = segments.where("a < 0")
     hashed = lambda part: part.mapInArrow(_windows, "h long, doc_id long, pos int")
     same = _linked(hashed(windows), hashed(_hundredth(windows)), scratch, full=False)
