@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -31,9 +32,15 @@ class Extractive:
         return " ".join(re.split(r"(?<=[。！？!?.])\s+", body.strip())[: self.sentences])
 
 
+def messages(prompt: str, system: str = "") -> list[dict[str, str]]:
+    """A chat of one turn; a blank system prompt is left out."""
+    return [{"role": role, "content": text} for role, text in (("system", system), ("user", prompt)) if text or role == "user"]
+
+
 class OpenAICompatible:
-    def __init__(self, base: str, model: str, key: str = "", max_tokens: int = 256, timeout: float = 120.0, transport: Callable | None = None):
+    def __init__(self, base: str, model: str, key: str = "", max_tokens: int = 256, timeout: float = 120.0, transport: Callable | None = None, system: str = ""):
         self.url, self.model, self.key, self.max_tokens, self.timeout = normalize_api_base(base), model, key, max_tokens, timeout
+        self.system = system
         self.transport = transport or self._post
 
     def _post(self, body: dict) -> dict:
@@ -42,10 +49,65 @@ class OpenAICompatible:
             return json.load(answer)
 
     def generate(self, prompt: str) -> str:
-        answer = self.transport({"model": self.model, "messages": [{"role": "user", "content": prompt}], "max_tokens": self.max_tokens, "temperature": 0})
+        answer = self.transport({"model": self.model, "messages": messages(prompt, self.system), "max_tokens": self.max_tokens, "temperature": 0})
         return answer["choices"][0]["message"]["content"].strip()
 
 
+class LocalModel:
+    """A causal model of a local folder through the optional ``transformers`` package, loaded once a task.
+
+    Code that comes with a model is not run.
+    """
+
+    def __init__(self, path: str, max_tokens: int = 256, system: str = "", load: Callable | None = None):
+        self.max_tokens, self.system = max_tokens, system
+        self.tokenizer, self.model = (load or self._load)(path)
+
+    @staticmethod
+    def _load(path: str):
+        try:
+            from transformers import AutoModelForCausalLM, AutoTokenizer
+        except ModuleNotFoundError as e:
+            raise RuntimeError("a local model needs the transformers package") from e
+        return AutoTokenizer.from_pretrained(path), AutoModelForCausalLM.from_pretrained(path).eval()
+
+    def chat(self, prompt: str) -> str:
+        """The prompt in the model's chat template, without a thinking part where the template has that switch."""
+        form = {"tokenize": False, "add_generation_prompt": True}
+        try:
+            return self.tokenizer.apply_chat_template(messages(prompt, self.system), enable_thinking=False, **form)
+        except TypeError:
+            return self.tokenizer.apply_chat_template(messages(prompt, self.system), **form)
+
+    def generate(self, prompt: str) -> str:
+        asked = self.tokenizer(self.chat(prompt), return_tensors="pt")
+        told = self.model.generate(**asked, max_new_tokens=self.max_tokens, do_sample=False)
+        return self.tokenizer.decode(told[0][len(asked["input_ids"][0]) :], skip_special_tokens=True).strip()
+
+
+def _status(url: str, timeout: float) -> tuple[int, str]:
+    try:
+        with urllib.request.urlopen(url, timeout=timeout) as answer:  # noqa: S310
+            return answer.status, ""
+    except urllib.error.HTTPError as e:
+        return e.code, e.read(800).decode("utf-8", "replace")[:200]
+
+
+def ping(base: str, timeout: float = 3.0, get: Callable[[str, float], tuple[int, str]] = _status) -> dict:
+    """Whether an endpoint lists its models; advisory, as some servers have no such list."""
+    url = normalize_api_base(base)
+    if not url:
+        return {"ok": False, "error": "LLM_API_BASE is empty"}
+    listing = url.replace("/chat/completions", "/models")
+    try:
+        status, text = get(listing, timeout)
+    except Exception as e:  # noqa: BLE001
+        return {"ok": False, "endpoint": url, "error": str(e)[:200]}
+    if status < 400:
+        return {"ok": True, "endpoint": url, "models_endpoint": listing}
+    return {"ok": False, "endpoint": url, "status_code": status, "warning": text}
+
+
 def is_openai_compatible(name: str | None) -> bool:
     return (name or "").strip().lower() in OPENAI_NAMES
 

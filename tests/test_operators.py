@@ -294,6 +294,90 @@ def test_models(spark):
     assert {r.qid: r.answer for r in models.generate(prompts).collect()} == {1: "First. Second.", 2: ""}
     client = models.OpenAICompatible("http://h/v1", "m", transport=lambda body: {"choices": [{"message": {"content": f" {body['model']} "}}]})
     assert client.generate("x") == "m" and client.url == "http://h/v1/chat/completions" and models.is_openai_compatible("Ollama")
+    told = []
+    models.OpenAICompatible("h", "m", system="S", transport=lambda body: told.append(body["messages"]) or {"choices": [{"message": {"content": ""}}]}).generate("x")
+    assert told == [[{"role": "system", "content": "S"}, {"role": "user", "content": "x"}]]
+    assert models.ping("") == {"ok": False, "error": "LLM_API_BASE is empty"}
+    assert models.ping("http://h/v1", get=lambda u, t: (200, "")) == {"ok": True, "endpoint": "http://h/v1/chat/completions", "models_endpoint": "http://h/v1/models"}
+    assert models.ping("http://h", get=lambda u, t: (404, "none"))["status_code"] == 404 and "error" in models.ping("http://h", get=lambda u, t: 1 / 0)
+
+
+def test_local_model():
+    class Tokenizer:
+        def apply_chat_template(self, said, tokenize, add_generation_prompt):
+            return "|".join(m["content"] for m in said)
+
+        def __call__(self, text, return_tensors):
+            return {"input_ids": [text.split("|")]}
+
+        def decode(self, ids, skip_special_tokens):
+            return " ".join(ids)
+
+    class Model:
+        def generate(self, input_ids, max_new_tokens, do_sample):
+            return [input_ids[0] + ["told", str(max_new_tokens)]]
+
+    made = models.LocalModel("p", 7, "sys", load=lambda path: (Tokenizer(), Model()))
+    assert made.chat("q") == "sys|q" and made.generate("q") == "told 7"
+
+
+def asked_hits(spark):
+    """Four questions: answered by a quiz, a search for material, without sources, and with strong sources."""
+    q = spark.createDataFrame([
+        (1, "Which planet is largest", "largest planet", "general", "concept"), (2, "find papers on vector search github", "vector search", "paper", "concept"),
+        (3, "nothing fits this", "nothing", "general", "concept"), (4, "how does vector search work", "vector search", "general", "concept")],
+        "qid long, question string, search_query string, resource_intent string, answer_intent string")
+    kb = "pos int, title string, url string, content string, snippet string, matched_query string, source_type string, kb_score double, kb_doc_id long, kb_chunk_index int, kb_location string, kb_path string, kb_quote string, kb_paragraph_start int, kb_paragraph_end int"
+    local = spark.createDataFrame([
+        (1, 1, "quiz", "file:/q.txt", "1. Which planet is largest\nA. Mars\nB. Jupiter\n正确答案：B", "", "largest planet", "local_kb", 9.0, 5, 0, "q.txt 第 1 段", "q.txt", "正确答案：B", 1, 1)], "qid long, " + kb)
+    page = "Vector search finds the nearest vectors of a query vector. " * 6
+    web_hits = spark.createDataFrame([
+        (qid, n, "Vector search guide", f"https://{host}/vector-search", page, page, "vector search", None, None)
+        for qid in (2, 4) for n, host in ((1, "arxiv.org"), (2, "github.com"), (3, "huggingface.co"))],
+        "qid long, pos int, title string, url string, content string, snippet string, matched_query string, source_type string, kb_score double")
+    pages = spark.createDataFrame([], "url string, ok boolean, error string, title string, published_at string, text string, raw_blocks array<struct<tag:string,text:string>>")
+    return q, local, web_hits, pages
+
+
+def test_ask(spark, tmp_path):
+    from lodestone.config import EngineConfig
+    from lodestone.operators import ask
+
+    q, local, web_hits, pages = asked_hits(spark)
+    n = iter(range(1000))
+
+    def once(df):
+        df.write.parquet(path := f"{tmp_path}/{next(n)}")
+        return spark.read.parquet(path)
+
+    weights = [("arxiv.org", 5), ("github.com", 5), ("huggingface.co", 5)]
+    got = {r.qid: r for r in ask.ask(q, local, web_hits, pages, weights, once=once).collect()}
+    assert {k: r.branch for k, r in got.items()} == {1: "direct", 2: "resource", 3: "held", 4: "model"}
+    assert got[1].answer.startswith("【直接答案】") and "Jupiter" in got[1].answer and "【本地证据定位】" in got[1].answer and "【来源评分】" in got[1].answer
+    assert "https://arxiv.org/vector-search" in got[2].answer and "【实际搜索】" in got[4].answer
+    # Local mode reads no web hit; a strict style tells where it looked.
+    alone = {r.qid: r for r in ask.ask(q, local, web_hits, pages, weights, EngineConfig(search_mode="local", answer_style="research"), once=once).collect()}
+    assert {k: r.branch for k, r in alone.items()} == {1: "direct", 2: "resource", 3: "held", 4: "held"} and alone[1].answer.startswith("【检索模式】")
+    only = {r.qid: r for r in ask.ask(q, local, web_hits, pages, weights, evidence_only=True, once=once).collect()}
+    assert all(r.branch == "evidence" and r.answer.startswith("【证据检索结果】") for r in only.values()) and "没有检索到" in only[3].answer
+    assert ask.ask(q.where("false"), local, web_hits, pages, weights, once=once).isEmpty()
+
+
+def test_prompts(spark, tmp_path):
+    from lodestone.operators import ask
+
+    q, local, web_hits, pages = asked_hits(spark)
+    assert [(r.qid, r.pos, r.url[:5]) for r in ask.merge_sources(local, web_hits.where("qid = 4").withColumn("qid", F.lit(1).cast("long"))).orderBy("qid", "pos").collect()] == [(1, 1, "file:"), (1, 2, "https"), (1, 3, "https"), (1, 4, "https")]
+    ranked = evidence.enrich(ranking.rank_hits(web_hits.join(q.select("qid", "question", "resource_intent"), "qid"), []), pages)
+    audit = evidence.audit(ranked, q)
+    told = {r.qid: r.audit_context for r in ask.audit_context(audit, evidence.audited(ranked)).collect()}
+    assert set(told) == {1, 2, 3, 4} and told[3].startswith("综合证据强度：不足\n是否禁止强结论：是") and told[3].endswith("证据卡片：") and "\n[1] Vector search guide | " in told[4]
+    for style, rules in (("plain", ask.PLAIN_RULES), ("research", ask.STRICT_RULES)):
+        prompts = {r.qid: r.prompt for r in ask.answer_prompts(q, ranked, audit, style).collect()}
+        assert set(prompts) == {2, 4} and prompts[4].startswith(rules) and "how does vector search work" in prompts[4] and told[4] in prompts[4]
+    assert ask.system_prompt() == ask.SYSTEM == ask.system_prompt(f"{tmp_path}/none")
+    (tmp_path / "p.txt").write_text(" be brief \n")
+    assert ask.system_prompt(f"{tmp_path}/p.txt") == "be brief"
 
 
 def test_auto_sync():
