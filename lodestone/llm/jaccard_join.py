@@ -9,8 +9,9 @@ has a floor that no depth goes below, so the number of runs does not depend on h
 A node of at most NODE sets is compared by brute force over 64-byte sketches.  A larger one is
 compared with one of its sets, the pivot: what is near the pivot is one neighbourhood already,
 so only pairs with a set far from it are left.  If few sets are far, they are compared with
-all, block by block; else the node is split by the next level of paths, and what is still
-large at level DEPTH is compared whole, in blocks.  Nothing is left out at any size.
+all, block by block; else the node is split by paths that go some levels on (STEPS: a round costs
+much the same however many levels it goes), and what is still large after the last round is compared
+whole, in blocks.  Nothing is left out at any size.
 
 Runs repeat until the chance of missing a pair at the threshold is below ``1 - recall``.
 Pairs found this way only form neighbourhoods (connected sets); within each, all pairs are
@@ -42,8 +43,8 @@ BINS = 64
 NODE = 1024
 #: Sets, and shingles, that one block of the exact comparison may hold.
 BLOCK_SETS, BLOCK_SHINGLES = 2048, 800_000
-#: Common children that a pair at the threshold keeps in expectation, and levels of paths.
-SPREAD, DEPTH = 1.5, 6
+#: Common children that a pair at the threshold keeps in expectation, and levels of paths that each further round goes on.
+SPREAD, STEPS = 1.5, (2, 3)
 
 _SETS = "doc_id long, sig1 long, sig2 long, n int, sketch binary, nodes array<long>"
 
@@ -120,8 +121,8 @@ def _children(shingle: np.ndarray, node: np.ndarray, bar: np.ndarray) -> tuple[n
     return passed, mix(node * np.uint64(0x2545F4914F6CDD1D) + shingle[passed])
 
 
-def _below(threshold: float):
-    """The children of some nodes of each set."""
+def _below(threshold: float, levels: int):
+    """What some nodes of each set lead to, so many levels on."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, text="shingles"):
@@ -129,11 +130,12 @@ def _below(threshold: float):
             for i, (x, at) in enumerate(zip(batch["shingles"].to_pylist(), batch["nodes"])):
                 v = np.frombuffer(x, np.uint64)
                 bar = _bar(np.array([len(v)]), threshold)
+                found = np.asarray(at.values).view(np.uint64)
                 with np.errstate(over="ignore"):
-                    for node in np.asarray(at.values).view(np.uint64):
-                        found = _children(v, node[None], bar)[1]
-                        nodes.append(found)
-                        owner += [i] * len(found)
+                    for _ in range(levels):
+                        found = np.concatenate([np.zeros(0, np.uint64), *(_children(v, node[None], bar)[1] for node in found)])
+                nodes.append(found)
+                owner += [i] * len(found)
             picked = pa.array(owner, pa.int64())
             flat = np.concatenate(nodes) if nodes else np.zeros(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), *(batch[c].take(picked) for c in ("doc_id", "n", "sketch"))], names=["node", "doc_id", "n", "sketch"])
@@ -325,49 +327,47 @@ def _dealt(rows: DataFrame, blocks, split) -> DataFrame:
 def _neighbourhoods(reps: DataFrame, texts: DataFrame, threshold: float, k: int, scratch: Scratch) -> list[DataFrame]:
     """Edges (a, b) whose connected sets hold every similar pair, in written tables."""
 
-    def compared(parts: DataFrame) -> DataFrame:
-        found = parts.repartition("node", "part").sortWithinPartitions("node", "part", "doc_id").mapInArrow(_buckets(threshold), "a long, b long")
-        return scratch.table(found.distinct(), "edges")
-
     whole = lambda rows: rows.select("node", F.lit(0).cast("long").alias("part"), "doc_id", "n", "sketch", F.lit(0).alias("side"))
     entries, edges, hot = reps.select(F.explode("nodes").alias("node"), "doc_id", "n", "sketch"), [], None
-    for level in range(1, DEPTH + 1):
+    for step in (*STEPS, 0):
         sizes = entries.groupBy("node").count().where("count > 1")
         held = scratch.table(entries.join(sizes, "node"), "entries")
-        edges.append(compared(whole(held.where(F.col("count") <= NODE))))
-        large = held.where(F.col("count") > NODE)
-        if large.isEmpty():
-            scratch.drop(held)
-            break
+        parts, large = whole(held.where(F.col("count") <= NODE)), held.where(F.col("count") > NODE)
+        done, many = [held], None
         pivot = F.min(F.struct(F.xxhash64("doc_id", "node").alias("h"), F.col("doc_id").alias("pivot"), F.col("n").alias("pivot_n"), F.col("sketch").alias("pivot_sketch")))
-        pivots = large.groupBy("node").agg(pivot.alias("p")).select("node", "p.pivot", "p.pivot_n", "p.pivot_sketch")
-        beside = scratch.table(large.join(pivots, "node").mapInArrow(_beside(threshold), "node long, doc_id long, n int, sketch binary, pivot long, near boolean"), "beside")
-        scratch.drop(held)
-        edges.append(scratch.table(beside.where("near and doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")).distinct(), "edges"))
-        sides = beside.groupBy("node").agg(F.count_if("near").alias("close"), F.count_if(~F.col("near")).alias("far"))
-        sides = scratch.table(sides.where("far > 0"), "sides")  # with none far, all is one neighbourhood
-        few = beside.join(sides.where(F.col("far") <= NODE), "node")
-        blocks = F.ceil(F.col("close") / NODE).cast("int")
-        far = few.where(~F.col("near"))
-        across = far.withColumn("part", F.explode(F.sequence(F.lit(1), blocks))).select("node", F.col("part").cast("long"), "doc_id", "n", "sketch", F.lit(1).alias("side"))
-        close = few.where("near").select("node", (1 + F.pmod(F.xxhash64("doc_id"), blocks)).cast("long").alias("part"), "doc_id", "n", "sketch", F.lit(2).alias("side"))
-        edges.append(compared(whole(far).union(across).union(close)))
-        many = sides.where(F.col("far") > NODE)
-        if level == DEPTH:
-            rest = beside.join(many, "node")
-            edges.append(compared(_dealt(rest, F.ceil((F.col("close") + F.col("far")) / NODE).cast("int"), F.lit(1))))
-        elif not many.isEmpty():
-            down = scratch.table(beside.join(many.select("node"), "node", "left_semi").groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "down")  # nodes of one set
-            if hot is None:
-                wanted = reps.select("doc_id", "sketch").join(down.select("doc_id").hint("merge"), "doc_id", "left_semi")
-                read = texts.join(wanted.hint("merge"), "doc_id")
-                hot = scratch.table(read.mapInArrow(_whole_sets(k, ["doc_id", "sketch"]), "doc_id long, sketch binary, n int, shingles binary"), "hot")
-            entries = scratch.table(hot.join(down.hint("merge"), "doc_id").mapInArrow(_below(threshold), "node long, doc_id long, n int, sketch binary"), "children")
-            scratch.drop(down, beside, sides)
-            scratch.free()
-            continue
-        scratch.drop(beside, sides)
-        break
+        pivots = scratch.table(large.groupBy("node").agg(pivot.alias("p")).select("node", "p.pivot", "p.pivot_n", "p.pivot_sketch"), "pivots")
+        if not pivots.isEmpty():
+            beside = scratch.table(large.join(pivots, "node").mapInArrow(_beside(threshold), "node long, doc_id long, n int, sketch binary, pivot long, near boolean"), "beside")
+            edges.append(scratch.table(beside.where("near and doc_id != pivot").select(F.col("doc_id").alias("a"), F.col("pivot").alias("b")), "edges"))
+            sides = beside.groupBy("node").agg(F.count_if("near").alias("close"), F.count_if(~F.col("near")).alias("far"))
+            sides = scratch.table(sides.where("far > 0"), "sides")  # with none far, all is one neighbourhood
+            few = beside.join(sides.where(F.col("far") <= NODE), "node")
+            blocks = F.ceil(F.col("close") / NODE).cast("int")
+            far = few.where(~F.col("near"))
+            across = far.withColumn("part", F.explode(F.sequence(F.lit(1), blocks))).select("node", F.col("part").cast("long"), "doc_id", "n", "sketch", F.lit(1).alias("side"))
+            close = few.where("near").select("node", (1 + F.pmod(F.xxhash64("doc_id"), blocks)).cast("long").alias("part"), "doc_id", "n", "sketch", F.lit(2).alias("side"))
+            parts = parts.union(whole(far)).union(across).union(close)
+            done += [beside, sides, pivots]
+            many = sides.where(F.col("far") > NODE)
+            if many.isEmpty():
+                many = None
+            elif not step:
+                rest = beside.join(many, "node")
+                parts = parts.union(_dealt(rest, F.ceil((F.col("close") + F.col("far")) / NODE).cast("int"), F.lit(1)))
+        # An edge that several nodes find is told apart once, in components().
+        edges.append(scratch.table(parts.repartition("node", "part").sortWithinPartitions("node", "part", "doc_id").mapInArrow(_buckets(threshold), "a long, b long"), "edges"))
+        if many is None or not step:
+            scratch.drop(*done)
+            break
+        split = beside.join(many.select("node"), "node", "left_semi")
+        if hot is None:
+            wanted = reps.select("doc_id", "sketch").join(split.select("doc_id").hint("merge"), "doc_id", "left_semi")
+            read = texts.join(wanted.hint("merge"), "doc_id")
+            hot = scratch.table(read.mapInArrow(_whole_sets(k, ["doc_id", "sketch"]), "doc_id long, sketch binary, n int, shingles binary"), "hot")
+        down = split.groupBy("doc_id").agg(F.collect_list("node").alias("nodes"))  # nodes of one set
+        entries = scratch.table(hot.join(down.hint("merge"), "doc_id").mapInArrow(_below(threshold, step), "node long, doc_id long, n int, sketch binary"), "children")
+        scratch.drop(*done)
+        scratch.free()
     if hot is not None:
         scratch.drop(hot)
     return edges

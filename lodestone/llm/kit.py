@@ -26,6 +26,8 @@ NO_ID = -(2**63)
 BATCH = "8m"
 #: Bytes of text that one numpy pass handles at a time.
 CHUNK = 1 << 20
+#: Edges that a task holds at a time before it replaces them by stars.
+CONTRACT = 1 << 20
 
 
 # --------------------------------------------------------------------------- scratch
@@ -339,32 +341,61 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListA
 # --------------------------------------------------------------- connected components
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, least reachable node) that connect what the edges (a, b) do."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y, root = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while True:
+        least = root.copy()
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(least, root[x], low)
+        np.minimum.at(least, root[y], low)
+        while (least[least] != least).any():
+            least = least[least]
+        least = least[root]
+        if (least == root).all():
+            return nodes[root != np.arange(len(nodes))], nodes[root[root != np.arange(len(nodes))]]
+        root = least
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars in place of the edges of a task, CONTRACT edges at a time."""
+    held, n = [(np.zeros(0, np.int64),) * 2], 0
+    for batch in batches:
+        held.append((np.asarray(batch["a"]), np.asarray(batch["b"])))
+        n += batch.num_rows
+        if n >= CONTRACT:
+            held = [contracted(*(np.concatenate(x) for x in zip(*held)))]
+            n = len(held[0][0])
+            if n >= CONTRACT // 2:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                held, n = [(np.zeros(0, np.int64),) * 2], 0
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in contracted(*(np.concatenate(x) for x in zip(*held)))], names=["a", "b"])
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the least node that is reachable.
 
-    Every node, and all its neighbours, hook to the least node among them, until all are stars.
+    Each task first replaces its own edges by stars.  Then every node, and all its neighbours, hook to the
+    least node among them, until all are stars.
     A round is a group-by with map-side combine and a join on the node; the rows of a hub are
     split by Spark's skew join, being two numbers each.  Rounds are logarithmic in the longest path.
     """
-    spark = edges.sparkSession
-    both = edges.where("a != b")
-    links = scratch.table(both.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    seen = links
+    stars = edges.select("a", "b").where("a != b").mapInArrow(_contract, "a long, b long")  # a above b
+    seen = scratch.table(stars.distinct(), "links")
     while True:
         # Every node points at least neighbour; the neighbours of a node then point there too.
-        sym = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        sym = seen.select("a", "b", F.lit(1).alias("up")).union(seen.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(0).alias("up")))
+        least = scratch.table(sym.groupBy("a").agg(F.min("b").alias("m"), F.sum("up").alias("up"), F.count("*").alias("n")), "least")
+        # Done when no node is below two others, or both above and below one: all are stars round their least node.
+        if least.where("up > 1 or (up = 1 and n > 1)").isEmpty():
+            break
+        to = least.select("a", F.least("a", "m").alias("m"))
         nxt = scratch.table(
-            sym.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .union(least.where("a > m").select("a", F.col("m").alias("b"))).distinct(),
+            sym.join(to, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            .union(to.where("a > m").select("a", F.col("m").alias("b"))).distinct(),
             "links",
         )
-        # Done when no node is both above and below another: all are stars round their least node.
-        top = nxt.select(F.col("b").alias("a")).distinct()
-        done = nxt.join(top, "a", "left_semi").isEmpty() and nxt.groupBy("a").count().where("count > 1").isEmpty()
-        scratch.drop(seen)
+        scratch.drop(seen, least)
         seen = nxt
-        if done:
-            break
-    roots = seen.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return seen.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
+    return least.select(F.col("a").alias("node"), F.least("a", "m").alias("root"))

@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 from common import documents, prose
 from lodestone.llm import decontaminate, jaccard_join, substring_dedup
-from lodestone.llm.kit import Scratch, components
+from lodestone.llm.kit import Scratch, components, contracted
 
 
 def sets_of(texts):
@@ -163,6 +163,48 @@ def test_components(spark):
     assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
 
 
+def test_contracted_edges_connect_the_same():
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        n, m = rng.integers(1, 40), rng.integers(0, 40)
+        a, b = rng.integers(0, n, m) * 7 - 50, rng.integers(0, n, m) * 7 - 50
+        up = {}
+
+        def find(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        for x, y in zip(a.tolist(), b.tolist()):
+            x, y = find(x), find(y)
+            up[max(x, y)] = min(x, y)
+        node, root = contracted(a, b)
+        got = dict(zip(node.tolist(), root.tolist()))
+        assert all(got.get(x, x) == find(x) for x in {*a.tolist(), *b.tolist()}) and (node > root).all()
+
+
+def test_few_rounds(spark, monkeypatch):
+    """Nodes that stay large, as below a line that many documents have, cost few rounds of shuffles; a path within one task costs one."""
+    made, table = [], Scratch.table
+
+    def counted(self, df, name="t"):
+        made.append(name)
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", counted)
+    path = spark.range(0, 3000, 1, 1).selectExpr("id + 1 AS a", "id AS b")
+    assert {r.root for r in components(path, Scratch(spark, "t")).collect()} == {0}
+    assert made.count("links") <= 2  # the stars that the task makes of it, and no more rounds
+    made.clear()
+    monkeypatch.setattr(jaccard_join, "NODE", 4)
+    line = prose(24, 5)
+    texts = [" ".join(line + prose(20, 100 + i // 2 if i < 20 else 100 + i)) + (" end" if i % 2 else "") for i in range(120)]
+    sets = sets_of(texts)
+    got = {r.doc_id: r for r in jaccard_join.jaccard_join(documents(spark, texts)).collect()}
+    assert all(got[i].n_links == sum(similarity(sets[i], s) >= 0.8 for j, s in enumerate(sets) if j != i) for i in range(120))
+    assert got[1].class_id == 0 and made.count("entries") <= 3  # 6 before
+
+
 def test_pipeline_equals_brute_force(spark, tmp_path):
     import corpus_pipeline
 
