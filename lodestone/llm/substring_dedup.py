@@ -57,7 +57,7 @@ AGAIN = 3
 
 
 def minimisers(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, text, position) of the seeds; a text's seeds depend on that text alone."""
+    """(hash, text, position) of the seeds; a text's seeds depend on that text alone.  With no window, only those of least hashes."""
     h, n = words.hashes, len(words)
     if n < k:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -70,6 +70,9 @@ def minimisers(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     if not len(at):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     g, d = mix(g[at]), doc[at]
+    sampled = g < np.uint64(2**64 // SAMPLE)
+    if not window:
+        return g[sampled], d[sampled], at[sampled] - words.first[d[sampled]]
     # Texts are set apart by ``window`` neutral places, so no window spans two of them.
     shift = np.concatenate([[0], np.cumsum(d[1:] != d[:-1])]) * window + window
     place = np.arange(len(g)) + shift
@@ -78,7 +81,7 @@ def minimisers(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.ndarr
     line[place] = g
     low = _sliding(line, window, np.minimum)  # low[i]: least of line[i : i + window]
     held = _sliding(np.where(low == top, np.uint64(0), low), window, np.maximum)  # held[i]: greatest of low[i : i + window]
-    chosen = (held[place - window + 1] == g) | (g < np.uint64(2**64 // SAMPLE))
+    chosen = (held[place - window + 1] == g) | sampled
     pos = at[chosen] - words.first[d[chosen]]
     return g[chosen], d[chosen], pos
 
@@ -219,15 +222,26 @@ def _chained(rows: list[np.ndarray], least: int) -> pa.RecordBatch:
     turns: list[list[int]] = []
     for g, n in zip(group[runs_ > 1].tolist(), runs_[runs_ > 1].tolist()):
         a, b, c, d, m, l = (v[g : g + n] for v in (x0, x1, y0, y1, many, late))
-        for path in chain(a, c, b, d, GAIN * m - 2 * SKIP * (b - a)):
-            p, q, u, v = a[path], b[path], c[path], d[path]
-            dx, dy = p[1:] - q[:-1], u[1:] - v[:-1]
-            cuts = [0, *(np.flatnonzero((dx > GAP) | (dy > GAP) | (np.abs(dx - dy) > SHIFT)) + 1).tolist(), len(p)]
-            for i, j in zip(cuts, cuts[1:]):
-                if q[j - 1] - p[i] + K >= least and (m[path[i:j]].sum() >= AGAIN or not l[path[i:j]].all()):
-                    for held, value in zip(parts, (doc[first[g]], src[first[g]], p[i], q[j - 1] + K, u[i], v[j - 1] + K, l[path[i:j]].min())):
-                        held.append(int(value))
-                    turns.append(_diagonals(p[i:j], q[i:j], u[i:j]))
+        paths = chain(a, c, b, d, GAIN * m - 2 * SKIP * (b - a))
+        pair = int(doc[first[g]]), int(src[first[g]])
+        a, b, c, d, m, l = (v.tolist() for v in (a, b, c, d, m, l))  # paths are short, and most are one run
+        for path in paths:
+            at = 0
+            for j in range(1, len(path) + 1):
+                q = path[j - 1]
+                if j < len(path):
+                    dx, dy = a[path[j]] - b[q], c[path[j]] - d[q]
+                    if dx <= GAP and dy <= GAP and -SHIFT <= dx - dy <= SHIFT:
+                        continue
+                part, at = path[at:j], j
+                p = part[0]
+                if b[q] - a[p] + K < least:
+                    continue
+                late_ = min([l[i] for i in part])
+                if not late_ or sum([m[i] for i in part]) >= AGAIN:
+                    for held, value in zip(parts, (*pair, a[p], b[q] + K, c[p], d[q] + K, late_)):
+                        held.append(value)
+                    turns.append(_diagonals([(a[i], b[i], c[i]) for i in part]))
     columns = [np.concatenate([v, np.array(w, np.int64)]) for v, w in zip((doc[first[lone]], src[first[lone]], x0[lone], x1[lone] + K, y0[lone], y1[lone] + K, late[lone]), parts)]
     doc, src, x0, x1, y0, y1, late = columns
     sizes = np.concatenate([np.full(len(lone), 3), np.array([len(t) for t in turns], np.int64)])
@@ -249,11 +263,15 @@ def _changes(*keys: np.ndarray) -> np.ndarray:
 _CHAIN = "doc_id long, x_from long, x0 long, x1 long, x_to long, src long, y_from long, y0 long, y1 long, y_to long, again long, diagonals array<long>"
 
 
-def _diagonals(x0: np.ndarray, x1: np.ndarray, y0: np.ndarray) -> list[int]:
-    """Runs of seeds on one diagonal, flat: where each begins and ends in the text, and begins in the source."""
-    new = np.flatnonzero(np.diff(y0 - x0)) + 1
-    first, last = np.concatenate([[0], new]), np.concatenate([new - 1, [len(x0) - 1]])
-    return np.column_stack([x0[first], x1[last] + K, y0[first]]).reshape(-1).tolist()
+def _diagonals(runs_: list[tuple[int, int, int]]) -> list[int]:
+    """Runs of seeds (first, last, first in the source) by diagonals, flat: where each begins and ends in the text, and begins in the source."""
+    flat: list[int] = []
+    for x0, x1, y0 in runs_:
+        if flat and y0 - x0 == flat[-1] - flat[-3]:
+            flat[-2] = x1 + K
+        else:
+            flat += (x0, x1 + K, y0)
+    return flat
 
 
 def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
@@ -263,13 +281,13 @@ def _rows(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
 
-def _candidates(words: Words, i: int, shared: list[int], seeds: tuple, n: int) -> np.ndarray:
+def _candidates(words: Words, i: int, shared: np.ndarray, seeds: tuple, n: int) -> np.ndarray:
     """Where the windows of n words of text i begin that another document may have: no sampled seed in them is its alone."""
-    h, place, d, pos = seeds
-    a, b = np.searchsorted(d, [i, i + 1])
-    own = (place[a:b] == 0) & (h[a:b] < np.uint64(2**64 // SAMPLE)) & ~np.isin(pos[a:b], shared)
-    count = int(words.first[i + 1] - words.first[i])
-    before = np.concatenate([[0], np.cumsum(np.bincount(pos[a:b][own], minlength=count))])
+    first, pos = seeds
+    own = np.zeros(int(words.first[i + 1] - words.first[i]) + 1, np.int64)
+    own[1 + pos[first[i] : first[i + 1]]] = 1
+    own[1 + shared] = 0
+    count, before = len(own) - 1, np.cumsum(own)
     at = np.arange(max(0, count - n + 1))
     return at[before[at + max(0, n - K + 1)] == before[at]]
 
@@ -296,8 +314,10 @@ def _segments(min_words: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
             words = Words(batch["text"].to_pylist())
-            h, d, pos = minimisers(words)
-            seeds = h, numbered_runs(h, d, pos)[0], d, pos
+            h, d, pos = minimisers(words, window=0)
+            alone = numbered_runs(h, d, pos)[0] == 0
+            seeds = np.searchsorted(d[alone], np.arange(batch.num_rows + 1)), pos[alone]
+            hashes = words.hashes
             ids, a, b, w = [], [], [], []
             for i, (doc, wanted, shared) in enumerate(zip(batch["doc_id"].to_pylist(), batch["wanted"], batch["seeds"])):
                 lo, hi = words.first[i], words.first[i + 1]
@@ -305,15 +325,15 @@ def _segments(min_words: int):
                     ids.append(doc)
                     a.append(x)
                     b.append(y)
-                    w.append(words.hashes[min(hi, lo + x) : min(hi, lo + y)].tobytes())
+                    w.append(hashes[min(hi, lo + x) : min(hi, lo + y)].tobytes())
                 at = _candidates(words, i, np.asarray(shared.values), seeds, min_words)
                 if len(at):
-                    hashes = _windows_of(words.hashes[lo:hi], min_words)
+                    each = _windows_of(hashes[lo:hi], min_words)
                     for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
                         ids.append(doc)
                         a.append(-1 - int(run[0]))
                         b.append(len(run))
-                        w.append(hashes[run].tobytes())
+                        w.append(each[run].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(w, pa.binary())], names=["doc_id", "a", "b", "w"])
 
     return build

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import pytest
@@ -284,3 +285,40 @@ def test_mosaics(spark):
 
 def test_fuzzy_mosaics(spark):
     assert mosaics(spark, 100, lambda p: [f"edit{i}" if i % 12 == 7 else w for i, w in enumerate(p)]) >= 95
+
+
+def test_sampled_seeds_without_a_window():
+    words = Words([" ".join(prose(400, i)) for i in range(5)] + ["", "a b", "one two three four five six"])
+    h, d, pos = sd.minimisers(words)
+    few = h < np.uint64(2**64 // sd.SAMPLE)
+    for a, b in zip(sd.minimisers(words, window=0), (h, d, pos)):
+        assert a.tolist() == b[few].tolist() and len(a)
+
+
+def test_chained_equals_a_plain_form_and_leftovers_cost_little():
+    """Matches of long groups that no chain takes are told apart without numpy calls for each."""
+    rng = np.random.default_rng(8)
+    groups = []
+    for g in range(60):
+        x = np.unique(rng.integers(0, 4000, 700))
+        y = np.where(rng.random(len(x)) < 0.4, x + 100 + rng.integers(0, 3), rng.integers(0, 4000, len(x)))
+        groups.append(np.array([np.full(len(x), g + 1), np.zeros(len(x), np.int64), x, y, rng.integers(0, 2, len(x))]))
+    rows = list(np.concatenate(groups, axis=1).astype(np.int64))
+    took = lambda f: min((lambda t: (f(), time.process_time() - t)[1])(time.process_time()) for _ in range(3))
+    alone = took(lambda: [sd.chain(g[2], g[3]) for g in groups])
+    assert took(lambda: sd._chained(rows, 6)) < 2 * alone
+
+    want = set()
+    for doc, _, x, y, again in groups:
+        first = np.flatnonzero(np.append(True, (np.diff(y) != np.diff(x)) | (np.diff(x) > sd.GAP)))
+        last = np.append(first[1:], len(x)) - 1
+        a, b, c, d = x[first], x[last], y[first], y[last]
+        for path in sd.chain(a, c, b, d, sd.GAIN * (last - first + 1) - 2 * sd.SKIP * (b - a)):
+            step = [(a[q] - b[p], c[q] - d[p]) for p, q in zip(path, path[1:])]
+            cuts = [0, *(j for j, s in enumerate(step, 1) if max(s) > sd.GAP or abs(s[0] - s[1]) > sd.SHIFT), len(path)]
+            for part in (path[i:j] for i, j in zip(cuts, cuts[1:])):
+                all_ = np.concatenate([again[first[i] : last[i] + 1] for i in part])
+                if b[part[-1]] - a[part[0]] + sd.K >= 6 and (len(all_) >= sd.AGAIN or not all_.all()):
+                    want.add(tuple(map(int, (doc[0], a[part[0]], b[part[-1]] + sd.K, c[part[0]], d[part[-1]] + sd.K))))
+    got = sd._chained(rows, 6)
+    assert {tuple(r[c] for c in ("doc_id", "x0", "x1", "y0", "y1")) for r in got.to_pylist()} == want and len(want) > 100
