@@ -52,6 +52,8 @@ GAIN, SKIP = 5.0, 0.1
 GAP, SHIFT = 40, 16
 #: Words beyond a chain's outer seeds that the alignment looks at.
 MARGIN = 48
+#: Of a word's hash, what alignments compare: two words of a pair of passages are taken for equal with a chance of 2^-48.
+BYTES = 6
 #: Seeds that a chain with the document before needs; one with a first source needs two.
 AGAIN = 3
 
@@ -308,6 +310,17 @@ def _windows_of(w: np.ndarray, n: int) -> np.ndarray:
             width, factor = 2 * width, factor * factor % 2**64
 
 
+def packed(h: np.ndarray) -> bytes:
+    """The low BYTES of each hash."""
+    return np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(x: bytes) -> np.ndarray:
+    out = np.zeros((len(x) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(x, np.uint8).reshape(-1, BYTES)
+    return out.view(np.uint64).reshape(-1)
+
+
 def _segments(min_words: int):
     """The word hashes of each wanted range of each text; with a below 0, the hashes of the windows from -1 - a on."""
 
@@ -325,7 +338,7 @@ def _segments(min_words: int):
                     ids.append(doc)
                     a.append(x)
                     b.append(y)
-                    w.append(hashes[min(hi, lo + x) : min(hi, lo + y)].tobytes())
+                    w.append(packed(hashes[min(hi, lo + x) : min(hi, lo + y)]))
                 at = _candidates(words, i, np.asarray(shared.values), seeds, min_words)
                 if len(at):
                     each = _windows_of(hashes[lo:hi], min_words)
@@ -443,7 +456,7 @@ def _aligned(min_words: int, identity: float):
             for at in range(0, batch.num_rows, 1000):
                 rows, ends, inner, outer = batch.slice(at, 1000).to_pylist(), [], ([], []), ([], [])
                 for r in rows:
-                    a, b = np.frombuffer(r["aw"], np.uint64), np.frombuffer(r["bw"], np.uint64)
+                    a, b = unpacked(r["aw"]), unpacked(r["bw"])
                     d, u, v = r["diagonals"], r["x_from"], r["y_from"]
                     x0, x1, y0, y1, same = align(a, b, [(d[i] - u, d[i + 1] - u, d[i + 2] - v) for i in range(0, len(d), 3)])
                     ends.append((x0, x1, y0, y1, same))
@@ -550,7 +563,7 @@ def _passages(chains: DataFrame, segments: DataFrame, min_words: int, identity:
     left = segments.select("doc_id", F.col("a").alias("x_from"), F.col("b").alias("x_to"), F.col("w").alias("aw"))
     start = F.greatest(F.lit(0), F.col("y0") - MARGIN, F.col("y_from"))
     sourced = chains.join(right.hint("merge"), ["src", "y_from", "y_to"]).withColumn("start", start)
-    words = F.expr(f"substring(bw, cast(8 * (start - y_from) + 1 as int), cast(8 * (y1 + {MARGIN} - start) as int))")
+    words = F.expr(f"substring(bw, cast({BYTES} * (start - y_from) + 1 as int), cast({BYTES} * (y1 + {MARGIN} - start) as int))")
     sourced = sourced.withColumn("bw", words).withColumn("y_from", F.col("start")).drop("start")
     both = sourced.join(left.hint("merge"), ["doc_id", "x_from", "x_to"])
     return both.select(*(c.split()[0] for c in _CHAIN.split(", ")), "aw", "bw").mapInArrow(_aligned(min_words, identity), _PASSAGE).distinct()

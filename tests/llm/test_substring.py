@@ -322,3 +322,9 @@ def test_chained_equals_a_plain_form_and_leftovers_cost_little():
                     want.add(tuple(map(int, (doc[0], a[part[0]], b[part[-1]] + sd.K, c[part[0]], d[part[-1]] + sd.K))))
     got = sd._chained(rows, 6)
     assert {tuple(r[c] for c in ("doc_id", "x0", "x1", "y0", "y1")) for r in got.to_pylist()} == want and len(want) > 100
+
+
+def test_packed_hashes():
+    h = np.random.default_rng(2).integers(0, 2**63, 50, dtype=np.uint64)
+    assert (sd.unpacked(sd.packed(h)) == h % np.uint64(256**sd.BYTES)).all() and len(sd.packed(h)) == 6 * 50
+    assert len(sd.unpacked(sd.packed(h[:0]))) == 0
